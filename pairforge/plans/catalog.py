@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pairforge.plans import metrics
+
+MODULES = (metrics,)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
