@@ -102,51 +102,56 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
 
 
 def sketches(records: DataFrame, kmers: int = SKETCH_KMERS, count: int = SKETCHES) -> DataFrame:
-    """One row per record and sketch: ``field``, ``id``, ``bucket`` (k-mers in hash order) and ``in_order`` (the same in text order)."""
+    """One row per record and sketch: ``key`` of the record and ``bucket``.
+
+    The bucket's upper 48 bits hash the sketched k-mers in hash order (with the sketch's number and the
+    field), its lower 16 bits hash them in text order: 16 bytes a row, which is what gets shuffled.
+    """
 
     def make():
+        import pyarrow as pa
+
         seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         salt = _mix(np.arange(101, 101 + kmers, dtype=np.uint64))
         number = np.arange(count, dtype=np.uint64) << np.uint64(1)
+        low = np.uint64(0xFFFF)
 
         def step(cols):
-            fields, ids, buckets, orders = [], [], [], []
-            for f, i, ws in zip(cols["field"], cols["id"], cols["words"]):
+            keys, buckets = [], []
+            for f, key, ws in zip(cols["field"], cols["key"], cols["words"]):
                 x = np.array(ws, np.int64).view(np.uint64)
                 h = x[None, :] ^ seeds[:, None]
                 h = (h ^ (h >> np.uint64(31))) * _MIX_1
                 h ^= h >> np.uint64(29)
                 k = min(kmers, len(ws))
                 at = np.argpartition(h, k - 1, axis=1)[:, :k] if k < len(ws) else np.tile(np.arange(k), (count, 1))
-                by_place = np.sort(at, axis=1)
-                picked = np.take_along_axis(h, by_place, 1)
-                key = _mix(_mix(picked).sum(axis=1, dtype=np.uint64) + number)
-                order = _mix((picked * salt[None, :k] | np.uint64(1)).sum(axis=1, dtype=np.uint64))
-                fields += [f] * count
-                ids += [i] * count
-                buckets.append(key.view(np.int64))
-                orders.append((order >> np.uint64(33)).astype(np.int32))
-            import pyarrow as pa
-
-            yield {"field": fields, "id": ids, "bucket": pa.array(np.concatenate(buckets)), "in_order": pa.array(np.concatenate(orders))}
+                picked = np.take_along_axis(h, np.sort(at, axis=1), 1)
+                in_hash_order = _mix(_mix(picked).sum(axis=1, dtype=np.uint64) + number + (np.uint64(hash64(f) & 0xFFFFFFFF) << np.uint64(8)))
+                in_text_order = _mix((picked * salt[None, :k] | np.uint64(1)).sum(axis=1, dtype=np.uint64))
+                keys.append(np.full(count, key, np.int64))
+                buckets.append(((in_hash_order & ~low) | (in_text_order >> np.uint64(48))).view(np.int64))
+            yield {"key": pa.array(np.concatenate(keys)), "bucket": pa.array(np.concatenate(buckets))}
 
         return step
 
-    return arrow_map(records.select("field", "id", "words"), make, "field string, id bigint, bucket bigint, in_order int")
+    return arrow_map(records.select("field", "key", "words"), make, "key bigint, bucket bigint")
 
 
 def candidates(sketched: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Distinct pairs ``field``, ``a`` < ``b`` that share a bucket, with ``order_hits``: sketches that agree in text order too.
+    """Distinct pairs of keys ``a`` < ``b`` that share a bucket, with ``order_hits``: sketches that agree in text order too.
 
-    Buckets of one record cannot give a pair and go before the join. In buckets above
-    ``bucket_rows`` each row of the one side takes one of the salts, each row of the other side all.
+    Buckets of one record cannot give a pair and go first; only the sizes of the others meet the
+    sketches again, once, and what is left is written. In buckets above ``bucket_rows`` each row of
+    the one side takes one of the salts, each row of the other side all.
     """
-    size = sketched.groupBy("field", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = sketched.join(size, ["field", "bucket"]).withColumn("salts", F.ceil(F.col("n") / bucket_rows).cast("int"))
-    left = shared.select("field", "bucket", F.col("id").alias("a"), F.col("in_order").alias("oa"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    right = shared.select("field", "bucket", F.col("id").alias("b"), F.col("in_order").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["field", "bucket", "salt"]).where("a < b")
-    return pairs.groupBy("field", "a", "b").agg(F.sum((F.col("oa") == F.col("ob")).cast("int")).alias("order_hits"))
+    bucket = F.shiftright("bucket", 16)
+    size = sketched.groupBy(bucket.alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = sketched.select("key", bucket.alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("o")).join(size, "k")
+    shared = materialize(shared.select("k", "key", "o", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
+    left = shared.select("k", F.col("key").alias("a"), F.col("o").alias("oa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    right = shared.select("k", F.col("key").alias("b"), F.col("o").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = left.join(right, ["k", "salt"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.sum((F.col("oa") == F.col("ob")).cast("int")).alias("order_hits"))
 
 
 def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
@@ -172,8 +177,8 @@ def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
 def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> DataFrame:
     """Keeps the pairs with at least ``min_share`` of common words; adds ``share`` and ``edit_similarity``
     (the banded alignment's length over the longer record)."""
-    side = lambda k: records.select("field", F.col("id").alias(k), F.col("words").alias("w" + k))
-    both = pairs.join(side("a"), ["field", "a"]).join(side("b"), ["field", "b"])
+    side = lambda k: records.select(F.col("key").alias(k), F.col("words").alias("w" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.size("wa"), F.size("wb")
     # sizes alone exclude most pairs before any word is compared
     both = both.where(F.least(na, nb) >= F.greatest(na, nb) * (min_share - 1e-9))
@@ -184,27 +189,32 @@ def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, m
         def step(cols):
             cols["edit_similarity"] = [banded_alignment(a, b) / max(len(a), len(b)) for a, b in zip(cols["wa"], cols["wb"])]
             keep = [k for k, e in enumerate(cols["edit_similarity"]) if e >= min_edit_similarity]
-            names = ("field", "a", "b", "share", "edit_similarity", "order_hits")
+            names = ("a", "b", "share", "edit_similarity", "order_hits")
             yield {n: [cols[n][k] for k in keep] for n in names}
 
         return step
 
-    return arrow_map(both.select("field", "a", "b", "wa", "wb", "share", "order_hits"), make, "field string, a bigint, b bigint, share double, edit_similarity double, order_hits bigint")
+    return arrow_map(both.select("a", "b", "wa", "wb", "share", "order_hits"), make, "a bigint, b bigint, share double, edit_similarity double, order_hits bigint")
 
 
 def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """``(membership, links)`` of the records of :func:`record_words`.
 
-    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words); links: verified
-    pairs of different representatives. Empty input gives two empty tables.
+    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words); links: ``field``,
+    ``a``, ``b`` with their similarities, verified pairs of different representatives. Empty input
+    gives two empty tables.
     """
     records = materialize(records, "records")
     members = records.select("field", "id", "h1", "h2")
     reps = members.groupBy("field", "h1", "h2").agg(F.min("id").alias("rep"))
     membership = members.join(reps, ["field", "h1", "h2"]).select("field", "id", "rep")
-    chosen = materialize(records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").select("field", "id", "words"), "representatives")
-    found = candidates(materialize(sketches(chosen), "sketches"))
-    return membership, verify(found, chosen, min_share, min_edit_similarity)
+    chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").select("field", "id", "words")
+    chosen = materialize(chosen.withColumn("key", F.xxhash64("field", "id")), "representatives")
+    found = verify(candidates(materialize(sketches(chosen), "sketches")), chosen, min_share, min_edit_similarity)
+    name = lambda k: chosen.select("field", F.col("key").alias(k), F.col("id").alias("id_" + k))
+    named = found.join(name("a"), "a").join(name("b").drop("field"), "b")
+    order = lambda f: f("id_a", "id_b")
+    return membership, named.select("field", order(F.least).alias("a"), order(F.greatest).alias("b"), "share", "edit_similarity", "order_hits")
 
 
 def all_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
