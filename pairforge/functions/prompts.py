@@ -45,10 +45,10 @@ def crop_by_tokens(text: Column, budget: Column, count=count_tokens) -> Column:
     return F.array_join(F.slice(words, F.lit(1), kept), " ")
 
 
-def make_prompt(text_1: Column, text_2: Column, max_tokens: int = 3800, count=count_tokens) -> Column:
+def make_prompt(text_1: Column, text_2: Column, max_tokens: int | Column = 3800, count=count_tokens) -> Column:
     """The question with both texts, cropped if they exceed the budget together."""
     seed = F.lit(QUERY_PROMPT + "".join(LABELS))
-    budget = F.lit(max_tokens) - (count(seed) + 4)
+    budget = (F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens) - (count(seed) + 4)
     one, two = text_or_empty(text_1), text_or_empty(text_2)
     n1, n2 = count(one), count(two)
     c1, c2 = limit_pair(n1, n2, budget)

@@ -139,7 +139,7 @@ def unit_roc_auc(scored: DataFrame, group: list[str], steps: int = 51, **cols: s
     w = Window.partitionBy(*group).orderBy("k")
     area = F.abs(F.lead("fpr").over(w) - F.col("fpr")) * (F.lead("tpr").over(w) + F.col("tpr")) / 2
     row = F.struct(F.col("diff").alias("d"), (-F.col("k")).alias("t"), F.col("cutoff").alias("c"))
-    out = points.withColumn("area", area).groupBy(*group).agg(F.round(F.sum("area"), 6).alias("auc"), F.max(F.when(F.col("diff") > 0, row)).alias("b"))
+    out = points.withColumn("area", area).groupBy(*group).agg(F.round(F.sum("area"), 7).alias("auc"), F.max(F.when(F.col("diff") > 0, row)).alias("b"))
     return out.select(*group, "auc", F.coalesce("b.c", F.lit(0.0)).alias("cutoff"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairforge.plans import metrics, texts
+from pairforge.plans import keywords, metrics, texts
 
-MODULES = (metrics, texts)
+MODULES = (metrics, texts, keywords)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

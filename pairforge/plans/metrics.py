@@ -152,7 +152,7 @@ def _(spark, sf):
     "anm_roc_auc",
     "WITH " + UNIT_SQL + _RATES + """, l AS (SELECT *, round(tpr - fpr, 3) AS diff, abs(lead(fpr) OVER w - fpr) * (lead(tpr) OVER w + tpr) / 2 AS area FROM t WINDOW w AS (PARTITION BY dataset ORDER BY k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN diff > 0 THEN diff END DESC NULLS LAST, k) AS rn FROM l)
-SELECT dataset, round(sum(area), 6) AS auc, max(CASE WHEN rn = 1 THEN CASE WHEN diff > 0 THEN cutoff ELSE 0.0::DOUBLE END END) AS cutoff FROM r GROUP BY dataset""",
+SELECT dataset, round(sum(area), 7) AS auc, max(CASE WHEN rn = 1 THEN CASE WHEN diff > 0 THEN cutoff ELSE 0.0::DOUBLE END END) AS cutoff FROM r GROUP BY dataset""",
 )
 def _(spark, sf):
     return M.unit_roc_auc(unit_scored(spark, sf), G)
