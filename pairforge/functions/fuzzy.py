@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,12 @@ LEAST_LABEL = 10
 MAX_TEXT = 1500
 
 
+@lru_cache(maxsize=16)
+def _indexed(text: str) -> SequenceMatcher:
+    """A matcher that has indexed a text, for the keywords looked up in it one after another."""
+    return SequenceMatcher(None, "", text, autojunk=False)
+
+
 def partial_ratio_of(a: str | None, b: str | None) -> int:
     """0 to 100: how well the shorter string fits its best place in the longer one. Null or empty gives 0."""
     if not a or not b:
@@ -20,7 +27,8 @@ def partial_ratio_of(a: str | None, b: str | None) -> int:
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if short in long_:
         return 100
-    matcher = SequenceMatcher(None, short, long_, autojunk=False)
+    matcher = _indexed(long_)
+    matcher.set_seq1(short)
     best, seen = 0.0, set()
     for i, j, _ in matcher.get_matching_blocks():
         start = max(0, j - i)

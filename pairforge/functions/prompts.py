@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairforge.functions.text import text_or_empty
+from pairforge.functions.text import let, text_or_empty
 
 # The texts of the prompts.
 INIT_PROMPT = "You compare two texts, such as vacancies and resumes, and return integers from 0 to 10, where 0 means texts are not similar, and 10 means texts are similar"
@@ -34,15 +34,18 @@ def limit_pair(a: Column, b: Column, limit: Column) -> tuple[Column, Column]:
 def crop_by_tokens(text: Column, budget: Column, count=count_tokens) -> Column:
     """The longest run of whole words from the start whose tokens fit the budget, joined by spaces."""
     words = F.filter(F.split(text_or_empty(text), r"\s+"), lambda w: w != "")
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"))
 
-    def step(a: Column, w: Column) -> Column:
-        used = a["used"] + count(w)
-        full = a["full"] | (used > budget)
-        return F.struct(F.when(full, a["used"]).otherwise(used).alias("used"), F.when(full, a["n"]).otherwise(a["n"] + 1).alias("n"), full.alias("full"))
+    def kept(x: Column) -> Column:
+        def step(a: Column, size: Column) -> Column:
+            # once a word does not fit, the budget counts as used up
+            fits = a["used"] + size <= x["budget"]
+            return F.struct(F.when(fits, a["used"] + size).otherwise(x["budget"] + 1).alias("used"), F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"))
 
-    kept = F.aggregate(words, start, step)["n"]
-    return F.array_join(F.slice(words, F.lit(1), kept), " ")
+        n = F.aggregate(F.transform(x["words"], count), start, step)["n"]
+        return F.array_join(F.slice(x["words"], F.lit(1), n), " ")
+
+    return let(F.struct(words.alias("words"), budget.cast("int").alias("budget")), kept)
 
 
 def make_prompt(text_1: Column, text_2: Column, max_tokens: int | Column = 3800, count=count_tokens) -> Column:
@@ -50,10 +53,14 @@ def make_prompt(text_1: Column, text_2: Column, max_tokens: int | Column = 3800,
     seed = F.lit(QUERY_PROMPT + "".join(LABELS))
     budget = (F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens) - (count(seed) + 4)
     one, two = text_or_empty(text_1), text_or_empty(text_2)
-    n1, n2 = count(one), count(two)
-    c1, c2 = limit_pair(n1, n2, budget)
-    cropped = lambda t, n, c: F.when((n1 + n2 > budget) & (c < n), crop_by_tokens(t, c, count)).otherwise(t)
-    return F.concat(F.lit(QUERY_PROMPT + LABELS[0]), cropped(one, n1, c1), F.lit(LABELS[1]), cropped(two, n2, c2), F.lit(LABELS[2]))
+
+    def built(x: Column) -> Column:
+        c1, c2 = limit_pair(x["n1"], x["n2"], x["budget"])
+        cropped = lambda t, n, c: F.when((x["n1"] + x["n2"] > x["budget"]) & (c < x[n]), crop_by_tokens(x[t], c, count)).otherwise(x[t])
+        return F.concat(F.lit(QUERY_PROMPT + LABELS[0]), cropped("t1", "n1", c1), F.lit(LABELS[1]), cropped("t2", "n2", c2), F.lit(LABELS[2]))
+
+    parts = F.struct(one.alias("t1"), two.alias("t2"), count(one).alias("n1"), count(two).alias("n2"), budget.cast("int").alias("budget"))
+    return let(parts, built)
 
 
 def parse_score(answer: Column) -> Column:

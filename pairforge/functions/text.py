@@ -142,15 +142,20 @@ def sent_preprocess(c: str | Column) -> Column:
     return F.filter(cleaned, lambda s: s != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where lambdas of the body use it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(arr: Column, low: int, high: int) -> Column:
     """Word n-grams of all sizes from ``low`` to ``high``, joined by spaces."""
 
-    def of(n: int) -> Column:
-        last = F.size(arr) - n + 1
-        made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(arr, i, n)))
+    def of(a: Column, n: int) -> Column:
+        last = F.size(a) - n + 1
+        made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(a, i, n), " "))
         return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return let(arr, lambda a: F.concat(*[of(a, n) for n in range(low, high + 1)]))
 
 
 def sentence_windows(c: str | Column, size: int = 170, delta: int = 50) -> Column:

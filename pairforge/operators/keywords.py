@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import fuzzy
 from pairforge.functions import text as T
 from pairforge.functions.stem import PATTERN
+from pairforge.session import spread
 
 # Order of the sources, and words that are no skill.
 SOURCES = ("YAKE", "PositionRank", "SingleRank")
@@ -181,7 +182,7 @@ def extract(texts: DataFrame, key: str = "text_id", text: str = "text", n: int =
             yield pd.DataFrame({key: df[key], "kws": out})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, pieces.alias("pieces")).mapInPandas(run, f"`{key}` {kind}, kws array<struct<value:string,certainty:double,source:string>>")
+    return spread(texts.select(key, pieces.alias("pieces")), key).mapInPandas(run, f"`{key}` {kind}, kws array<struct<value:string,certainty:double,source:string>>")
 
 
 # ---- filters
@@ -202,7 +203,7 @@ def exclude(keywords: DataFrame, value: str = "value", blacklist: tuple[str, ...
     def good(values: pd.Series) -> pd.Series:
         return values.map(lambda v: not is_bad_phrase(v, tagger) and not any(fuzzy.partial_ratio_of(b, v) >= BLACKLIST_RATIO for b in blacklist))
 
-    judged = keywords.select(value).distinct().withColumn("_good", good(value)).where("_good").drop("_good")
+    judged = spread(keywords.select(value).distinct(), value).withColumn("_good", good(value)).where("_good").drop("_good")
     return keywords.join(judged, value, "left_semi")
 
 

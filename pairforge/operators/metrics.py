@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.storage import materialize
+
 BANDS = 1000
 
 
@@ -18,9 +20,14 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def by_score(scored: DataFrame, group: list[str], y: str = "need_match", value: str = "value") -> DataFrame:
-    """Positives ``p`` and negatives ``n`` of each distinct score; null labels count as negative, null scores are left out."""
+    """Positives ``p`` and negatives ``n`` of each distinct score; null labels count as negative, null scores
+    are left out. The counts are written, so that what follows does not score again; a table of counts
+    passes as it is, for several measures of one run."""
+    if {"score", "p", "n"} <= set(scored.columns):
+        return scored
     label = F.coalesce(F.col(y), F.lit(False))
-    return scored.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("score")).agg(F.sum(label.cast("long")).alias("p"), F.sum((~label).cast("long")).alias("n"))
+    counts = scored.groupBy(*group, F.col(value).alias("score")).agg(F.sum(label.cast("long")).alias("p"), F.sum((~label).cast("long")).alias("n"))
+    return materialize(counts.where("score is not null"), "counts")  # a filter before would compute each score twice
 
 
 def cumulative(counts: DataFrame, group: list[str]) -> DataFrame:
@@ -165,6 +172,7 @@ def confusion(scored: DataFrame, group: list[str], cutoff: float | Column, y: st
 
 def evaluate(scored: DataFrame, group: list[str], **cols: str) -> DataFrame:
     """All measures of a run in one row per group."""
+    scored = by_score(scored, group, **cols)
     out = roc_auc(scored, group, **cols).withColumnRenamed("cutoff", "cutoff_auc")
     pr = pr_auc(scored, group, **cols).select(*group, "auprc", F.col("f1").alias("f1_pr"), F.col("cutoff").alias("cutoff_pr"))
     f1 = f1_sweep(scored, group, **cols).select(*group, "f1", F.round("cutoff", 9).alias("cutoff_f1"))

@@ -13,8 +13,9 @@ SIDES = (("text_1", "title_1"), ("text_2", "title_2"))
 
 
 def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
-    """One row per key: the one delivered last; rows without a key are left out. Ties of ``order`` fall to the row with the larger hash of all columns."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*df.columns).desc())
+    """One row per key: the one delivered last; rows without a key are left out. Rows with the same key and
+    time are one delivery, of which any copy is taken; no other column is read for the choice."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

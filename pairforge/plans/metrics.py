@@ -43,11 +43,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_score(df: DataFrame) -> DataFrame:
     """Share of common tokens as ``value`` from 0 to 100, 0 if both texts have none."""
-    a, b = F.array_distinct(T.tokens("text_1")), F.array_distinct(T.tokens("text_2"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    all_ = F.size("_a") + F.size("_b") - both
-    value = F.when(all_ == 0, 0.0).otherwise(F.round(100.0 * both / F.nullif(all_, F.lit(0)), 3))
-    return df.withColumn("_a", a).withColumn("_b", b).withColumn("value", value).drop("_a", "_b")
+    sides = F.struct(F.array_distinct(T.tokens("text_1")).alias("a"), F.array_distinct(T.tokens("text_2")).alias("b"))
+    sizes = lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("sum"))
+    share = lambda n: F.when(n["sum"] == 0, 0.0).otherwise(F.round(100.0 * n["both"] / F.nullif(n["sum"] - n["both"], F.lit(0)), 3))
+    return df.withColumn("value", T.let(T.let(sides, sizes), share))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +264,8 @@ SELECT dataset, model, auc, auprc, CAST(row_number() OVER (PARTITION BY dataset
 def _(spark, sf):
     from pyspark.sql import Window
 
-    long, g = models(spark, sf), ["dataset", "model"]
+    g = ["dataset", "model"]
+    long = M.by_score(models(spark, sf), g)
     out = M.roc_auc(long, g).drop("cutoff").join(M.pr_auc(long, g).select(*g, "auprc"), g)
     place = F.row_number().over(Window.partitionBy("dataset").orderBy(F.col("auc").desc_nulls_last(), "model"))
     return out.select("dataset", "model", "auc", "auprc", place.alias("place"))

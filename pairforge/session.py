@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,6 +23,14 @@ def get_session(master: str | None = None, name: str = "pairforge", **settings:
     return build.getOrCreate()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all cores before costly functions: small tables would otherwise be merged into one
+    partition. The number follows the session's settings, which grow with the data."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
