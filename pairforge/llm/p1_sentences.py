@@ -167,7 +167,7 @@ class Splitter:
         if small >= 0.1 * dots:
             return True, may_end
         inner = "." in word
-        never_bare = bare <= 0.05 * dots and (open_ > 1 or inner)
+        never_bare = bare <= 0.05 * dots and (open_ >= 5 or inner or word[:1].isupper())
         if (letters <= 4 or inner or word[:1].isupper() and letters <= 5) and final <= 0.004 * dots and (never_bare or dots >= 100 and word[:1].isupper()):
             return True, may_end
         return inner and letters <= 6, may_end
