@@ -19,6 +19,17 @@ def _div(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def _meet(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", small: bool = True) -> DataFrame:
+    """Join on keys that may be null; ``small``: the other side has a bounded number of rows per group."""
+    other = F.broadcast(other) if small else other
+    if not keys:
+        return df.crossJoin(other)
+    for k in keys:
+        other = other.withColumnRenamed(k, f"_{k}")
+    same = [df[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return df.join(other, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def by_score(scored: DataFrame, group: list[str], y: str = "need_match", value: str = "value") -> DataFrame:
     """Positives ``p`` and negatives ``n`` of each distinct score; null labels count as negative, null scores
     are left out. The counts are written, so that what follows does not score again; a table of counts
@@ -33,9 +44,8 @@ def by_score(scored: DataFrame, group: list[str], y: str = "need_match", value:
 def cumulative(counts: DataFrame, group: list[str]) -> DataFrame:
     """Adds ``tp``, ``fp`` (at or above each score) and the totals ``pos``, ``neg``."""
     extent = counts.groupBy(*group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    on = lambda df, other: df.join(F.broadcast(other), group) if group else df.crossJoin(F.broadcast(other))  # noqa: E731 - one row per group
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    banded = on(counts, extent).withColumn("band", F.coalesce(F.least(F.floor((F.col("score") - F.col("lo")) / width * BANDS), F.lit(BANDS - 1)), F.lit(0)).cast("int")).drop("lo", "hi")
+    banded = _meet(counts, extent, group).withColumn("band", F.coalesce(F.least(F.floor((F.col("score") - F.col("lo")) / width * BANDS), F.lit(BANDS - 1)), F.lit(0)).cast("int")).drop("lo", "hi")
     bands = banded.groupBy(*group, "band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.partitionBy(*group).orderBy(F.col("band").desc())
     whole = Window.partitionBy(*group)
@@ -43,7 +53,8 @@ def cumulative(counts: DataFrame, group: list[str]) -> DataFrame:
         *group, "band", (F.sum("bp").over(above) - F.col("bp")).alias("up"), (F.sum("bn").over(above) - F.col("bn")).alias("un"), F.sum("bp").over(whole).alias("pos"), F.sum("bn").over(whole).alias("neg")
     )  # at most BANDS rows per group
     within = Window.partitionBy(*group, "band").orderBy(F.col("score").desc())
-    return banded.withColumns({"tp": F.sum("p").over(within), "fp": F.sum("n").over(within)}).join(F.broadcast(bands), [*group, "band"]).select(
+    running = banded.withColumns({"tp": F.sum("p").over(within), "fp": F.sum("n").over(within)})
+    return _meet(running, bands, [*group, "band"]).select(
         *group, "score", "p", "n", (F.col("tp") + F.col("up")).alias("tp"), (F.col("fp") + F.col("un")).alias("fp"), "pos", "neg"
     )
 
@@ -115,7 +126,7 @@ def sweep(scored: DataFrame, group: list[str], start: float = 0.0, stop: float =
     session = scored.sparkSession
     groups = hist.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     points = session.range(steps).select(F.col("id").cast("int").alias("k"))
-    full = groups.crossJoin(F.broadcast(points)).join(hist, [*group, "k"], "left")
+    full = _meet(groups.crossJoin(F.broadcast(points)), hist, [*group, "k"], "left", small=False)
     w = Window.partitionBy(*group).orderBy(F.col("k").desc())
     tp, fp = F.sum(F.coalesce("p", F.lit(0))).over(w), F.sum(F.coalesce("n", F.lit(0))).over(w)
     return full.select(*group, "k", at(F.col("k")).alias("cutoff"), tp.alias("tp"), fp.alias("fp"), (F.col("pos") - tp).alias("fn"), (F.col("neg") - fp).alias("tn"))
@@ -176,4 +187,4 @@ def evaluate(scored: DataFrame, group: list[str], **cols: str) -> DataFrame:
     out = roc_auc(scored, group, **cols).withColumnRenamed("cutoff", "cutoff_auc")
     pr = pr_auc(scored, group, **cols).select(*group, "auprc", F.col("f1").alias("f1_pr"), F.col("cutoff").alias("cutoff_pr"))
     f1 = f1_sweep(scored, group, **cols).select(*group, "f1", F.round("cutoff", 9).alias("cutoff_f1"))
-    return out.join(pr, group).join(f1, group)
+    return _meet(_meet(out, pr, group, small=False), f1, group, small=False)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as T
+from pairforge.sources.readers import number_rows
+from pairforge.storage import materialize
 
 SUFFIX = " Дополнительный текст."
 #: Distinct pair of columns of each side.
@@ -61,7 +63,7 @@ def all_texts(pairs: DataFrame, first: str = "text_1", second: str = "text_2") -
 def cross_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every résumé with every vacancy: this operator's result is the product by definition, so one side
     should be a chosen few. Ids number the texts in their own order; the label is true."""
-    number = lambda df, name: df.select(F.col("text"), (F.row_number().over(Window.orderBy(F.xxhash64("text"), "text")) - 1).alias(name))
+    number = lambda df, name: number_rows(materialize(df.select("text").orderBy(F.xxhash64("text"), "text"), "texts"), name)
     a, b = number(first, "i").withColumnRenamed("text", "text_1"), number(second, "j").withColumnRenamed("text", "text_2")
     return a.crossJoin(b).select(
         "text_1", "text_2", F.concat(F.lit("Resume "), "i").alias("title_1"), F.concat(F.lit("Vacancy "), "j").alias("title_2"), F.lit(True).alias("need_match")
@@ -82,8 +84,9 @@ def profile(pairs: DataFrame, *group: str) -> DataFrame:
     return pairs.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.count_if("need_match").alias("positives"),
-        F.countDistinct("text_1").alias("unique_1"),
-        F.countDistinct("text_2").alias("unique_2"),
+        # digests are shuffled, not the texts
+        F.countDistinct(F.xxhash64("text_1"), F.length("text_1")).alias("unique_1"),
+        F.countDistinct(F.xxhash64("text_2"), F.length("text_2")).alias("unique_2"),
         F.round(F.avg(one), 6).alias("mean_1"),
         F.round(F.avg(two), 6).alias("mean_2"),
         F.round(iqr(one), 6).alias("iqr_1"),

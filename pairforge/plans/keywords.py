@@ -87,14 +87,14 @@ def _(spark, sf):
     return keyword_rows(spark, sf).select("text_id", F.col("pos").cast("long").alias("pos"), K.cut_to_zero(F.round(F.col("certainty") * 100, 6), 0.25).alias("value"))
 
 
-@query("model_name_groups", "WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat(kind, '-1-', doc_id) END AS value FROM documents), g AS (SELECT n, value, sum(CASE WHEN value = '' THEN 1 ELSE 0 END) OVER (ORDER BY n) AS grp FROM l) SELECT n, CAST(grp AS INTEGER) AS grp, value AS name FROM g WHERE value <> ''")
+@query("model_name_groups", "WITH l AS (SELECT row_number() OVER (ORDER BY item_id) AS n, CASE WHEN item_id % 7 = 0 THEN '' ELSE concat(split, '-1-', item_id) END AS value FROM benchmark), g AS (SELECT n, value, sum(CASE WHEN value = '' THEN 1 ELSE 0 END) OVER (ORDER BY n) AS grp FROM l) SELECT n, CAST(grp AS INTEGER) AS grp, value AS name FROM g WHERE value <> ''")
 def _(spark, sf):
     from pyspark.sql import Window
 
-    docs = table(spark, sf, "documents").select("doc_id", "kind")
-    value = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat("kind", F.lit("-1-"), "doc_id"))
-    # a list of model names is a short file; here the ids stand in for its lines
-    lines = docs.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"), value.alias("value"))
+    items = table(spark, sf, "benchmark").select("item_id", "split")
+    value = F.when(F.col("item_id") % 7 == 0, "").otherwise(F.concat("split", F.lit("-1-"), "item_id"))
+    # a list of model names is a short file; the items, as many at every scale, stand in for its lines
+    lines = items.select(F.row_number().over(Window.orderBy("item_id")).cast("long").alias("n"), value.alias("value"))
     return R.model_names(lines).select("n", "grp", "name")
 
 

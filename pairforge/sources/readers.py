@@ -44,11 +44,18 @@ def load_dataset(spark: SparkSession, name: str, path: str) -> DataFrame:
         df = spark.read.parquet(path)
     else:
         df = spark.read.schema(SCHEMAS[name]).csv(path, header=True, multiLine=True, escape='"')
-    order = Window.orderBy("_part", "_pos")
-    numbered = df.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})
-    if "row_id" not in df.columns:
-        numbered = numbered.withColumn("row_id", F.row_number().over(order) - 1)
-    return to_pairs(numbered.drop("_part", "_pos"), name)
+    return to_pairs(df if "row_id" in df.columns else number_rows(df, "row_id"), name)
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Numbers rows from 0 in the order of partitions and of rows in them, without gathering them: only the
+    sizes of the partitions are summed up. The table must be read alike each time, as files are."""
+    marked = df.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mono", 33))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)
+    return marked.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_mono", "_part", "_start")
 
 
 def read_benchmark(spark: SparkSession, path: str, text_1: str, text_2: str, label: str = "need_match") -> DataFrame:

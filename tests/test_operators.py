@@ -221,3 +221,10 @@ def test_materialize_keeps_rows_and_schema(spark):
     out = materialize(df)
     assert out.schema == df.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     assert materialize(df.where("a > 5")).count() == 0
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(None, True, 2.0), (None, False, 1.0), ("d", True, 1.0), ("d", False, 1.0)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", score string")
+    got = {r["dataset"]: r["auc"] for r in M.evaluate(df.select("dataset", "need_match", "value"), ["dataset"]).collect()}
+    assert got == {None: 1.0, "d": 0.5}
