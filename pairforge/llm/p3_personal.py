@@ -63,7 +63,7 @@ _EXT = rf"(?:{_SPACE},?{_SPACE}(?:доб|ext|вн|extension|durchwahl|poste)\p{{
 _D = lambda n: _SEP.join([r"\d"] * n)  # noqa: E731 - n digits with single separators
 PHONE_STRONG = regex.compile(
     rf"(?i)(?<![\d\p{{L}}.\-/+])(?:(?:\+{_SPACE}7|8){_SEP}\(?{_SPACE}\d{{3}}{_SPACE}\)?{_SEP}\d{{3}}{_SEP}\d{{2}}{_SEP}\d{{2}}"
-    rf"|\(?{_SPACE}\+{_SPACE}(?:1|44|49|33|34|3[0-9]|4[0-8]|3[5-8]\d|9\d|2\d){_SPACE}\)?{_SEP}\(?{_SPACE}\d{{1,4}}{_SPACE}\)?(?:{_SEP}\d){{6,9}}){_EXT}(?![\d\p{{L}}])"
+    rf"|\(?{_SPACE}(?:\+|00){_SPACE}(?:1|44|49|33|34|3[0-9]|4[0-8]|3[5-8]\d|9\d|2\d){_SPACE}\)?{_SEP}\(?{_SPACE}\d{{1,4}}{_SPACE}\)?(?:{_SEP}\d){{6,9}}){_EXT}(?![\d\p{{L}}])"
 )
 PHONE_WEAK = regex.compile(
     rf"(?i)(?<![\d\p{{L}}.\-/+(])(?:\({_SPACE}\d{{3,5}}{_SPACE}\){_SEP}\d{{3,5}}(?:{_SEP}\d{{2,4}}){{0,2}}|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{3,4}}|0\d{{2,4}}{_SPACE}[/ ]{_SPACE}\d{{4,5}}{_SEP}\d{{3,4}}|0\d(?:{_SEP}\d{{2}}){{4}}|0\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}|\d{{9,11}}){_EXT}(?![\d\p{{L}}])"
@@ -77,7 +77,7 @@ _HOUSE = rf"(?:(?:дом|д){_SPACE}\.?{_SPACE})?\d{{1,4}}(?:{_SPACE}[\-/к]{_SP
 _RU_MORE = rf"(?:{_COMMA}(?:корпус|корп|к|строение|стр|квартира|кв|офис|оф|подъезд|этаж|комната|ком|лит){_SPACE}\.?{_SPACE}\d{{1,4}}\p{{L}}?)*"
 ADDRESS_RU = regex.compile(
     rf"(?i)(?<![\p{{L}}\d])(?:(?P<code>\d{{6}}){_COMMA})?(?:(?P<g>(?:г|гор|город|пос|с|дер){_SPACE}\.?{_SPACE}{_NAME}){_COMMA}|(?P<city>{_NAME}){_COMMA})?"
-    rf"(?:{_RU_STREET}(?:{_DOT}|(?<=\p{{L}}{{4}})|(?<=-\p{{L}}{{1,2}})){_SPACE}{_NAME}(?:{_SPACE}{_NAME})?|{_NAME}{_SPACE}(?:улица|ул|переулок|пер|проспект|пр-т|набережная|наб|шоссе|бульвар){_SPACE}\.?)"
+    rf"(?:{_RU_STREET}(?:{_DOT}|(?<=\p{{L}}{{4}})|(?<=-\p{{L}}{{1,2}})){_SPACE}{_NAME}(?:{_SPACE}{_NAME})?|{_NAME}{_SPACE}(?:улица|ул|переулок|пер|проспект|пр-т|набережная|наб|шоссе|бульвар)(?!\p{{L}}){_SPACE}\.?+(?!{_SPACE}\p{{L}}))"
     rf"(?:{_COMMA}(?P<house>{_HOUSE}){_RU_MORE})?"
 )
 _ZIP = r"\d{4,6}"
@@ -412,7 +412,7 @@ class Sanitizer:
             add(m.start("id"), m.end("id"), "id_number")
         for m in PHONE_STRONG.finditer(text):
             n = len(_digits(regex.sub(r"(?i)[ ,]*(?:доб|ext|вн).*$", "", m.group())))
-            if 10 <= n <= 13:
+            if 10 <= n <= 15:
                 add(m.start(), m.end(), "phone")
         for m in PHONE_WEAK.finditer(text):
             n = len(_digits(regex.sub(r"(?i)[ ,]*(?:доб|ext|вн).*$", "", m.group())))
