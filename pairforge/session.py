@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -20,7 +24,25 @@ def get_session(master: str | None = None, name: str = "pairforge", **settings:
         build = build.master(master)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         build = build.config(key, value)
-    return build.getOrCreate()
+    return ship(build.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors once per application, so that their Python finds it wherever they
+    run and whatever the driver's working folder is."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="pairforge-code-")) / "pairforge.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+    return spark
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
