@@ -47,21 +47,25 @@ _SHORT = regex.compile(r"(?<![\p{L}\p{M}\p{N}.\-])\p{L}[\p{L}\p{M}]{0,4}(?![\p{L
 _TOKEN = r"((?:\p{Lu}|\p{Lo}|\p{Ll}+\p{Lu}|\p{Ll}+-\p{L})[\p{L}\p{M}\p{N}'’\-]{0,23})"
 _BEGINS = regex.compile(rf"(?:\A|\n\s*\n|[?!…{HARD_STOPS}][»”“\"')\]]*\s+|(?<=\p{{Ll}}{{6}})\.\s+)\s*{_OPENERS}{_TOKEN}")
 _AMID = regex.compile(rf"(?<=[\p{{Ll}}\p{{Lo}}\p{{M}}\p{{N}},;] ){_TOKEN}")
+_LINE = regex.compile(r"(?:\A|(?<=\n))[^\S\n]*(\p{L}[^\n.!?…,;。]{1,38}[^\s.!?…,;:。\-–—]):?[^\S\n]*(?=\n|\Z)")
 _DOT = regex.compile(r"\.(?![.!?])")
 _CASELESS = regex.compile(r"(?=\p{Lo}|\p{M})[\p{Devanagari}\p{Arabic}]")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 
-#: Kinds of observations: a word with a stop before a small letter, before anything else that may begin a sentence, at a certain end; a short word without a stop; a word that begins a sentence, one amid it.
-SMALL, OPEN, FINAL, BARE, BEGINS, AMID = range(6)
+#: Kinds of observations: a word with a stop before a small letter, before anything else that may begin a sentence, at a certain end; a short word without a stop; a word that begins a sentence, one amid it; a short line without a stop.
+KINDS = SMALL, OPEN, FINAL, BARE, BEGINS, AMID, LINE = tuple(range(7))
 
 
 def _key(found: str) -> str:
-    return found.replace(" ", "").replace("\xa0", "")
+    """A word before a stop, its parts joined; a capitalised word after an abbreviation stands alone."""
+    found = found.replace(" ", "").replace("\xa0", "")
+    head, _, last = found.rpartition(".")
+    return last if head.islower() and last[:1].isupper() else found
 
 
 def observe(text: str) -> dict[int, Counter]:
     """Counts of the observations that a text gives, by kind and word."""
-    out = {k: Counter() for k in range(6)}
+    out = {k: Counter() for k in KINDS}
     n = len(text)
     for m in _DOT.finditer(text):
         i = m.start()
@@ -88,6 +92,8 @@ def observe(text: str) -> dict[int, Counter]:
     out[BARE].update(_SHORT.findall(text))
     out[BEGINS].update(_BEGINS.findall(text))
     out[AMID].update(_AMID.findall(text))
+    if "\n" in text:
+        out[LINE].update(_LINE.findall(text))
     return out
 
 
@@ -96,7 +102,7 @@ def corpus_evidence(texts: DataFrame, text: str = "text", min_share: float = MIN
     of the kind's observations, hence at most ``1 / min_share`` of them."""
 
     def make():
-        total = {k: Counter() for k in range(6)}
+        total = {k: Counter() for k in KINDS}
 
         def flush():
             rows = [(k, w, n) for k, c in total.items() for w, n in c.items()]
@@ -123,7 +129,7 @@ def corpus_evidence(texts: DataFrame, text: str = "text", min_share: float = MIN
     least = F.lit(0)
     for kind, n in totals.items():
         least = F.when(F.col("kind") == kind, max(1, int(n * min_share))).otherwise(least)
-    found: dict[int, dict[str, int]] = {k: {} for k in range(6)}
+    found: dict[int, dict[str, int]] = {k: {} for k in KINDS}
     for r in counts.where(F.col("n") >= least).toLocalIterator():
         found[r["kind"]][r["word"]] = r["n"]
     return found
@@ -133,7 +139,7 @@ class Splitter:
     """Cuts texts into sentence units with the evidence of the corpus."""
 
     def __init__(self, corpus: dict[int, dict[str, int]] | None = None):
-        self.corpus = corpus or {k: {} for k in range(6)}
+        self.corpus = {k: {} for k in KINDS} | (corpus or {})
 
     # ---- what is known of a word
 
@@ -270,7 +276,8 @@ class Splitter:
             if q >= n:
                 break
             mark = LIST_MARK.match(text, q) if "\n" in text[j:q] else None
-            if mark or text.count("\n", j, q) > 1 or self._ends(text, own, i, j, q, closed):
+            broken = text.count("\n", j, q)
+            if mark or broken > 1 or self._ends(text, own, i, j, q, closed) or broken and self._is_heading(own, self._line(text, q)):
                 end_at(j, q)
             if "\n" in text[j:q]:
                 line, skip = q, q
@@ -341,7 +348,8 @@ class Splitter:
         if not may_end and not closed:
             return False
         if letter_case == "capital":
-            return self.begins(own, word) > 0
+            known = self.begins(own, word)
+            return known > 0 or "\n" in text[j:q] and (known == 0 or len(word) == 1)
         return True
 
     def _glued(self, text: str, own, i: int, word: str) -> bool:
@@ -363,6 +371,10 @@ class Splitter:
         if before and before[-1] in STOPS:
             return False  # decided with the stop
         first, word = self._next(text, q)
+        if self._is_heading(own, before) and (not first.islower() or _SMALL_START.match(word)):
+            return True
+        if self._is_heading(own, self._line(text, q)):
+            return True
         heading = unit == line and len(before) <= 60 and before.count(" ") <= 6 and not item
         if first.islower():
             return bool(_SMALL_START.match(word)) and (item or heading and not before[:1].islower())
@@ -381,6 +393,17 @@ class Splitter:
             return known >= 0 and before[-1:] not in ",—–"
         return known > 0 and before[-1:] not in ",;:—–-("
 
+    @staticmethod
+    def _line(text: str, q: int) -> str:
+        end = text.find("\n", q)
+        return text[q : end if end >= 0 else len(text)].strip()
+
+    def _is_heading(self, own, line: str) -> bool:
+        """Whether a line recurs in the corpus as a line of its own, more than as the start of sentences."""
+        line = line.removesuffix(":").rstrip()
+        n = self.corpus[LINE].get(line, 0) if len(line) <= 40 else 0
+        return n >= 3 and n >= 0.1 * self.corpus[BEGINS].get(_WORD.match(line).group()[:24] if _WORD.match(line) else "", 0)
+
     @staticmethod
     def _unstopped_lines(text: str) -> bool:
         """Whether most lines of the text end without a stop, so that a line is a unit."""

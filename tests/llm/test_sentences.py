@@ -11,7 +11,7 @@ CORPUS = [
 
 
 def evidence(texts):
-    out = {k: {} for k in range(6)}
+    out = {k: {} for k in P1.KINDS}
     for t in texts:
         for k, c in P1.observe(t).items():
             for w, n in c.items():
