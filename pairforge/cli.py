@@ -38,7 +38,12 @@ def parse_free(args: list[str]) -> dict[str, int | float | bool | str]:
     return out
 
 
-def _matcher(name: str, free: dict):
+def _matcher(name: str, free: dict, dataset: str | None = None):
+    """A matcher by name; without parameters the tuned one of the data set, if there is one."""
+    from pairforge.operators import presets as PS
+
+    if not free and dataset in PS.KEYWORDS and name in ("keywords", "tfidf", "gpt"):
+        return PS.tuned(dataset)[name]
     from pairforge.operators import matchers as MA
     from pairforge.operators import tfidf as TF
 
@@ -102,11 +107,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "profile":
         result = P.profile(pairs)
     elif args.command == "timings":
-        result = spark.createDataFrame(timed(pairs, _matcher(args.model, parse_free(rest)).score))
+        result = spark.createDataFrame(timed(pairs, _matcher(args.model, parse_free(rest), args.dataset).score))
     else:
         from pyspark.sql import functions as F
 
-        scored = _matcher(args.model, parse_free(rest)).score(pairs).withColumn("dataset", F.lit(args.dataset)).withColumn("model", F.lit(args.model))
+        scored = _matcher(args.model, parse_free(rest), args.dataset).score(pairs).withColumn("dataset", F.lit(args.dataset)).withColumn("model", F.lit(args.model))
         result = M.evaluate(scored, ["dataset", "model"])
     if args.out:
         SK.write_table(result, args.out, "append")

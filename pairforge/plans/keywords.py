@@ -178,6 +178,16 @@ def _(spark, sf):
     return MA.PromptMatcher().score(rows).select("pair_id", "value")
 
 
+@query("tuned_runs")
+def _(spark, sf):
+    from pairforge.operators import presets as PS
+
+    names = ("studentor_partner", "dataset_v6_r30")
+    datasets = {n: R.to_pairs(P.latest(table(spark, sf, n), "row_id"), n) for n in names}
+    matchers = {n: {k: m for k, m in PS.tuned(n).items() if k != "keywords"} for n in names}
+    return PS.run_all(datasets, matchers)
+
+
 @query("word2vec_match")
 def _(spark, sf):
     corpus = table(spark, sf, "documents_preprocessed").select(F.col("preprocessed_text").alias("tokens"))

@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pairforge.plans import catalog  # noqa: E402
 from verify import bag  # noqa: E402
 
-SLOW = {"word2vec_match", "fasttext_match", "keyword_grid", "tfidf_config_sweep", "keyword_match_saturated"}
+SLOW = {"word2vec_match", "fasttext_match", "keyword_grid", "tfidf_config_sweep", "keyword_match_saturated", "tuned_runs"}
 
 
 @pytest.fixture(scope="module")
