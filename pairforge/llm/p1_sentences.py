@@ -146,12 +146,23 @@ class Splitter:
     def _counts(self, own: dict[int, Counter], word: str, kinds: tuple[int, ...]) -> list[int]:
         """The text's counts where it has any that tell, else the corpus's."""
         here = [own[k][word] for k in kinds]
-        all_ = [self.corpus[k].get(word, 0) for k in kinds]
-        return here if not any(all_) else all_
+        all_ = [sum(self.corpus[k].get(form, 0) for form in self._forms(word)) for k in kinds]
+        return all_ if any(all_) else here
+
+    @staticmethod
+    def _forms(word: str) -> tuple[str, ...]:
+        """A word as it stands; words in capitals, of headings and the like, as they are usually written too."""
+        return (word, word.lower(), word.capitalize()) if len(word) > 1 and word.isupper() else (word,)
 
     def begins(self, own, word: str) -> int:
         """1: the word begins sentences, -1: it stands amid them, 0: unknown. The text itself decides if its evidence is of one kind."""
         word = word[:24]
+        if len(word) > 1 and word.isupper():
+            b, a = self._counts(own, word.capitalize(), (BEGINS, AMID))
+            if b or a:
+                return (b > a) - (b < a)
+            # places in texts in capitals do not show that it begins sentences; acronyms show that they stand amid
+            return -(self.corpus[AMID].get(word, 0) > self.corpus[BEGINS].get(word, 0))
         b, a = own[BEGINS][word], own[AMID][word]
         if bool(b) == bool(a):
             b, a = self.corpus[BEGINS].get(word, 0), self.corpus[AMID].get(word, 0)
@@ -173,7 +184,7 @@ class Splitter:
         if small >= 0.1 * dots:
             return True, may_end
         inner = "." in word
-        never_bare = bare <= 0.05 * dots and (open_ >= 5 or inner or word[:1].isupper())
+        never_bare = bare <= 0.05 * dots and (open_ >= 5 or inner or word[:1].isupper() and not (len(word) > 2 and word.isupper()))
         if (letters <= 4 or inner or word[:1].isupper() and letters <= 5) and final <= 0.004 * dots and (never_bare or dots >= 100 and word[:1].isupper()):
             return True, may_end
         return inner and letters <= 6, may_end
@@ -325,6 +336,9 @@ class Splitter:
                 return False
         elif not letter_case:
             return "\n" in text[j:q] or regex.match(r"\p{So}|[<`$]", text[q]) is not None
+        if (closed or "…" in run or ".." in run) and word.isupper() and regex.search(r"\p{Lu}{2}\W*$", text[max(0, i - 12) : i]):
+            # all in capitals, so the case of the next word tells nothing
+            return len(word) > 1 and self.begins(own, word) > 0
         if text[i] != "." or text[i + 1 : i + 2] in (".", "!", "?", "…") or "!" in run or "?" in run:
             return True
         if not i:
@@ -387,6 +401,8 @@ class Splitter:
             return True
         if text[q] in "«„“\"(¿¡" and (heading or item):
             return True
+        if len(before) > 6 and before.isupper() and word.isupper():
+            return False  # a line broken within a sentence in capitals
         if heading and not before[:1].islower():
             return known > 0 or known == 0 and not first.isdigit() and before[-1:] not in ",;—–-" and self._heading(own, before)
         if item:
