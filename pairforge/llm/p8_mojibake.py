@@ -1,7 +1,8 @@
 """Texts garbled by a wrong decoding: found by an automaton of garbled sequences, restored span by span.
 
 For every pair of encodings (the one the bytes were written in, the one they were read with) the
-letters and letter pairs of common alphabets are garbled in advance; the sequences that come out
+whole repertoire is garbled in advance: every character of UTF-8's leads and of the East Asian encodings,
+letters and letter pairs of the alphabets with one byte a letter; the sequences that come out
 and do not occur in correct text are the patterns of one automaton. A hit only proposes a pair for
 the word it stands in: the word is read back, and the span is replaced if what comes out is
 plausible and what stood there is not. Words without a hit stay untouched, so correct text
@@ -34,6 +35,10 @@ CYRILLIC_READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "iso8859-5
 EAST_ASIAN = ("gb18030", "shift_jis", "euc-jp", "big5", "euc-kr")
 EAST_ASIAN_READ_AS = ("cp1252", "latin-1", "cp1251", "mac-roman", "cp437", "cp850", "koi8-r", "cp866")
 WESTERN = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac-roman"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1252", "cp1253"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac-roman", "cp1252"))
+OTHER_ALPHABETS = {"cp1253": "gr", "iso8859-7": "gr", "cp1255": "he", "iso8859-8": "he", "cp1256": "ar", "iso8859-6": "ar", "cp874": "th"}
+OTHER_READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac-roman", "cp437", "cp850")
+ALPHABETS = {"gr": "αβγδεζηθικλμνξοπρςστυφχψωάέήίόύώ", "he": "".join(map(chr, range(0x5D0, 0x5EB))), "ar": "".join(map(chr, (*range(0x621, 0x63B), *range(0x641, 0x64B)))), "th": "".join(map(chr, (*range(0xE01, 0xE3B), *range(0xE40, 0xE4F))))}
+CENTRAL = tuple((real, wrong) for real in ("cp1250", "iso8859-2", "cp1254", "cp1257") for wrong in ("cp1252", "latin-1", "cp1251", "koi8-r", "mac-roman") if real != wrong)
 UTF8_READ_AS_WIDE = ("gb18030", "big5", "shift_jis", "euc-kr")
 
 # Common words, whose letter pairs tell Russian from garbled text.
@@ -46,9 +51,11 @@ RUSSIAN_WORDS = """и в не на что он с как это по но они
 VOWELS, CONSONANTS = "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"
 COMMON_HAN = "的了一是不在有人我们为这中大学和使用时间项目平均成绩课程小组团队系统需要能力经验老师说部门设计开发测试优化公司点名版管理数据研修担当者試験応募必要理索引"
 KANA_AND_MARKS = "".join(map(chr, [*range(0x3041, 0x3094), *range(0x30A1, 0x30F7)])) + "ー、。，！？「」“”：…（）・"
+CENTRAL_LETTERS = "ąćęłńśźżčďěňřšťůžőűăşţğıāēģīķļņūųėįľĺŕ"
 WESTERN_LETTERS = "àâäçèéêëîïñòóôöùûüúíáãõßøåæìÿÉÈÀÇÑÓÖÜÄÍÚÁ"
 
-_CYRILLIC_WORD = regex.compile(r"[а-яё]{3,}")
+#: What :func:`corpus_words` counts: Russian words, and single letters of East Asian scripts.
+_COUNTED = regex.compile(r"[а-яё]{3,}|[\p{Han}\p{Hangul}]")
 _SPACES = regex.compile(r"[^ \t\r\n]+")
 _LOST = "�"
 #: Lines and blocks alone are a drawing.
@@ -90,6 +97,11 @@ def _bytes_of(encoding: str) -> dict[str, int]:
 def write(text: str, encoding: str) -> bytes | None:
     """The bytes that were read as ``text``; None if a character cannot come from that encoding."""
     if encoding in UTF8_READ_AS_WIDE:
+        if _LOST not in text:
+            try:
+                return text.encode(encoding)
+            except UnicodeEncodeError:
+                return None
         out = bytearray()
         for ch in text:
             if ch == _LOST:
@@ -113,7 +125,7 @@ _CLASSES: dict[str, str] = {}
 
 
 def _class(ch: str) -> str:
-    """l, u: Latin small, capital; c, C: Russian; g: Greek; h: scripts without case; s: space; p: usual punctuation; d: digit; m: mark; x: anything else."""
+    """l, u: Latin small, capital; c, C: Russian; g: Greek; h: East Asian; a: other scripts without case; s: space; p: usual punctuation; d: digit; m: mark; x: anything else."""
     found = _CLASSES.get(ch)
     if found is None:
         o = ord(ch)
@@ -127,14 +139,16 @@ def _class(ch: str) -> str:
             found = "C"
         elif ch.isdigit() and o < 128:
             found = "d"
-        elif 0x391 <= o < 0x3CA:
+        elif 0x386 <= o < 0x3CF and o != 0x387:
             found = "g"
         elif ch in " \n\t\r":
             found = "s"
-        elif o < 128 and ch.isprintable() or ch in "«»—–„“”‘’…№•¿¡\xa0":
+        elif o < 128 and ch.isprintable() or ch in "«»—–„“”‘’…№•¿¡\xa0،؛؟।":
             found = "p"
-        elif regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}\p{Arabic}\p{Hangul}\p{Hebrew}]|[　-〿＀-｠￠-￯]", ch) and not "｡" <= ch <= "ﾟ":
+        elif regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|[　-〿＀-｠￠-￯]", ch) and not "｡" <= ch <= "ﾟ":
             found = "h"
+        elif regex.match(r"(?=[\p{L}\p{M}\p{N}])[\p{Thai}\p{Devanagari}\p{Arabic}\p{Hebrew}]", ch):
+            found = "a"
         elif regex.match(r"\p{M}", ch):
             found = "m"
         else:
@@ -145,7 +159,7 @@ def _class(ch: str) -> str:
 
 
 #: Neighbours that words do not hold: a capital after a small letter, letters of two alphabets, a letter beside a sign.
-_ODD = {"lu", "cC", "lc", "cl", "uc", "cu", "lC", "Cl", "uC", "Cu", "lx", "xl", "cx", "xc", "Cx", "xC", "ux", "xu", "xx", "xh", "hx", "lg", "gl", "cg", "gc", "Cg", "gC", "gu", "ug"}
+_ODD = {"lu", "cC", "lc", "cl", "uc", "cu", "lC", "Cl", "uC", "Cu", "lx", "xl", "cx", "xc", "Cx", "xC", "ux", "xu", "xx", "xh", "hx", "lg", "gl", "cg", "gc", "Cg", "gC", "gu", "ug", "ax", "xa"} | {two for k in "lucCgh" for two in ("a" + k, k + "a")}
 
 
 def usual_parts(words: dict[str, int], n: int, share: float) -> set[str]:
@@ -164,11 +178,13 @@ _RUSSIAN_PAIRS = frozenset(usual_parts(dict.fromkeys(RUSSIAN_WORDS, 1), 2, 0))
 def oddity(text: str, usual: frozenset[str] = _RUSSIAN_PAIRS) -> float:
     """How odd a span of text looks: signs of no script, changes of script or of case within words, pairs of
     Cyrillic letters that are not ``usual``."""
-    classes = [_class(ch) for ch in text]
-    total = sum({"x": 1.0, "m": 0.1}.get(k, 0.0) for k in classes) + 2.0 * text.count(_LOST)
+    classes = "".join([_CLASSES.get(ch) or _class(ch) for ch in text])
+    total = classes.count("x") + 0.1 * classes.count("m") + 2.0 * text.count(_LOST) + (classes[:1] == "m")
     low = text.lower()
     for i in range(len(text) - 1):
         two = classes[i] + classes[i + 1]
+        if two[1] == "m" and two[0] in "spd":  # a mark without its letter
+            total += 1.0
         if two in _ODD:
             total += 1.0
         if classes[i] in "cC" and classes[i + 1] in "cC" and low[i : i + 2] not in usual:
@@ -178,6 +194,35 @@ def oddity(text: str, usual: frozenset[str] = _RUSSIAN_PAIRS) -> float:
     return total
 
 
+@lru_cache(maxsize=8)
+def _first_level(encoding: str) -> frozenset[str]:
+    """The letters that an East Asian encoding holds as its usual ones: Han of the first level, kana, Hangul, full-width marks."""
+    rows = {"gb18030": (0xA1, 0xD7), "euc-jp": (0xA1, 0xCF), "euc-kr": (0xA1, 0xC8), "big5": (0xA1, 0xC6), "shift_jis": (0x81, 0x97)}[encoding]
+    out = set()
+    for lead in range(rows[0], rows[1] + 1):
+        for trail in range(0x40 if encoding in ("big5", "shift_jis") else 0xA1, 0xFF):
+            try:
+                out.add(bytes([lead, trail]).decode(encoding))
+            except UnicodeDecodeError:
+                continue
+    return frozenset(out)
+
+
+@lru_cache(maxsize=1)
+def _sequences() -> dict[bytes, tuple[bool, ...]]:
+    """The bytes of all characters of the East Asian encodings, and which encodings have them; of four bytes the first two."""
+    out: dict[bytes, list[bool]] = {}
+    for k, encoding in enumerate(EAST_ASIAN):
+        for ch in map(chr, (*range(0xA1, 0xD800), *range(0xF900, 0x10000))):
+            try:
+                data = ch.encode(encoding)
+            except UnicodeEncodeError:
+                continue
+            if len(data) > 1:
+                out.setdefault(data[:2] if len(data) == 4 else data, [False] * len(EAST_ASIAN))[k] = True
+    return {data: tuple(of) for data, of in out.items()}
+
+
 # ---- patterns
 
 
@@ -190,24 +235,43 @@ class Finder:
     def __init__(self, words: dict[str, int] | None = None):
         words = words or {}
         self.usual = _RUSSIAN_PAIRS | usual_parts(words, 2, PART_SHARE)
-        patterns: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.letters = frozenset(COMMON_HAN) | {w for w in words if len(w) == 1}
+        patterns: dict[str, int] = defaultdict(int)
+        number: dict[tuple[str, str], int] = {}
+
+        def note(out: str, real: str, wrong: str) -> None:
+            patterns[out] |= 1 << number.setdefault((real, wrong), len(number))
 
         def add(text, real, wrong):
             out = garble(text, real, wrong)
             if out and out != text and len(out) <= 8 and _LOST not in out and not out.isascii() and self._unusual(out):
-                patterns[out].add((real, wrong))
+                note(out, real, wrong)
+
+        verdicts: dict[str, bool] = {}
 
-        letters = [chr(c) for c in (*range(0xA1, 0x180), *range(0x391, 0x3CA), *range(0x401, 0x460), 0x490, 0x491, *range(0x2010, 0x2027), *range(0x2070, 0x208F), *range(0x2190, 0x2196), 0x2248, *range(0x2260, 0x2266), *range(0x2500, 0x2540), *range(0x1EA0, 0x1EFA), 0x2039, 0x203A, 0x20AC, 0x2116, 0x2122, *range(0x600, 0x660), *range(0x900, 0x970), *range(0xE01, 0xE5C))]
-        letters += list(KANA_AND_MARKS) + ["\xa0"]
+        def unusual(data: bytes, table_: list[str], marks: list[str]) -> bool:
+            """:meth:`_unusual` of the bytes as read, which the classes of the characters decide."""
+            key = "".join([marks[b] for b in data])
+            if key not in verdicts:
+                verdicts[key] = self._unusual("".join([table_[b] for b in data]))
+            return verdicts[key]
+
+        marks_of = lambda t: [_class(ch) + ("N" if ch == "\xa0" else "" if ch > "\x7f" else "'") for ch in t]
+        # UTF-8: all characters of two bytes; of those of more the first two bytes if these are odd, else the first three
         for wrong in UTF8_READ_AS:
-            for ch in letters:
-                add(ch, "utf-8", wrong)
             table_ = _table(wrong)
-            for lead in (*range(0xE4, 0xEA), 0xF0):  # Han letters and emoji: the first two of their bytes
-                for second in range(0x80, 0xC0) if lead != 0xF0 else (0x9F,):
+            marks = marks_of(table_)
+            for o in range(0xA0, 0x800):
+                add(chr(o), "utf-8", wrong)
+            for lead in range(0xE0, 0xF5):
+                for second in range({0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80), {0xED: 0xA0, 0xF4: 0x90}.get(lead, 0xC0)):
                     two = table_[lead] + table_[second]
-                    if self._unusual(two) and not two[1].isspace():
-                        patterns[two].add(("utf-8", wrong))
+                    if not two[1].isspace() and "x" in _class(two[0]) + _class(two[1]):
+                        note(two, "utf-8", wrong)
+                        continue
+                    for third in range(0x80, 0xC0):
+                        if unusual((lead, second, third), table_, marks):
+                            note(two + table_[third], "utf-8", wrong)
         pairs = [v + k for v in VOWELS for k in CONSONANTS] + [k + v for v in VOWELS for k in CONSONANTS]
         triples = usual_parts(dict.fromkeys(RUSSIAN_WORDS, 1), 3, 0)
         more = usual_parts(words, 3, PART_SHARE) - triples
@@ -219,33 +283,115 @@ class Finder:
                         add(text.capitalize(), real, wrong)
                     for text in more if wrong in CYRILLIC else ():
                         add(text, real, wrong)
-        for real in EAST_ASIAN:
-            for wrong in EAST_ASIAN_READ_AS:
-                for ch in COMMON_HAN + KANA_AND_MARKS:
-                    add(ch, real, wrong)
+        for wrong in EAST_ASIAN_READ_AS:
+            table_ = _table(wrong)
+            marks = marks_of(table_)
+            bits = [1 << number.setdefault((real, wrong), len(number)) for real in EAST_ASIAN]
+            masks = {of: sum(bit for bit, has in zip(bits, of) if has) for of in set(_sequences().values())}
+            for data, of in _sequences().items():
+                if unusual(data, table_, marks):
+                    patterns["".join([table_[b] for b in data])] |= masks[of]
+        for real, name in OTHER_ALPHABETS.items():
+            for wrong in OTHER_READ_AS:
+                for a in ALPHABETS[name]:
+                    for b in ALPHABETS[name]:
+                        add(a + b, real, wrong)
+                        if name == "gr":
+                            add(a.upper() + b, real, wrong)
         for real, wrong in WESTERN:
             for ch in WESTERN_LETTERS:
                 out = garble(ch, real, wrong)
                 if out and out != ch and _class(out) not in "lpsdm" and ch.islower():
                     for a in "abcdefghijklmnopqrstuvwxyz":
-                        patterns[a + out].add((real, wrong))
+                        note(a + out, real, wrong)
+        for real, wrong in CENTRAL:
+            for ch in CENTRAL_LETTERS:
+                out = garble(ch, real, wrong)
+                if out and out != ch and out != "µ" and _class(out) not in "lpsdm":
+                    for a in "abcdefghijklmnopqrstuvwxyz":
+                        note(out + a, real, wrong)  # after a letter these signs are exponents too
         for wrong in UTF8_READ_AS_WIDE:
             for text in pairs:
                 add(text, "utf-8", wrong)
-            for ch in WESTERN_LETTERS.lower():
+            for ch in WESTERN_LETTERS.lower() + CENTRAL_LETTERS:
                 out = garble(ch, "utf-8", wrong)
                 if out and len(out) == 1 and _LOST not in out:
                     for a in "abcdefghijklmnopqrstuvwxyz":
-                        patterns[a + out].add(("utf-8", wrong))
-        for ch in "銇銈銉锛銆鐨鍦鏄":  # the first halves of kana, full-width marks and common Han letters read as gb18030
-            patterns[ch].add(("utf-8", "gb18030"))
-        self.pairs = sorted({p for ps in patterns.values() for p in ps})
-        place = {p: i for i, p in enumerate(self.pairs)}
+                        note(a + out, "utf-8", wrong)
+            # all other scripts: what the first two bytes of a character become; correct text in Han has
+            # these signs too, but its bytes are no UTF-8
+            for lead in (*range(0xCE, 0xDC), *range(0xE0, 0xF5)):
+                for second in range(0x80, 0xC0):
+                    try:
+                        out = bytes([lead, second]).decode(wrong)
+                    except UnicodeDecodeError:
+                        continue
+                    if len(out) == 1:
+                        note(out, "utf-8", wrong)
+        self.pairs = sorted(number)
+        self.many = frozenset(p for p, (real, _) in enumerate(self.pairs) if real in EAST_ASIAN or real in OTHER_ALPHABETS)
+        place = {number[p]: i for i, p in enumerate(self.pairs)}
+        of_mask: dict[tuple[int, int], tuple] = {}
         self.automaton = ahocorasick.Automaton()
-        for text, ps in patterns.items():
-            self.automaton.add_word(text, (len(text), tuple(sorted(place[p] for p in ps))))
+        for text, mask in patterns.items():
+            value = of_mask.get((len(text), mask))
+            if value is None:
+                value = of_mask[len(text), mask] = (len(text), tuple(sorted(i for k, i in place.items() if mask >> k & 1)))
+            self.automaton.add_word(text, value)
         self.automaton.make_automaton()
 
+    def _rarity(self, text: str, real: str) -> float:
+        """How rare the East Asian letters are: those usual in the corpus count nothing, those of the encoding's
+        second level and letters of other languages most."""
+        first = _first_level(real)
+        total = 0.0
+        for ch in text:
+            if ch > "\x7f" and ch not in self.letters:
+                kana = "\u3041" <= ch <= "\u30fa"
+                total += 0.3 if ch not in first else 0.05 if kana and real not in ("euc-jp", "shift_jis") else 0.0 if kana else 0.1 if real == "euc-kr" else 0.15
+        return total
+
+    @staticmethod
+    def _doubt(back: str, real: str) -> float:
+        """What a reading weighs less than another that is as plain: nearly any bytes read as letters of a script without case."""
+        if any(real == r for r, _ in CENTRAL) and not back.isascii():
+            return 0.2
+        if real in OTHER_ALPHABETS:
+            return (0.3 if OTHER_ALPHABETS[real] == "th" else 0.05) * sum(_class(ch) in "ag" for ch in back)
+        if real in EAST_ASIAN:
+            mixed = any(_class(x) + _class(y) in ("lh", "hl", "uh", "hu") for x, y in zip(back, back[1:]))
+            return 0.05 * sum(ch > "\x7f" for ch in back) + 2.0 * mixed
+        return 0.0
+
+    def _inside(self, span: str, wrong: str) -> list[tuple[int, int, str]]:
+        """Runs within a word without spaces whose bytes in a wide encoding are UTF-8 of usual East Asian letters."""
+        data, at = [], 0
+        for ch in span:
+            try:
+                data.append(ch.encode(wrong))
+            except UnicodeEncodeError:
+                data.append(b"\xff")
+        out = []
+        while at < len(span):
+            if len(data[at]) == 2 and 0xE3 <= data[at][0] <= 0xED and 0x80 <= data[at][1] < 0xC0:
+                run, end, best = b"", at, None
+                while end < len(span) and len(data[end]) == 2 and all(0x80 <= b < 0xC0 or 0xE3 <= b <= 0xEF for b in data[end]):
+                    run += data[end]
+                    end += 1
+                    try:
+                        best = (end, run.decode("utf-8"))
+                    except UnicodeDecodeError as error:
+                        if error.reason != "unexpected end of data":
+                            break
+                if best:
+                    known = sum(ch in self.letters or "\u3041" <= ch <= "\u30fa" for ch in best[1])
+                    if known >= 2 and known * 2 >= len(best[1]) and all(_class(ch) == "h" for ch in best[1]):
+                        out.append((at, *best))
+                        at = best[0]
+                        continue
+            at += 1
+        return out
+
     @staticmethod
     def _unusual(text: str) -> bool:
         """Whether correct text is unlikely to hold the sequence."""
@@ -291,6 +437,7 @@ class Finder:
 
     def _once(self, text: str) -> list[tuple[int, int, str]]:
         """Spans to replace, in order."""
+        seen: dict[tuple[int, int], dict[tuple, int]] = {}
         tokens: dict[tuple[int, int], dict[int, int]] = {}
         hits = [(end + 1 - n, ps) for end, (n, ps) in self.automaton.iter(text)]
         if not hits:
@@ -301,20 +448,28 @@ class Finder:
             while k < len(bounds) and bounds[k][1] <= start:
                 k += 1
             if k < len(bounds) and bounds[k][0] <= start:
-                votes = tokens.setdefault(bounds[k], {})
+                lists = seen.setdefault(bounds[k], {})
+                lists[ps] = lists.get(ps, 0) + 1
+        for bound, lists in seen.items():
+            votes = tokens[bound] = {}
+            for ps, n in lists.items():
                 for p in ps:
-                    votes[p] = votes.get(p, 0) + 1
+                    votes[p] = votes.get(p, 0) + n
         total: dict[int, int] = {}
         for votes in tokens.values():
             for p, n in votes.items():
                 total[p] = total.get(p, 0) + n
-        chosen = []
+        chosen, wide, others = [], [], {}
         for (a, b), votes in tokens.items():
             span = text[a:b]
             drawing = _DRAWING.fullmatch(span) is not None
             own = oddity(span, self.usual)
-            best = None
-            for p in sorted(votes, key=lambda p: (-votes[p], -total[p]))[:12]:
+            if own < 0.5 and not any(self.pairs[p][1] in UTF8_READ_AS_WIDE for p in votes):
+                continue
+            best, torn, options = None, [], {}
+            for p in sorted(votes, key=lambda p: (p in self.many, -total[p], p)):
+                if best and best[0][0] == 0:
+                    break  # nothing can be plainer, ties go to the pair found more often, and the others are in doubt
                 real, wrong = self.pairs[p]
                 # letters of an East Asian encoding look plain one by one; their garbled sequences do not
                 before = own + (votes[p] if wrong in UTF8_READ_AS_WIDE else 0.0)
@@ -322,12 +477,22 @@ class Finder:
                     continue
                 if drawing and (real != "utf-8" or len(span) < 6):
                     continue
-                if real in EAST_ASIAN and total[p] < 3:
-                    continue  # two signs of a correct text may chance to be a letter's bytes
+                if (real, wrong) in CENTRAL and total[p] < 2:
+                    continue  # one sign beside a word may be meant
                 back = self._read_back(span, real, wrong)
                 if back is None or back == span:
                     continue
+                if wrong in UTF8_READ_AS_WIDE and 2.0 * back.count(_LOST) > 0.34 * before + 0.2:
+                    torn.append(wrong)
+                    continue
+                if real in EAST_ASIAN and total[p] < 3:
+                    # two signs of a correct text may chance to be a letter's bytes; a run of usual letters alone does not
+                    high = [ch for ch in back if ch > "\x7f"]
+                    if len(high) < 2 or regex.search(r"[a-zA-Z]", span) or not all(ch in self.letters or ch in _first_level(real) for ch in high):
+                        continue
                 after = 0.0 if _DRAWING.fullmatch(back) and not drawing else oddity(back, self.usual)
+                if real in EAST_ASIAN:
+                    after += self._rarity(back, real)
                 if real == "utf-8" and after >= 1.0:  # garbled more than once
                     for again in (wrong, "cp1252", "latin-1", "cp1251"):
                         twice = self._read_back(back, real, again)
@@ -337,17 +502,42 @@ class Finder:
                             break
                 gain = before - after
                 if gain >= 0.5 and after <= 0.34 * before + 0.2:
-                    key = (round(after, 3), -total[p], p)
+                    key = (round(after + self._doubt(back, real), 3), -total[p], p)
+                    options[p] = (key, back, p, gain)
                     if best is None or key < best[0]:
                         best = (key, back, p, gain)
             if best:
                 chosen.append((a, b, best[1], best[2], best[3]))
+                others[a] = options
+            elif torn:
+                inner = max((self._inside(span, wrong) for wrong in torn), key=len)
+                wide += [(a + i, a + j, back) for i, j, back in inner]
         # one weak word of a text proves nothing if its pair is found nowhere else
-        strength: dict[int, float] = defaultdict(float)
-        for _, _, _, p, gain in chosen:
-            strength[p] += gain if gain >= 1.0 else 0.0
+        def strengths():
+            out: dict[int, float] = defaultdict(float)
+            for _, _, _, p, gain in chosen:
+                out[p] += gain if gain >= 1.0 else 0.0
+            return out
+
+        strength = strengths()
+        first = max(strength, key=lambda p: (strength[p], -p), default=None)
+        many = self.many
+        if first is not None and any(p in many and p != first for _, _, _, p, _ in chosen):
+            # nearly any bytes read as these letters: beside a stronger pair of the same text they do not count
+            kept = []
+            for a, b, back, p, gain in chosen:
+                if p in many and p != first and (first in others[a] or strength[p] < 0.5 * strength[first]):
+                    plain = [o for q, o in others[a].items() if q == p or q not in many or q == first and o[0][0] <= others[a][p][0][0] + 1.0]
+                    if strength[p] < 0.5 * strength[first]:
+                        plain = [o for o in plain if o[2] != p]
+                    if not plain:
+                        continue
+                    _, back, p, gain = min(plain, key=lambda o: (o[2] != first, o[0]))
+                kept.append((a, b, back, p, gain))
+            chosen = kept
+            strength = strengths()
         sure = lambda p, gain: strength[p] >= 6.0 or gain >= 1.0 and (strength[p] >= 2.0 or self.pairs[p][0] == "utf-8" or self.pairs[p] in WESTERN)
-        return [(a, b, back) for a, b, back, p, gain in sorted(chosen) if sure(p, gain)]
+        return sorted(wide + [(a, b, back) for a, b, back, p, gain in chosen if sure(p, gain)])
 
     def restore(self, text: str) -> tuple[str, list[tuple[int, int]], bool]:
         """The restored text, the garbled spans of the given text, and whether bytes are lost."""
@@ -385,7 +575,7 @@ def _finder(words: dict[str, int]) -> Finder:
 
 
 def corpus_words(df: DataFrame, text: str, min_share: float = WORD_SHARE) -> dict[str, int]:
-    """Russian words with at least ``min_share`` of all occurrences, hence at most ``1 / min_share``.
+    """Russian words, and Han and Hangul letters, with at least ``min_share`` of all occurrences, hence at most ``1 / min_share``.
     Garbled words are spread over too many forms to be among them."""
 
     def make():
@@ -398,7 +588,7 @@ def corpus_words(df: DataFrame, text: str, min_share: float = WORD_SHARE) -> dic
 
         def step(cols):
             for t in cols["_text"]:
-                count.update(_CYRILLIC_WORD.findall(t))
+                count.update(_COUNTED.findall(t))
             if len(count) > 200_000:
                 yield flush()
 
@@ -408,7 +598,7 @@ def corpus_words(df: DataFrame, text: str, min_share: float = WORD_SHARE) -> dic
         step.close = close
         return step
 
-    rows = arrow_map(df.select(F.col(text).alias("_text")).where(F.col("_text").rlike("[а-я]{3}")), make, "word string, n bigint")
+    rows = arrow_map(df.select(F.col(text).alias("_text")).where(F.col("_text").rlike("[а-я]{3}|[\\p{IsHan}\\p{IsHangul}]")), make, "word string, n bigint")
     counts = materialize(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r["word"]: r["n"] for r in counts.where(F.col("n") >= max(2, int(total * min_share))).toLocalIterator()}

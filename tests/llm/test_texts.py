@@ -147,6 +147,33 @@ def test_correct_text_stays(finder, text):
     assert finder.restore(text) == (text, [], False)
 
 
+@pytest.mark.parametrize(
+    "text, real, wrong",
+    [
+        ("系统已经上线", "utf-8", "gb18030"),
+        ("훈련", "utf-8", "gb18030"),
+        ("한국어 문서 처리", "euc-kr", "cp1252"),
+        ("鲸鱼迁徙路线观察", "gb18030", "cp1252"),
+        ("漁港", "shift_jis", "cp1252"),
+        ("鯨魚遷徙路線", "big5", "latin-1"),
+        ("αυτό είναι κείμενο", "cp1253", "cp1252"),
+        ("שלום עולם", "cp1255", "cp1252"),
+        ("훈련", "utf-8", "cp1252"),
+    ],
+)
+def test_whole_repertoires_are_seeded(finder, text, real, wrong):
+    garbled = P8.garble(text, real, wrong)
+    restored, spans, _ = finder.restore(f"Plain start. {garbled} plain end.")
+    assert spans and restored.startswith("Plain start. ") and restored.endswith(" plain end.")
+    if real == "utf-8" and "\ufffd" not in garbled:  # else the language may be another one that reads as well
+        assert restored == f"Plain start. {text} plain end."
+
+
+@pytest.mark.parametrize("text", ["12 м²", "使用Python的系统已经上线", "créée, où", "한국어 문서", "Ça coûte 5 £"])
+def test_new_seeds_leave_correct_text(finder, text):
+    assert finder.restore(text) == (text, [], False)
+
+
 def test_repair_table(spark):
     df = spark.createDataFrame([(1, "estÃ¡", 0), (2, None, 0), (3, "", 0), (4, "está", 0), (1, "estÃ¡", 0)], "doc_id long, text string, lossy int")
     assert sorted(tuple(r)[:2] for r in P8.repair(df, "doc_id", "text").collect()) == [(1, "está"), (1, "está")]
