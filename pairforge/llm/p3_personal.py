@@ -36,6 +36,8 @@ LEAST_TOGETHER = 4
 #: Least shares of all word occurrences: of a term that reveals, and of a word so usual that it is no name.
 MIN_SHARE = 5e-7
 USUAL_SHARE = 4e-5
+#: Share of its occurrences beside given names, patronymics or initials from which a word is a surname, however usual it is.
+NAMED_SHARE = 0.2
 
 # Labels of numbers that name one person, in the languages at hand.
 ID_LABELS = r"паспорт\p{L}*|снилс|инн|огрнип|passport(?:\s+no)?|national\s+id|ssn|social\s+security(?:\s+number)?|nin|steuer-?id|steuernummer|ausweis(?:nummer)?|personalausweis|reisepass|n°\s+de\s+sécurité\s+sociale|sécurité\s+sociale|passeport|numéro\s+fiscal|dni|nie|nif|pasaporte"
@@ -207,6 +209,11 @@ class Names:
         return out
 
 
+def _surnames(span: str, given: set[str]) -> list[str]:
+    """The words of a person's span that are neither given name nor patronymic nor initial."""
+    return [w for w in map(str.lower, WORD.findall(span)) if len(w) > 2 and w not in given and not _PATRONYMIC.match(w)]
+
+
 def _plausible_given(w: str, cased: bool, usual: set[str]) -> bool:
     return (not cased or w[0].isupper()) and w.lower() not in usual
 
@@ -235,14 +242,14 @@ def _addresses(text: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def _anchors(text: str, names: Names) -> list[tuple[str, int, int, str]]:
-    """Pieces whose form alone gives them away: kind, start, end, given name."""
+def _anchors(text: str, names: Names, people: list | None = None) -> list[tuple[str, int, int, str]]:
+    """Pieces whose form alone gives them away: kind, start, end, given name. ``people``: what ``names`` finds, if known."""
     out = [("email", m.start(), m.end(), "") for m in EMAIL.finditer(text)]
     out += [("phone", m.start(), m.end(), "") for m in PHONE_STRONG.finditer(text)]
     out += [("phone", m.start(), m.end(), "") for m in PHONE_WEAK.finditer(text) if PHONE_LABELS & set(_words_before(text, m.start(), 1))]
     out += [("id_number", m.start("id"), m.end("id"), "") for m in ID.finditer(text)]
     out += [("address", x[0], x[1], "") for x in _addresses(text) if x[2] >= 6.0]
-    out += [("person", a, b, g) for a, b, bits, g in names.find(text) if bits >= 4.0]
+    out += [("person", a, b, g) for a, b, bits, g in (names.find(text) if people is None else people) if bits >= 4.0]
     return out
 
 
@@ -266,7 +273,11 @@ def corpus_terms(texts: DataFrame, text: str = "text") -> dict[str, dict]:
             words: Counter = Counter()
             for t in cols["_text"]:
                 words.update(map(str.lower, WORD.findall(t)))
-                for kind, a, b, given in _anchors(t, names):
+                people = names.find(t)
+                for a, b, _, _ in people:
+                    for w in _surnames(t[a:b], names.given):
+                        count["surname", w] += 1
+                for kind, a, b, given in _anchors(t, names, people):
                     count[kind, ""] += 1
                     for w in set(_words_before(t, a)):
                         count[kind, w] += 1
@@ -294,23 +305,28 @@ def corpus_terms(texts: DataFrame, text: str = "text") -> dict[str, dict]:
     counts = materialize(rows.groupBy("kind", "term").agg(F.sum("n").alias("n")), "terms")
     total = counts.where("kind = 'all' and term not like 'sig:%'").agg(F.sum("n")).first()[0] or 0
     least, usual = max(1, int(total * MIN_SHARE)), max(8, int(total * USUAL_SHARE))
-    beside = counts.where((F.col("kind") != "all") & (F.col("n") >= least))
+    beside = counts.where((F.col("kind") != "all") & (F.col("n") >= F.when(F.col("kind") == "surname", max(least, int(usual * NAMED_SHARE))).otherwise(least)))
     needed = beside.select("term").distinct()
     # both sides of this join are bounded by the shares only after the filter, so Spark may choose its way
     all_ = counts.where("kind = 'all'").join(needed.withColumn("hit", F.lit(1)), "term", "left").where((F.col("n") >= usual) | F.col("hit").isNotNull()).select("kind", "term", "n")
     found: dict[str, dict] = {"total": {"": total}, "usual": {"": usual}}
     for r in beside.unionByName(all_).toLocalIterator():
         found.setdefault(r["kind"], {})[r["term"]] = r["n"]
-    found["given"] = found.get("given", {}) | _learned_names(texts, text, found, counts, max(3, least))
+    given, surnames = _learned_names(texts, text, found, counts, max(3, least))
+    found["given"] = found.get("given", {}) | given
+    known = found.setdefault("surname", {})
+    for w, n in surnames.items():
+        known[w] = max(n, known.get(w, 0))
     return found
 
 
-def _learned_names(texts: DataFrame, text: str, found: dict[str, dict], counts: DataFrame, least: int) -> dict[str, int]:
-    """Given names: words that stand, in at least a third of their occurrences, where a term that reveals persons leads to a name."""
+def _learned_names(texts: DataFrame, text: str, found: dict[str, dict], counts: DataFrame, least: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Given names: words that stand, in at least a third of their occurrences, where a term that reveals persons leads to a name;
+    and the usual words that stand often enough in the surname's place there, to be surnames."""
     sanitizer = Sanitizer(found)
     slot = name_slot(sanitizer)
     if slot is None:
-        return {}
+        return {}, {}
     usual, cues = sanitizer.names.usual, {w for w in sanitizer.person if sanitizer.bits("person", w)}
 
     def make():
@@ -321,20 +337,25 @@ def _learned_names(texts: DataFrame, text: str, found: dict[str, dict], counts:
                 cased = _is_cased(t)
                 for m in slot.finditer(t):
                     g, surname = (m.group("g"), m.group("s")) if m.group("g") else (m.group("g2"), m.group("s2"))
-                    if g.lower() not in cues and surname.lower() not in usual and (not cased or g[0].isupper()):
-                        seen[g.lower()] += 1
+                    if g.lower() not in cues and (not cased or g[0].isupper() and surname[0].isupper()):
+                        seen[g.lower(), surname.lower() if surname.lower() in usual else ""] += 1
             return ()
 
         def close():
-            yield {"term": list(seen), "n": list(seen.values())}
+            yield {"term": [g for g, _ in seen], "surname": [w for _, w in seen], "n": list(seen.values())}
 
         step.close = close
         return step
 
-    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), make, "term string, n bigint")
-    slots = rows.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), make, "term string, surname string, n bigint")
+    slots = materialize(rows.groupBy("term", "surname").agg(F.sum("n").alias("n")), "slots")
+    # usual words are at most 1 / USUAL_SHARE
+    surnames = {r["surname"]: r["n"] for r in slots.where("surname != ''").groupBy("surname").agg(F.sum("n").alias("n")).toLocalIterator()}
+    surnames = {w: n for w, n in surnames.items() if n >= NAMED_SHARE * found["all"].get(w, n)}
+    slots = slots.where(F.col("surname").isin("", *surnames)).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     everywhere = counts.where("kind = 'all'").select("term", F.col("n").alias("all_n"))
-    return {r["term"]: r["n"] for r in slots.join(everywhere, "term").where("n * 3 >= all_n").toLocalIterator() if len(r["term"]) > 2 and not _RU_SURNAME.match(r["term"])}
+    given = {r["term"]: r["n"] for r in slots.join(everywhere, "term").where("n * 3 >= all_n").toLocalIterator() if len(r["term"]) > 2 and not _RU_SURNAME.match(r["term"])}
+    return given, surnames
 
 
 def name_slot(sanitizer: Sanitizer):
@@ -357,7 +378,8 @@ class Sanitizer:
         usual_n = counts.get("usual", {}).get("", 8)
         given = set(GIVEN) | {g for g, n in counts.get("given", {}).items() if n >= 3 and n >= 0.3 * all_.get(g, n) and len(g) > 2}
         person = counts.get("person", {})
-        usual = {w for w, n in all_.items() if n >= usual_n and w not in given and not w.startswith("sig:") and not _PATRONYMIC.match(w)}
+        surname = counts.get("surname", {})
+        usual = {w for w, n in all_.items() if n >= usual_n and w not in given and not w.startswith("sig:") and not _PATRONYMIC.match(w) and surname.get(w, 0) < NAMED_SHARE * n}
         self.names = Names(given, usual)
         self._bits: dict[tuple[str, str], float] = {}
         self.person = person

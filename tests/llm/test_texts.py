@@ -71,6 +71,17 @@ def test_personal_table(spark):
     assert P3.personal(df.where("row_id > 9999"), ["row_id"]).count() == 0
 
 
+def test_a_surname_named_in_many_rows_is_no_usual_word(spark):
+    named = ["Отзыв дал Пётр Зернов, спасибо.", "Отзыв: доц. М. В. Зернов, 2006 г.", "Анна Викторовна Зернова ведёт курс.", "My name is Peter Rosvane."]
+    rows = [(i, (named + ["Магазин открыт, один студент ведёт проект."] * 3)[i % 7]) for i in range(700)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    counts = P3.corpus_terms(df)
+    sanitizer = P3.Sanitizer(counts)
+    assert {"магазин", "проект"} <= sanitizer.names.usual
+    want = ["Пётр Зернов", "М. В. Зернов", "Анна Викторовна Зернова", "Peter Rosvane"]
+    assert [[t[a:b] for a, b, k in sanitizer.find(t) if k == "person"] for t in named] == [[w] for w in want]
+
+
 # ---- p6
 
 
