@@ -8,8 +8,9 @@ in the text goes along as a second hash and tells order-preserving hits from re-
 Candidates are verified by the exact share of common words and by a banded alignment (bit-parallel
 longest common subsequence within a band), which measures the edit similarity.
 
-Exact copies collapse to a representative before any candidate search, so that a huge group of
-copies costs one record; buckets that are large all the same are salted.
+Records with the same words collapse to a representative before any candidate search, so that a huge group
+of copies costs one record. Where only pairs are wanted, equal sets of words are enough for that; where
+edit similarities are, only equal sequences, repeated words among them. Buckets that are large all the same are salted.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ def mostly_latin_or_cyrillic(text: str) -> bool:
     return good > bad
 
 
-def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``field``, ``id``, ``words`` (hashes of the distinct words in text order), ``h1``, ``h2`` (a 128-bit hash of the set).
+def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS, sequences: bool = False) -> DataFrame:
+    """``field``, ``id``, ``words`` (hashes of the distinct words in text order), ``h1``, ``h2`` (a 128-bit hash of the set);
+    with ``sequences`` also ``sequence`` (hashes of all words in text order) and ``s1`` (its hash).
 
     ``kind`` is 'text' or 'terms' (an array of strings, each a term). Records with fewer than
     ``min_words`` distinct words, null ones among them, and texts of mostly other scripts are left
@@ -72,7 +74,7 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
             out = []
-            for t in dict.fromkeys(tokens):
+            for t in tokens if sequences else dict.fromkeys(tokens):
                 h = memo.get(t)
                 if h is None:
                     h = memo[t] = hash64(t)
@@ -80,25 +82,30 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
             return out
 
         def step(cols):
-            ids, all_words, h1, h2 = [], [], [], []
+            ids, all_words, h1, h2, sequence, s1 = [], [], [], [], [], []
             for i, v in zip(cols["id"], cols["value"]):
                 if v is None or (kind == "text" and not mostly_latin_or_cyrillic(v)):
                     continue
                 tokens = words(v) if kind == "text" else [t for t in map(normalize_term, v) if t]
-                hs = hashed(tokens)
+                every = hashed(tokens)
+                hs = list(dict.fromkeys(every))
                 if len(hs) < min_words:
                     continue
                 x = np.array(hs, np.int64).view(np.uint64)
+                if sequences:
+                    at = np.arange(1, len(every) + 1, dtype=np.uint64)
+                    sequence.append(every)
+                    s1.append(int(_mix(np.array(every, np.int64).view(np.uint64) + _mix(at)).sum(dtype=np.uint64).view(np.int64)))
                 ids.append(i)
                 all_words.append(hs)
                 h1.append(int(_mix(x).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64).view(np.int64)))
             if ids:
-                yield {"field": [field] * len(ids), "id": ids, "words": all_words, "h1": h1, "h2": h2}
+                yield {"field": [field] * len(ids), "id": ids, "words": all_words, "h1": h1, "h2": h2} | ({"sequence": sequence, "s1": s1} if sequences else {})
 
         return step
 
-    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, h1 bigint, h2 bigint")
+    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, h1 bigint, h2 bigint" + (", sequence array<bigint>, s1 bigint" if sequences else ""))
 
 
 def sketches(records: DataFrame, kmers: int = SKETCH_KMERS, count: int = SKETCHES) -> DataFrame:
@@ -176,8 +183,9 @@ def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
 
 def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> DataFrame:
     """Keeps the pairs with at least ``min_share`` of common words; adds ``share`` and ``edit_similarity``
-    (the banded alignment's length over the longer record)."""
-    side = lambda k: records.select(F.col("key").alias(k), F.col("words").alias("w" + k))
+    (the banded alignment's length over the longer record; of all words if the records have their sequences)."""
+    aligned = "sequence" if "sequence" in records.columns else "words"
+    side = lambda k: records.select(F.col("key").alias(k), F.col("words").alias("w" + k), F.col(aligned).alias("s" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.size("wa"), F.size("wb")
     # sizes alone exclude most pairs before any word is compared
@@ -187,28 +195,35 @@ def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, m
 
     def make():
         def step(cols):
-            cols["edit_similarity"] = [banded_alignment(a, b) / max(len(a), len(b)) for a, b in zip(cols["wa"], cols["wb"])]
+            cols["edit_similarity"] = [banded_alignment(a, b) / max(len(a), len(b)) for a, b in zip(cols["sa"], cols["sb"])]
             keep = [k for k, e in enumerate(cols["edit_similarity"]) if e >= min_edit_similarity]
             names = ("a", "b", "share", "edit_similarity", "order_hits")
             yield {n: [cols[n][k] for k in keep] for n in names}
 
         return step
 
-    return arrow_map(both.select("a", "b", "wa", "wb", "share", "order_hits"), make, "a bigint, b bigint, share double, edit_similarity double, order_hits bigint")
+    return arrow_map(both.select("a", "b", "sa", "sb", "share", "order_hits"), make, "a bigint, b bigint, share double, edit_similarity double, order_hits bigint")
+
+
+def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(membership, representatives)`` of written records: :func:`near_duplicates` says what they hold."""
+    same = ["field", "h1", "h2", *(["s1"] if "s1" in records.columns else [])]
+    members = records.select("id", *same)
+    reps = members.groupBy(*same).agg(F.min("id").alias("rep"))
+    return members.join(reps, same).select("field", "id", "rep"), reps
 
 
 def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """``(membership, links)`` of the records of :func:`record_words`.
 
-    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words); links: ``field``,
+    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words, in the same
+    sequence if the records have theirs); links: ``field``,
     ``a``, ``b`` with their similarities, verified pairs of different representatives. Empty input
     gives two empty tables.
     """
     records = materialize(records, "records")
-    members = records.select("field", "id", "h1", "h2")
-    reps = members.groupBy("field", "h1", "h2").agg(F.min("id").alias("rep"))
-    membership = members.join(reps, ["field", "h1", "h2"]).select("field", "id", "rep")
-    chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").select("field", "id", "words")
+    membership, reps = grouped(records)
+    chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").drop("h1", "h2", "s1")
     chosen = materialize(chosen.withColumn("key", F.xxhash64("field", "id")), "representatives")
     found = verify(candidates(materialize(sketches(chosen), "sketches")), chosen, min_share, min_edit_similarity)
     name = lambda k: chosen.select("field", F.col("key").alias(k), F.col("id").alias("id_" + k))
@@ -227,13 +242,13 @@ def all_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_records(spark: SparkSession, sf_dir: str, sequences: bool = False) -> DataFrame:
     sides = text_sides(table(spark, sf_dir, "datum"))
     arrays = table(spark, sf_dir, "documents_preprocessed").select("rec_id", "preprocessed_text").where("rec_id is not null").dropDuplicates(["rec_id"])
     return (
-        record_words(sides.where("side = 1"), "text_1", "text_id", "text", "text")
-        .unionByName(record_words(sides.where("side = 2"), "text_2", "text_id", "text", "text"))
-        .unionByName(record_words(arrays, "preprocessed_text", "rec_id", "preprocessed_text", "terms"))
+        record_words(sides.where("side = 1"), "text_1", "text_id", "text", "text", sequences=sequences)
+        .unionByName(record_words(sides.where("side = 2"), "text_2", "text_id", "text", "text", sequences=sequences))
+        .unionByName(record_words(arrays, "preprocessed_text", "rec_id", "preprocessed_text", "terms", sequences=sequences))
     )
 
 
@@ -242,11 +257,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of representatives with their similarities."""
-    return near_duplicates(corpus_records(spark, sf_dir))[1]
+    """Pairs of representatives with their similarities; those of re-sorted or repeating texts among them.
+    :func:`p4_members` gives the records that a representative stands for."""
+    return near_duplicates(corpus_records(spark, sf_dir, sequences=True))[1]
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record and its representative in ``p4_links``."""
+    return grouped(materialize(corpus_records(spark, sf_dir, sequences=True), "records"))[0]
 
 
-QUERIES = {"p4_found": p4_found, "p4_links": p4_links}
+QUERIES = {"p4_found": p4_found, "p4_links": p4_links, "p4_members": p4_members}
 SQL = {
     "p4_found": r"""
 WITH texts AS (

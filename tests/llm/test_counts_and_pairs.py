@@ -62,6 +62,16 @@ def edited(rnd, base, n):
     return out
 
 
+def test_links_of_equal_word_sets_that_differ_in_sequence(spark):
+    ws = [f"word{i}" for i in range(20)]
+    texts = [" ".join(ws), " ".join(ws), " ".join(ws[10:] + ws[:10]), " ".join(ws + ws)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    membership, links = P4.near_duplicates(P4.record_words(df, "f", "id", "t", "text", sequences=True))
+    assert {(r["id"], r["rep"]) for r in membership.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+    assert {(r["a"], r["b"]): (r["share"], round(r["edit_similarity"], 2)) for r in links.collect()} == {(0, 2): (1.0, 0.5), (0, 3): (1.0, 0.5), (2, 3): (1.0, 0.5)}
+
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rnd = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
