@@ -102,7 +102,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, block: int =
             ends = grades[g]
             low, high = bisect_right(ends, least), bisect_right(ends, start + size)
             if low < high:
-                inside = ends[low:high] if g > 1 else ends[max(low, high - 8) : high]
+                inside = ends[low:high]
                 depths = _depths([similarity(p) for p in inside])
                 return inside[max(range(len(inside)), key=lambda i: (depths[i], inside[i]))]
         ends = grades[0]

@@ -141,6 +141,11 @@ def test_cuts_prefer_a_change_of_topic():
     assert min(abs(c - len(one)) for c in cuts) <= 45
 
 
+def test_deepest_valley_of_unpunctuated_text_is_found_anywhere_in_the_window():
+    t = "red green blue black white " * 22 + "iron copper silver gold lead " * 40
+    assert P5.split_text(t, 1000, 0)[0][1] in (t.index("iron") - 1, t.index("iron"))
+
+
 # ---- p7
 
 
