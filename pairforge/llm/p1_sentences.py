@@ -5,8 +5,9 @@ after it (a name, or a word that begins sentences?). Both are learned from place
 no doubt: a word with a stop before a small letter is an abbreviation, a stop before a closing
 quotation mark or the end of a text ends a sentence, a capital after a question mark begins one,
 a capital amid a sentence is a name. Evidence of the text itself decides; only where it has none
-do the counts of the whole corpus. Their table holds words above a share of all observations
-(``MIN_SHARE``), which bounds its rows whatever the corpus holds.
+do the counts of the whole corpus, and those of every word, however rare. Usual words (above
+``HEAVY_SHARE`` of the observations, hence a bounded number) are sent to all tasks; the counts of all
+others are joined to the texts that ask for them, so that evidence does not depend on the corpus's size.
 
 Scripts have rules of their own: full stops of Chinese, Japanese, Hindi and Arabic need no white
 space, Thai parts sentences by spaces between Thai letters. Quotations and brackets hold their
@@ -26,10 +27,9 @@ from pairforge.llm.common import arrow_map, text_sides
 from pairforge.session import table
 from pairforge.storage import materialize
 
-#: Least share of all observations for a word of the corpus table: at most 1 / MIN_SHARE rows of each kind are broadcast.
-MIN_SHARE = 2e-6
-#: Quotations longer than this many code points are taken for unbalanced marks.
-LONGEST_QUOTATION = 600
+#: Words with at least this share of the observations of a kind are broadcast (at most 1 / HEAVY_SHARE words
+#: for each of the seven kinds); the counts of all others travel by a join. The share decides the way, not the result.
+HEAVY_SHARE = 5e-5
 
 # Terminators of any script, those that need no white space after them, marks that open and close.
 HARD_STOPS = "。！？｡।॥؟۔"
@@ -50,6 +50,11 @@ _AMID = regex.compile(rf"(?<=[\p{{Ll}}\p{{Lo}}\p{{M}}\p{{N}},;] ){_TOKEN}")
 _LINE = regex.compile(r"(?:\A|(?<=\n))[^\S\n]*(\p{L}[^\n.!?…,;。]{1,38}[^\s.!?…,;:。\-–—]):?[^\S\n]*(?=\n|\Z)")
 _DOT = regex.compile(r"\.(?![.!?])")
 _CASELESS = regex.compile(r"(?=\p{Lo}|\p{M})[\p{Devanagari}\p{Arabic}]")
+_LEFT = regex.compile(r"[\p{L}\p{M}\p{N}+#)%]+$")
+#: What stands between a stop and the next word: white space and marks that open; marks that close too.
+_NEXT = regex.compile(r"\s*[\s«„“‚\"'(\[¿¡「『（【《#@№§]*")
+_NEXT_CLOSED = regex.compile(rf"[\s{STOPS}»)\]}}」』）】》”“‘\"’'«„‚(\[¿¡「『（【《#@№§]*")
+_MARKS = regex.compile(r"[«»()\[\]「」『』（）【】《》“”„\"]|\n[^\S\n]*\n|\n(?=[^\S\n]*(?:[•*‣▪●◦·–\-]|\d{1,3}[.)]|\p{L}\))[^\S\n])")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 
 #: Kinds of observations: a word with a stop before a small letter, before anything else that may begin a sentence, at a certain end; a short word without a stop; a word that begins a sentence, one amid it; a short line without a stop.
@@ -97,23 +102,71 @@ def observe(text: str) -> dict[int, Counter]:
     return out
 
 
-def corpus_evidence(texts: DataFrame, text: str = "text", min_share: float = MIN_SHARE) -> dict[int, dict[str, int]]:
-    """Counts over all texts, collected on the driver: per kind only words with at least ``min_share``
-    of the kind's observations, hence at most ``1 / min_share`` of them."""
+def _forms(word: str) -> tuple[str, ...]:
+    """A word as it stands; words in capitals, of headings and the like, as they are usually written too."""
+    return (word, word.lower(), word.capitalize()) if len(word) > 1 and word.isupper() else (word,)
+
+
+def _strip_line(line: str) -> str:
+    return line.strip().removesuffix(":").rstrip()
+
+
+def asks(text: str) -> set[str]:
+    """Every word and line whose corpus counts :class:`Splitter` may look up for a text."""
+    out: set[str] = set()
+    n = len(text)
+    for m in _STOP.finditer(text):
+        i, q = m.span()
+        for skipped in (_NEXT, _NEXT_CLOSED):
+            w = _WORD.match(text, skipped.match(text, q).end())
+            if w:
+                out.update(_forms(w.group()[:24]))
+        if text[i] == ".":
+            before = text[max(0, i - 30) : i]
+            for w in (_BEFORE.search(before[-24:]), _LEFT.search(before)):
+                if w:
+                    out.update(_forms(w.group()))
+                    out.update(_forms(_key(w.group())))
+    if "\n" in text:
+        for line in map(_strip_line, text.split("\n")):
+            if 0 < len(line) <= 40:
+                out.add(line)
+                if w := _WORD.match(line):
+                    out.add(w.group()[:24])
+    return out
+
+
+_WIDE = tuple(f"n{k}" for k in KINDS)
+
+
+def corpus_evidence(texts: DataFrame, keys: list[str], text: str = "text", heavy_share: float = HEAVY_SHARE) -> tuple[dict[int, dict[str, int]], DataFrame]:
+    """``(usual, rare)``: counts of the usual words by kind, and a table with the ``keys`` of each text and ``light``,
+    the counts of the rare words it asks for (``word``, ``n0`` to ``n6`` by kind).
+
+    The texts are read once: pre-aggregated counts and the words asked for come out of the same pass
+    and are written. Usual words, at most seven times ``1 / heavy_share``, are collected; all others are joined, and
+    none of those can be hot, because it stands for less than that share of the observations.
+    """
+    kinds = {k: texts.schema[k].dataType.simpleString() for k in keys}
 
     def make():
         total = {k: Counter() for k in KINDS}
+        empty = {k: None for k in keys}
 
         def flush():
             rows = [(k, w, n) for k, c in total.items() for w, n in c.items()]
             for c in total.values():
                 c.clear()
-            return {"kind": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}
+            return {k: [None] * len(rows) for k in empty} | {"_kind": [r[0] for r in rows], "_word": [r[1] for r in rows], "_n": [r[2] for r in rows], "_asks": [None] * len(rows)}
 
         def step(cols):
+            asked = []
             for t in cols["_text"]:
                 for k, c in observe(t).items():
                     total[k].update(c)
+                asked.append(list(asks(t)))
+            none = [None] * len(asked)
+            yield {k: cols[k] for k in keys} | {"_kind": none, "_word": none, "_n": none, "_asks": asked}
             if sum(map(len, total.values())) > 300_000:
                 yield flush()
 
@@ -123,16 +176,24 @@ def corpus_evidence(texts: DataFrame, text: str = "text", min_share: float = MIN
         step.close = close
         return step
 
-    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), make, "kind int, word string, n bigint")
-    counts = materialize(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")), "evidence")
-    totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(0)
-    for kind, n in totals.items():
-        least = F.when(F.col("kind") == kind, max(1, int(n * min_share))).otherwise(least)
-    found: dict[int, dict[str, int]] = {k: {} for k in KINDS}
-    for r in counts.where(F.col("n") >= least).toLocalIterator():
-        found[r["kind"]][r["word"]] = r["n"]
-    return found
+    named = ", ".join(f"`{k}` {v}" for k, v in kinds.items())
+    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")), make, f"{named}, _kind int, _word string, _n bigint, _asks array<string>")
+    rows = materialize(rows, "observed")
+    counted = [F.sum(F.when(F.col("_kind") == k, F.col("_n")).otherwise(0)).alias(n) for k, n in zip(KINDS, _WIDE)]
+    counts = materialize(rows.where("_word is not null").groupBy(F.col("_word").alias("word")).agg(*counted), "evidence")
+    totals = counts.agg(*(F.sum(n).alias(n) for n in _WIDE)).first()
+    heavy = F.lit(False)
+    for n in _WIDE:
+        heavy = heavy | (F.col(n) >= max(1.0, (totals[n] or 0) * heavy_share))
+    usual: dict[int, dict[str, int]] = {k: {} for k in KINDS}
+    for r in counts.where(heavy).toLocalIterator():
+        for k, n in zip(KINDS, _WIDE):
+            if r[n]:
+                usual[k][r["word"]] = r[n]
+    known = counts.where(heavy).select("word")
+    asked = rows.where("_asks is not null").select(*keys, F.explode("_asks").alias("word")).join(F.broadcast(known), "word", "left_anti")
+    light = asked.join(counts.where(~heavy), "word").groupBy(*keys).agg(F.collect_list(F.struct("word", *_WIDE)).alias("light"))
+    return usual, light
 
 
 class Splitter:
@@ -140,42 +201,51 @@ class Splitter:
 
     def __init__(self, corpus: dict[int, dict[str, int]] | None = None):
         self.corpus = {k: {} for k in KINDS} | (corpus or {})
+        self.rare: dict[str, tuple[int, ...]] = {}
 
     # ---- what is known of a word
 
-    def _counts(self, own: dict[int, Counter], word: str, kinds: tuple[int, ...]) -> list[int]:
-        """The text's counts where it has any that tell, else the corpus's."""
-        here = [own[k][word] for k in kinds]
-        all_ = [sum(self.corpus[k].get(form, 0) for form in self._forms(word)) for k in kinds]
-        return all_ if any(all_) else here
-
-    @staticmethod
-    def _forms(word: str) -> tuple[str, ...]:
-        """A word as it stands; words in capitals, of headings and the like, as they are usually written too."""
-        return (word, word.lower(), word.capitalize()) if len(word) > 1 and word.isupper() else (word,)
+    def _everywhere(self, kind: int, word: str) -> int:
+        """A word's count in the corpus."""
+        counts = self.rare.get(word)
+        return counts[kind] if counts else self.corpus[kind].get(word, 0)
 
     def begins(self, own, word: str) -> int:
         """1: the word begins sentences, -1: it stands amid them, 0: unknown. The text itself decides if its evidence is of one kind."""
         word = word[:24]
         if len(word) > 1 and word.isupper():
-            b, a = self._counts(own, word.capitalize(), (BEGINS, AMID))
+            usual = word.capitalize()
+            b, a = own[BEGINS][usual], own[AMID][usual]
+            if not (b or a):
+                b, a = self._everywhere(BEGINS, usual), self._everywhere(AMID, usual)
             if b or a:
                 return (b > a) - (b < a)
             # places in texts in capitals do not show that it begins sentences; acronyms show that they stand amid
-            return -(self.corpus[AMID].get(word, 0) > self.corpus[BEGINS].get(word, 0))
+            return -(self._everywhere(AMID, word) > self._everywhere(BEGINS, word))
         b, a = own[BEGINS][word], own[AMID][word]
+        begins, amid = self._everywhere(BEGINS, word), self._everywhere(AMID, word)
         if bool(b) == bool(a):
-            b, a = self.corpus[BEGINS].get(word, 0), self.corpus[AMID].get(word, 0)
-        elif b and self.corpus[AMID].get(word, 0) > 4 * self.corpus[BEGINS].get(word, 0):
+            b, a = begins, amid
+        elif b and amid > 4 * begins:
             b, a = 0, 1
-        elif a and self.corpus[BEGINS].get(word, 0) > 4 * self.corpus[AMID].get(word, 0):
+        elif a and begins > 4 * amid:
             b, a = 1, 0
         return (b > a) - (b < a)
 
     def abbreviation(self, own, word: str) -> tuple[bool, bool]:
-        """Whether a word before a stop is an abbreviation, and whether it may end a sentence too."""
-        small, open_, final, bare = self._counts(own, word, (SMALL, OPEN, FINAL, BARE))
-        small, open_, final, bare = (max(x, own[k][word]) for x, k in ((small, SMALL), (open_, OPEN), (final, FINAL), (bare, BARE)))
+        """Whether a word before a stop is an abbreviation, and whether it may end a sentence too.
+
+        The text decides where it holds an unambiguous occurrence: the word with a stop before a small letter is
+        an abbreviation; one that stands without a stop and ends a sentence for certain is a plain word. The corpus
+        is asked only if the text has neither."""
+        here = [own[k][word] for k in (SMALL, OPEN, FINAL, BARE)]
+        all_ = [sum(self._everywhere(k, form) for form in _forms(word)) for k in (SMALL, OPEN, FINAL, BARE)]
+        small, open_, final, bare = here
+        if small >= max(1, 0.1 * (small + open_ + final)):
+            return True, bool(final) or all_[2] > 0.004 * sum(all_[:3])
+        if final and bare:
+            return False, True
+        small, open_, final, bare = map(max, all_, here) if any(all_) else here
         dots = small + open_ + final
         if not dots:
             return False, True
@@ -193,22 +263,24 @@ class Splitter:
 
     @staticmethod
     def quotations(text: str) -> list[tuple[int, int]]:
-        """Outermost spans between matching marks, both included."""
+        """Outermost spans between matching marks, both included, of any length. The structure tells marks without
+        a partner: no quotation crosses the end of a paragraph or the start of a list item, a straight mark after a letter
+        or digit opens none, and a mark that closes an outer quotation ends those inside it."""
         stack: list[tuple[str, int]] = []
         pairs = []
-        for m in regex.finditer(r"[«»()\[\]「」『』（）【】《》“”„\"]|\n[^\S\n]*\n", text):
+        for m in _MARKS.finditer(text):
             ch, i = m.group(), m.start()
             if ch[0] == "\n":
                 stack.clear()
                 continue
             close = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-            if ch == "“" and close is None or ch != "“" and ch in OPENING or ch == '"' and close is None:
-                stack.append((OPENING.get(ch, '"'), i))
+            if ch == "“" and close is None or ch != "“" and ch in OPENING:
+                stack.append((OPENING[ch], i))
             elif close is not None:
-                start = stack[close][1]
+                pairs.append((stack[close][1], i))
                 del stack[close:]
-                if i - start <= LONGEST_QUOTATION:
-                    pairs.append((start, i))
+            elif ch == '"' and not (i and text[i - 1].isalnum()):
+                stack.append(('"', i))
             elif ch == "”" and stack and stack[-1][0] == "“":
                 pairs.append((stack.pop()[1], i))
         pairs.sort()
@@ -218,9 +290,11 @@ class Splitter:
                 out.append((a, b))
         return out
 
-    def split(self, text: str) -> list[tuple[int, int]]:
-        """Spans of the sentence units of a text, without surrounding white space; none for a blank text."""
+    def split(self, text: str, rare: list[dict] | None = None) -> list[tuple[int, int]]:
+        """Spans of the sentence units of a text, without surrounding white space; none for a blank text.
+        ``rare``: corpus counts of the rare words that the text asks for."""
         n, own = len(text), observe(text)
+        self.rare = {r["word"]: tuple(r[k] for k in _WIDE) for r in rare or ()}
         spans = self.quotations(text)
         opens = [a for a, _ in spans]
 
@@ -370,7 +444,7 @@ class Splitter:
         """Whether a stop without white space parts two sentences, not the parts of a name or file."""
         if len(word) < 2 or not any(ch.islower() for ch in word) and not _UNSPACED.match(word):
             return False
-        left = regex.search(r"[\p{L}\p{M}\p{N}+#)%]+$", text[max(0, i - 30) : i])
+        left = _LEFT.search(text[max(0, i - 30) : i])
         if not left:
             return False
         known = self.begins(own, word)
@@ -417,8 +491,8 @@ class Splitter:
     def _is_heading(self, own, line: str) -> bool:
         """Whether a line recurs in the corpus as a line of its own, more than as the start of sentences."""
         line = line.removesuffix(":").rstrip()
-        n = self.corpus[LINE].get(line, 0) if len(line) <= 40 else 0
-        return n >= 3 and n >= 0.1 * self.corpus[BEGINS].get(_WORD.match(line).group()[:24] if _WORD.match(line) else "", 0)
+        n = self._everywhere(LINE, line) if len(line) <= 40 else 0
+        return n >= 3 and n >= 0.1 * self._everywhere(BEGINS, _WORD.match(line).group()[:24] if _WORD.match(line) else "")
 
     @staticmethod
     def _unstopped_lines(text: str) -> bool:
@@ -432,25 +506,24 @@ class Splitter:
         return len(last) > 3
 
 
-def sentences(texts: DataFrame, keys: list[str], text: str = "text", evidence: dict[int, dict[str, int]] | None = None) -> DataFrame:
-    """The ``keys``, ``start_off``, ``end_off`` and ``sentence`` of every unit.
+def sentences(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The ``keys``, ``start_off``, ``end_off`` and ``sentence`` of every unit; the corpus is these very texts.
 
     Null, empty and blank texts have no unit; repeated rows are split each; columns that are
-    neither key nor text are left out. ``evidence``: that of :func:`corpus_evidence`, by default of
-    these very texts.
+    neither key nor text are left out. Null keys match nothing in the join of rare words, so those texts go by
+    their own evidence and the usual words alone.
     """
-    if evidence is None:
-        evidence = corpus_evidence(texts, text)
+    usual, light = corpus_evidence(texts, keys, text)
     kinds = {k: texts.schema[k].dataType.simpleString() for k in keys}
-    shared = texts.sparkSession.sparkContext.broadcast(evidence)
+    shared = texts.sparkSession.sparkContext.broadcast(usual)
 
     def make():
         split = Splitter(shared.value).split
 
         def step(cols):
             out: dict[str, list] = {k: [] for k in (*keys, "start_off", "end_off", "sentence")}
-            for r, t in enumerate(cols["_text"]):
-                for a, b in split(t):
+            for r, (t, rare) in enumerate(zip(cols["_text"], cols["_light"])):
+                for a, b in split(t, rare):
                     for k in keys:
                         out[k].append(cols[k][r])
                     out["start_off"].append(a)
@@ -460,7 +533,7 @@ def sentences(texts: DataFrame, keys: list[str], text: str = "text", evidence: d
 
         return step
 
-    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
+    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).join(light.withColumnRenamed("light", "_light"), keys, "left")
     return arrow_map(rows, make, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", start_off int, end_off int, sentence string")
 
 

@@ -76,3 +76,36 @@ def test_sides(spark):
     rows = [(1, 5, "a", "b", 0), (1, 6, None, "c", 0), (None, 6, "z", "c", 1)]
     df = spark.createDataFrame(rows, "id_1 long, id_2 long, text_1 string, text_2 string, side int")
     assert {tuple(r) for r in text_sides(df).collect()} == {(1, 1, "a"), (2, 5, "b"), (2, 6, "c")}
+
+
+def test_the_document_overrules_the_corpus():
+    corpus = {P1.OPEN: {"xyz": 50}, P1.FINAL: {"xyz": 40}, P1.BARE: {"xyz": 500}}
+    text = "Wir xyz. kamen hier. Er xyz. ging dort. Sie xyz. blieb. Die xyz. Weber kam."
+    assert P1.Splitter(corpus).abbreviation(P1.observe(text), "xyz") == (True, True)
+    assert P1.Splitter(corpus).abbreviation(P1.observe("Nichts davon."), "xyz") == (False, True)
+    plain = {P1.SMALL: {"haus": 50}}
+    assert P1.Splitter(plain).abbreviation(P1.observe("Das haus ist alt. Er sah das haus."), "haus") == (False, True)
+
+
+def test_quotations_of_any_length_are_one_unit():
+    s = P1.Splitter()
+    for opening, closing in ("«»", '""', "()"):
+        text = f"Er sagte {opening}" + "Das Haus ist gut. " * 150 + f"Ende.{closing} und ging weiter."
+        assert s.split(text) == [(0, len(text))]
+    # marks without a partner hold nothing: the paragraph, a list item or an inch end them
+    for text in ("Er sagte «das. Wort ist gut.\n\nEin Satz. Noch ein Satz».", 'Ein Brett 15" lang. Ein Satz. Noch "ein" Satz.'):
+        assert len(s.split(text)) >= 3
+
+
+def test_evidence_is_the_same_whichever_way_it_travels(spark):
+    rows = [(i, t) for i, t in enumerate(CORPUS)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(rows, "text_id long, text string")
+    whole = evidence(CORPUS)
+    for share in (1e-9, 0.02, 2.0):
+        usual, light = P1.corpus_evidence(df, ["text_id"], heavy_share=share)
+        rare = {r["text_id"]: r["light"] for r in light.collect()}
+        for i, t in enumerate(CORPUS):
+            s = P1.Splitter(usual)
+            assert s.split(t, rare.get(i)) == P1.Splitter(whole).split(t)
+            for w in P1.asks(t):
+                assert [s._everywhere(k, w) for k in P1.KINDS] == [whole[k].get(w, 0) for k in P1.KINDS]
