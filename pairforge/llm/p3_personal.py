@@ -1,22 +1,31 @@
 """Personal information in free text, by information-theoretic sanitisation.
 
-A first pass over the whole corpus finds anchors: pieces whose form alone gives them away (an
-address of electronic mail, a number with a country code, a patronymic, a street with a house).
-It counts which terms stand with them and how often these terms occur at all. The pointwise
-mutual information of a term and a kind of protected entity says how strongly the term reveals
-it: "mobile" reveals a phone number, "my name is" a person, a given name the surname beside it.
-A second pass looks at every span that could be personal. A span is disclosed when its form and
-the terms around and inside it exceed the threshold of bits; disclosed spans are generalised to
-typed placeholders. Numbers of orders, versions or standards have similar forms, but no term
-beside them reveals anything.
-
-The tables that go to all tasks hold terms above a share of all occurrences, which bounds their rows.
+One pass over the whole corpus proposes every span that could be personal by its build: anything
+shaped like an electronic address, a long number, a street with a house, a name. A proposal is
+never a decision. It carries its terms: its form, the words before it, the names inside it. A few
+fixed labels ("tel", "passport", "name") serve as seeds: a proposal beside the seed of its kind is
+an anchor. The corpus then tells how strongly each term reveals an entity of each kind, by pointwise
+mutual information in bits:
+
+* a form, by the share of its proposals that stand beside a seed, against the kind's share of all words;
+* a word before a span, by the share of all its occurrences that stand before spans whose form reveals them
+  (the second word before it gives a third, so that it never suffices alone);
+* a name inside a span, by the share of all its occurrences that stand in the place of a name.
+
+A span is disclosed when the bits of its form and of the words before it together reach ``DISCLOSURE``
+of the bits that naming the kind takes (minus the logarithm of its share of all words). This one
+threshold holds for all five kinds and at every size; without the corpus's counts nothing is disclosed.
+Disclosed spans are generalised to typed placeholders. Numbers of orders, versions or standards
+have similar forms, but neither these forms nor the words beside them reveal anything.
+
+Counting, weighing and deciding are joins of narrow rows (a proposal and its terms); texts are read
+once to propose and once more to be rewritten.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
-from math import log2
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,27 +37,28 @@ from pairforge.storage import materialize
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-#: Bits a span needs to be disclosed; a term discloses from TERM_BITS on if also this share of its occurrences stands with the kind.
-SPAN_BITS = 5.0
-TERM_BITS = 3.0
+#: Share of the bits that name a kind which a span's terms must give for the span to be disclosed.
+DISCLOSURE = 0.5
+#: Least share of a word's occurrences that stand before revealed spans of a kind, for the word to count, and least number of them.
 TERM_SHARE = 0.15
 LEAST_TOGETHER = 4
-#: Least shares of all word occurrences: of a term that reveals, and of a word so usual that it is no name.
-MIN_SHARE = 5e-7
-USUAL_SHARE = 4e-5
-#: Share of its occurrences beside given names, patronymics or initials from which a word is a surname, however usual it is.
+#: Least share of a word's occurrences that stand in the place of a name, for it to be one.
 NAMED_SHARE = 0.2
 
 # Labels of numbers that name one person, in the languages at hand.
 ID_LABELS = r"паспорт\p{L}*|снилс|инн|огрнип|passport(?:\s+no)?|national\s+id|ssn|social\s+security(?:\s+number)?|nin|steuer-?id|steuernummer|ausweis(?:nummer)?|personalausweis|reisepass|n°\s+de\s+sécurité\s+sociale|sécurité\s+sociale|passeport|numéro\s+fiscal|dni|nie|nif|pasaporte"
 # Labels of phone numbers.
 PHONE_LABELS = {"tel", "tél", "telefon", "telephone", "téléphone", "teléfono", "phone", "mobile", "mobil", "móvil", "portable", "fax", "handy", "тел", "телефон", "моб", "факс"}
-# Usual given names to start with; the others are learned.
+# Labels of electronic mail, of addresses and of names.
+EMAIL_LABELS = {"e-mail", "email", "mail", "courriel", "correo", "почта", "почту", "почте", "contact", "contacto", "контакт", "контакты"}
+ADDRESS_LABELS = {"адрес", "адресу", "регистрации", "проживает", "address", "live", "lives", "anschrift", "wohnhaft", "adresse", "habite", "dirección", "vivo"}
+PERSON_LABELS = {"фио", "зовут", "доц", "проф", "соискатель", "dr", "prof", "mr", "mrs", "ms", "name", "applicant", "coordinator", "heiße", "ansprechpartner", "appelle", "encadrement", "llamo", "tutor", "tutora"}
+# Usual given names, whose words have the build of names; others must stand beside a label or be known from there.
 GIVEN = """александр алексей алиса анастасия андрей анна антон артём борис вадим валентина вера виктор владимир галина глеб григорий дарья денис дмитрий евгений егор екатерина елена иван игорь
 илья ирина кирилл константин ксения лев людмила максим маргарита марина мария михаил надежда наталья никита николай нина олег ольга павел пётр полина роман светлана сергей софья степан татьяна тимур юлия юрий
 adam alice anna ben charlotte daniel david edward emily emma george grace hannah henry jack james jane john kate laura lucy mark mary michael oliver oscar paul peter robert sarah simon thomas william
 anja bernd felix franz hans heinz ingrid jörg jürgen karl klaus lena martin monika petra stefan ute uwe werner camille chloé claire françois hélène jean julien luc manon marie nicolas philippe pierre sophie
-ana andrés carlos carmen elena francisco javier jorge josé juan lucía luis manuel maría marta miguel pablo pedro pilar sofía tomás raúl inés begoña agnès inès hugo rémi dirk jana birgit heike ruth nora miles colin megan""".split()
+ana andrés carlos carmen elena francisco javier jorge josé juan lucía luis manuel maría marta miguel pablo pedro pilar sofía tomás raúl inés begoña agnès inès hugo rémi birgit colin dirk heike jana megan miles nora ruth""".split()
 
 _SPACE = r"[ \xa0]{0,2}"
 _DOT = rf"{_SPACE}\."
@@ -70,7 +80,9 @@ PHONE_STRONG = regex.compile(
 PHONE_WEAK = regex.compile(
     rf"(?i)(?<![\d\p{{L}}.\-/+(])(?:\({_SPACE}\d{{3,5}}{_SPACE}\){_SEP}\d{{3,5}}(?:{_SEP}\d{{2,4}}){{0,2}}|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{3,4}}|0\d{{2,4}}{_SPACE}[/ ]{_SPACE}\d{{4,5}}{_SEP}\d{{3,4}}|0\d(?:{_SEP}\d{{2}}){{4}}|0\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}|\d{{9,11}}){_EXT}(?![\d\p{{L}}])"
 )
-ID = regex.compile(rf"(?i)(?<![\p{{L}}\d])(?:{ID_LABELS}){_SPACE}(?:серия{_SPACE})?[.:№#]?{_SPACE}[:.]?{_SPACE}(?P<id>(?:[\p{{L}}]{{1,2}}{_SPACE})?\d(?:[ \xa0\-–]{{0,2}}(?:№{_SPACE})?\d){{5,16}}(?:{_SPACE}-?[a-z](?![\p{{L}}\d]))?)(?![\p{{L}}\d])")
+_BODY = r"\d(?:(?:[ \xa0\-–]{0,2}(?:№[ \xa0]{0,2})?|\.)\d){5,16}"
+ID = regex.compile(rf"(?i)(?<![\p{{L}}\d.,/(+])(?P<lead>\p{{L}}{{1,2}}{_SPACE})?(?P<body>{_BODY})(?P<tail>{_SPACE}-?[a-z](?![\p{{L}}\d]))?(?![\p{{L}}\d])")
+_ID_SEED = regex.compile(rf"(?i)(?<![\p{{L}}\d])(?:{ID_LABELS}){_SPACE}(?:серия{_SPACE})?[.:№#]?{_SPACE}[:.]?{_SPACE}\Z")
 
 # ---- street addresses
 _NAME = r"[\p{L}][\p{L}\-'’]{2,}"
@@ -88,7 +100,7 @@ ADDRESS_EN = regex.compile(rf"(?i)(?<![\p{{L}}\d.@])(?:(?:apt|flat|unit|suite){_
 ADDRESS_DE = regex.compile(rf"(?i)(?<![\p{{L}}\d])(?:[\p{{L}}\-]{{3,}}(?:straße|strasse|str{_SPACE}\.|weg|platz|allee|gasse|ufer|ring|damm)|(?:am|an der|im|zum|zur|auf dem|unter den)\s{_NAME}){_SPACE}\d{{1,4}}{_SPACE}?\p{{L}}?(?![\p{{L}}\d]){_CITY_AFTER}")
 ADDRESS_FR = regex.compile(rf"(?i)(?<![\p{{L}}\d])\d{{1,4}}(?:{_SPACE}(?:bis|ter|quater))?{_SPACE},?{_SPACE}(?:rue|avenue|av|bd|boulevard|place|chemin|quai|allée|impasse|cours|route){_SPACE}\.?{_SPACE}(?:(?:des|de la|du|de|d['’]){_SPACE})?{_NAME}{_CITY_AFTER}")
 ADDRESS_ES = regex.compile(rf"(?i)(?<![\p{{L}}\d])(?:calle|c{_SPACE}/|avda|avenida|av|plaza|paseo|pza|ronda|camino){_SPACE}\.?{_SPACE}(?:(?:de|del|de la){_SPACE})?{_NAME}{_SPACE},?{_SPACE}\d{{1,4}}(?!\d)(?:{_COMMA}\d{{1,2}}{_SPACE}\.?{_SPACE}[ºª°]{_SPACE}\p{{L}}(?!\p{{L}}))?{_CITY_AFTER}")
-ADDRESSES = (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES)
+ADDRESSES = (("en", ADDRESS_EN), ("de", ADDRESS_DE), ("fr", ADDRESS_FR), ("es", ADDRESS_ES))
 
 # ---- persons
 WORD = regex.compile(r"[\p{L}][\p{L}\p{M}'’\-]*")
@@ -103,196 +115,207 @@ _INITIALS_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d.])(?:(?:\p{{L}}|yu|ya)
 _MIDDLE = rf"(?:[ \xa0]\p{{L}}{_DOT})?"
 
 
-def _words_before(text: str, at: int, n: int = 2) -> list[str]:
-    """The n words before a place, the nearest first."""
-    return [w.lower() for w in regex.findall(r"[\p{L}][\p{L}\p{M}\-]*", text[max(0, at - 40) : at])[::-1][:n]]
-
 
-def _digits(s: str) -> str:
-    return regex.sub(r"\D", "", s)
+_DIGITS = regex.compile(r"\d+")
+_NOT_DIGITS = regex.compile(r"\D+")
+_BEFORE_WORD = regex.compile(r"[\p{L}][\p{L}\p{M}\-]*")
+_EXTENSION = regex.compile(r"(?i)[ ,]*(?:доб|ext|вн|durchwahl|poste).*$", regex.DOTALL)
+_CITY = regex.compile(r"(?:ск|град|бург|ово|ево|ино|поль|город|горск|цк|ль|нь|ва)$")
+_GAPS = (" ", "  ", "\xa0", "\n")
+_CUED = regex.compile(rf"[ \xa0]{{0,2}}[.:]?[ \xa0]{{1,2}}(?:(?P<s2>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}}){_SPACE},[ \xa0]{{1,2}}(?P<g2>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}})|(?P<g>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}})(?:[ \xa0]{{1,2}}\p{{L}}{_DOT})?[ \xa0]{{1,2}}(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}}))")
+_SURNAME_AFTER = regex.compile(rf"{_MIDDLE}[ \xa0]{{1,2}}(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}})")
+_SURNAME_COMMA = regex.compile(rf"(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}}){_SPACE},[ \xa0]{{1,2}}$")
+_TAIL_INITIAL = regex.compile(rf"[ \xa0]\p{{L}}{_DOT}(?=\W)")
+_AT_HINT = regex.compile(rf"(?i){_AT}")
+_GIVEN = frozenset(GIVEN)
+_PATRONYMIC_ENDS = ("ович", "евич", "ьич", "инична", "овна", "евна", "ична")
 
 
-def phone_signature(span: str) -> str:
-    """The form of a number: runs of digits by length."""
-    return "sig:" + regex.sub(r"\d+", lambda m: str(len(m.group())), regex.sub(r"[ \xa0]+", " ", regex.sub(r"(?i)[ ,]*(?:доб|ext|вн).*$", "", span)))
-
-
-def _is_cased(text: str) -> bool:
-    return any(ch.isupper() for ch in text)
+def _words_before(text: str, at: int, n: int = 2) -> list[str]:
+    """The n words before a place, the nearest first."""
+    return [w.lower() for w in _BEFORE_WORD.findall(text[max(0, at - 40) : at])[::-1][:n]]
 
 
-class Names:
-    """Finds spans that have the build of a name."""
+def number_form(span: str) -> tuple[str, str]:
+    """The form of a number, runs of digits by length and letters as L, and a coarser one: its first sign and the number of digits."""
+    span = _EXTENSION.sub("", span)
+    fine = regex.sub(r"\d+", lambda m: str(len(m.group())), regex.sub(r"\p{L}+", "L", regex.sub(r"[ \xa0]+", " ", span)))
+    digits = _NOT_DIGITS.sub("", span)
+    return fine, f"{span[0] if not span[0].isalnum() else digits[0] if digits[:1] in '80' else ''}/{'L' if 'L' in fine else ''}{len(digits)}"
 
-    def __init__(self, given: set[str], usual: set[str], named: dict[str, float] | None = None):
-        self.given, self.usual, self.named = given, usual, named or {}
 
-    def _surname(self, w: str, cased: bool) -> bool:
-        """Whether a word may be the surname beside a given name."""
-        if len(w) < 3 or w.lower() in self.given:
-            return False
-        if cased and not w[0].isupper():
-            return False
-        return w.lower() not in self.usual
+Proposal = tuple[str, int, int, int, str, str, list, int, list]
 
-    def find(self, text: str) -> list[tuple[int, int, float, str]]:
-        """``(start, end, bits of the build, given name)``."""
-        cased = _is_cased(text)
-        tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-        out = []
 
-        def gap(i: int, j: int) -> str:
-            return text[tokens[i][1] : tokens[j][0]] if 0 <= i and j < len(tokens) else "\n\n"
+def propose(text: str) -> list[Proposal]:
+    """Every span of a text that has the build of personal information, undecided:
+    ``(kind, start, end, rank, form, coarse form, words before, seeded, names)``. Of overlapping disclosed
+    spans the one of lower rank wins, then the longer one. ``names``: words with their role ('surname', 'given', 'place')
+    that must be names for the span to hold."""
+    out: list[Proposal] = []
+    cased = any(ch.isupper() for ch in text)
 
-        def near(i: int, j: int) -> bool:
-            g = gap(i, j)
-            return g in (" ", "  ", "\xa0", "\n") and not ("\n" in g and cased is False and False)
+    def add(kind, a, b, rank, form, coarse, labels, names=(), seeded=None):
+        while a < b and text[a].isspace():
+            a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a < b:
+            before = _words_before(text, a)
+            out.append((kind, a, b, rank, form, coarse, before, int(bool(labels & set(before)) if seeded is None else seeded), [f"{role}:{w.lower()}" for role, w in names]))
 
-        used = -1
-        for k, (a, b, w) in enumerate(tokens):
-            if a < used:
-                continue
-            low = w.lower()
-            # given name and patronymic, with a surname on either side
-            if _PATRONYMIC.match(w) and k and near(k - 1, k) and low not in self.usual and (not cased or w[0].isupper()) and (tokens[k - 1][2].lower() in self.given or len(tokens[k - 1][2]) > 2 and _plausible_given(tokens[k - 1][2], cased, self.usual)):
-                g = tokens[k - 1]
-                start, end = g[0], b
-                if k > 1 and near(k - 2, k - 1) and "\n" not in gap(k - 2, k - 1) and _RU_SURNAME.match(tokens[k - 2][2]) and self._surname(tokens[k - 2][2], cased):
-                    start = tokens[k - 2][0]
-                elif near(k, k + 1) and _RU_SURNAME.match(tokens[k + 1][2]) and self._surname(tokens[k + 1][2], cased):
-                    end = tokens[k + 1][1]
-                if out and out[-1][1] > start:
-                    out.pop()
-                out.append((start, end, 8.0, g[2].lower()))
-                used = end
-                continue
-            if low in self.given and (not cased or w[0].isupper()):
-                # the given name first
-                m = regex.compile(rf"{_MIDDLE}[ \xa0]{{1,2}}(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}})").match(text, b)
-                if k + 1 < len(tokens) and _PATRONYMIC.match(tokens[k + 1][2]) and near(k, k + 1):
-                    continue
-                before = tokens[k - 1] if k and gap(k - 1, k) in (" ", "  ", "\xa0") else None
-                comma = regex.compile(rf"(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}}){_SPACE},[ \xa0]{{1,2}}$").search(text, max(0, a - 40), a)
-                russian = regex.match(r"[а-яё]", low) is not None
-                if comma and not russian and self._surname(comma.group("s"), cased):
-                    end = b
-                    tail = regex.compile(rf"[ \xa0]\p{{L}}{_DOT}(?=\W)").match(text, b)
-                    out.append((comma.start("s"), tail.end() if tail and tail.group().strip()[0].isupper() and not m else end, 4.0, low))
-                    used = out[-1][1]
-                elif m and self._surname(m.group("s"), cased) and (not russian or _RU_SURNAME.match(m.group("s"))):
-                    out.append((a, m.end(), 4.0, low))
-                    used = m.end()
-                elif before and russian and _RU_SURNAME.match(before[2]) and self._surname(before[2], cased):
-                    if out and out[-1][1] > before[0]:
-                        out.pop()
-                    out.append((before[0], b, 4.0, low))
-                    used = b
-                continue
-            # initials and a surname
-            if len(w) > 2 and low not in self.usual and (not cased or w[0].isupper()):
-                russian = regex.match(r"(?i)[а-яё]", w) is not None
-                if russian and not _RU_SURNAME.match(w):
-                    continue
-                m = _INITIALS_BEFORE.search(text[max(0, a - 14) : a])
-                if m and (not cased or m.group().strip()[0].isupper()) and not _DEGREE.search(text[max(0, a - 20) : a]):
-                    start = a - len(m.group())
-                    double = m.group().count(".") == 2 and (cased or not _NO_INITIALS.search(m.group()))
-                    out.append((start, b, (4.0 if cased or russian else 3.0) if double else (2.0 if cased else 1.0), ""))
-                    used = b
-                    continue
-                if russian:
-                    m = _INITIALS_AFTER.match(text, b)
-                    if m and (not cased or m.group().strip()[0].isupper()):
-                        double = m.group().count(".") == 2 and (cased or not _NO_INITIALS.search(m.group()))
-                        out.append((a, m.end(), 4.0 if double else 2.0 if cased else 1.0, ""))
-                        used = m.end()
-        return out
-
-
-def _surnames(span: str, given: set[str]) -> list[str]:
-    """The words of a person's span that are neither given name nor patronymic nor initial."""
-    return [w for w in map(str.lower, WORD.findall(span)) if len(w) > 2 and w not in given and not _PATRONYMIC.match(w)]
-
-
-def _plausible_given(w: str, cased: bool, usual: set[str]) -> bool:
-    return (not cased or w[0].isupper()) and w.lower() not in usual
-
-
-def _addresses(text: str) -> list[tuple[int, int, float]]:
-    """Spans with the build of an address, and the bits of it."""
-    out = []
-    for m in ADDRESS_RU.finditer(text):
-        start, end = m.span()
-        bits = 2.0 + 3.0 * bool(m.group("house")) + 2.0 * bool(m.group("code")) + 1.5 * bool(m.group("g")) + 1.0 * bool(m.group("city"))
-        if m.group("city"):
-            lead = text[max(0, start - 3) : start].rstrip()
-            word = m.group("city").lower()
-            if not regex.search(r"(?:ск|град|бург|ово|ево|ино|поль|город|горск|цк|ль|нь|ва)$", word) or lead.endswith(("«",)):
-                start = m.end("city")
-                while not text[start].isalnum():
-                    start += 1
-                bits -= 1.0
-        if m.group("house"):
-            out.append((start, end, bits))
-    for pattern in ADDRESSES:
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            bits = 4.0 + 2.0 * bool(m.group("zip") or m.group("zip2"))
-            out.append((start, end, bits, m))  # type: ignore[arg-type]
+    if _AT_HINT.search(text):
+        for m in EMAIL.finditer(text):
+            style = "@" if "@" in m.group() else "at"
+            add("email", m.start(), m.end(), 0, f"{style}:{'.' in m.group()}:{' ' in m.group()}", style, EMAIL_LABELS)
+    if any(ch.isdigit() for ch in text):
+        _propose_numbers(text, add)
+        _propose_addresses(text, cased, add)
+    _propose_names(text, cased, add)
     return out
 
 
-def _anchors(text: str, names: Names, people: list | None = None) -> list[tuple[str, int, int, str]]:
-    """Pieces whose form alone gives them away: kind, start, end, given name. ``people``: what ``names`` finds, if known."""
-    out = [("email", m.start(), m.end(), "") for m in EMAIL.finditer(text)]
-    out += [("phone", m.start(), m.end(), "") for m in PHONE_STRONG.finditer(text)]
-    out += [("phone", m.start(), m.end(), "") for m in PHONE_WEAK.finditer(text) if PHONE_LABELS & set(_words_before(text, m.start(), 1))]
-    out += [("id_number", m.start("id"), m.end("id"), "") for m in ID.finditer(text)]
-    out += [("address", x[0], x[1], "") for x in _addresses(text) if x[2] >= 6.0]
-    out += [("person", a, b, g) for a, b, bits, g in (names.find(text) if people is None else people) if bits >= 4.0]
-    return out
-
+def _propose_numbers(text: str, add) -> None:
+    for m in ID.finditer(text):
+        # letters beside the number, and a last group of digits, may belong to it or not: the corpus knows the forms
+        starts = {m.start(), m.start("body")}
+        ends = {m.end(), m.end("body")}
+        groups = [g.end() for g in _DIGITS.finditer(text, *m.span("body"))]
+        if len(groups) > 1 and sum(ch.isdigit() for ch in text[m.start("body") : groups[-2]]) >= 6:
+            ends.add(groups[-2])
+        for a in starts:
+            seeded = _ID_SEED.search(text, max(0, a - 60), a) is not None
+            for b in ends:
+                add("id_number", a, b, 1, number_form(text[a:b].strip())[0], "", (), seeded=seeded and b == m.end())
+    for rank, pattern in ((2, PHONE_STRONG), (3, PHONE_WEAK)):
+        for m in pattern.finditer(text):
+            form, coarse = number_form(m.group().strip())
+            if (10 if rank == 2 else 9) <= sum(ch.isdigit() for ch in _EXTENSION.sub("", m.group())) <= (15 if rank == 2 else 12):
+                add("phone", m.start(), m.end(), rank, form, coarse, PHONE_LABELS, seeded=bool(PHONE_LABELS & set(_words_before(text, m.start(), 1))))
 
-def corpus_terms(texts: DataFrame, text: str = "text") -> dict[str, dict]:
-    """Counts of all texts: ``with`` (kind, term) beside an anchor of that kind, ``all`` occurrences of a term, ``anchors`` of a kind.
 
-    Only terms above the least share of all occurrences are kept (and of words without anchors
-    those above the share of usual words), hence a bounded number.
-    """
+def _propose_addresses(text: str, cased: bool, add) -> None:
+    for m in ADDRESS_RU.finditer(text):
+        if not m.group("house"):
+            continue
+        start = m.start()
+        if m.group("city") and (not _CITY.search(m.group("city").lower()) or text[max(0, start - 3) : start].rstrip().endswith("«")):
+            start = m.end("city")
+            while not text[start].isalnum():
+                start += 1
+        parts = "".join(k[0] for k in ("code", "g", "city") if m.group(k))
+        add("address", start, m.end(), 4, f"ru:{parts}", "ru", ADDRESS_LABELS)
+    for language, pattern in ADDRESSES:
+        for m in pattern.finditer(text):
+            end, place = m.end(), m.group("place")
+            form = f"{language}:{'z' if m.group('zip') or m.group('zip2') else ''}"
+            if place:
+                after = text[end : end + 2].strip()
+                if not (after[:1].isalpha() or cased and not place[0].isupper() or place.lower() in PHONE_LABELS | EMAIL_LABELS):
+                    add("address", m.start(), end, 4, form, language, ADDRESS_LABELS, (("place", place),))
+                end = m.start("place")
+                while not (text[end - 1].isalnum() or text[end - 1] == "."):
+                    end -= 1
+            add("address", m.start(), end, 4, form, language, ADDRESS_LABELS)
+
+
+def _propose_names(text: str, cased: bool, add) -> None:
+    tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    count = len(tokens)
+    shape = "Aa" if cased else "aa"
+    person = lambda a, b, rank, build, names=(), russian=True: add("person", a, b, rank, f"{build}:{'ru' if russian else 'xx'}:{shape}", build, PERSON_LABELS, names)
+
+    def gap(i: int, j: int) -> str:
+        return text[tokens[i][1] : tokens[j][0]] if 0 <= i and j < count else "\n\n"
+
+    def surname(w: str) -> bool:
+        return len(w) > 2 and w.lower() not in _GIVEN and (not cased or w[0].isupper())
+
+    for k, (a, b, w) in enumerate(tokens):
+        low = w.lower()
+        capital = not cased or w[0].isupper()
+        if low in PERSON_LABELS or low[-7:] == "appelle":
+            m = _CUED.match(text, b)
+            if m:
+                g, s = (m.group("g"), m.group("s")) if m.group("g") else (m.group("g2"), m.group("s2"))
+                if g.lower() not in _GIVEN and g.lower() not in PERSON_LABELS and not g.lower().endswith(_PATRONYMIC_ENDS) and (not cased or g[0].isupper() and s[0].isupper()) and not regex.match(r"[а-яё]", g.lower()):
+                    start = min(m.start(x) for x in ("g", "s", "g2", "s2") if m.start(x) >= 0)
+                    person(start, m.end(), 54, "cued", (("surname", s), ("given", g)), False)
+        if not capital or len(w) < 3:
+            continue
+        if low.endswith(_PATRONYMIC_ENDS) and len(w) > 5 and k and gap(k - 1, k) in _GAPS:
+            given, known = tokens[k - 1], tokens[k - 1][2].lower() in _GIVEN
+            if known or len(given[2]) > 2 and (not cased or given[2][0].isupper()):
+                names = () if known else (("given", given[2]),)
+                names += (("patronymic", w),)
+                if k > 1 and gap(k - 2, k - 1) in _GAPS[:3] and _RU_SURNAME.match(tokens[k - 2][2]) and surname(tokens[k - 2][2]):
+                    person(tokens[k - 2][0], b, 50, "sgp", (*names, ("surname", tokens[k - 2][2])))
+                if gap(k, k + 1) in _GAPS and _RU_SURNAME.match(tokens[k + 1][2]) and surname(tokens[k + 1][2]):
+                    person(given[0], tokens[k + 1][1], 51, "gps", (*names, ("surname", tokens[k + 1][2])))
+                person(given[0], b, 52, "gp", names)
+            continue
+        if low in _GIVEN or cased and k + 1 < count and gap(k, k + 1) == " " and tokens[k + 1][2][0].isupper() and not regex.match(r"[а-яё]", low):
+            known = low in _GIVEN
+            need = () if known else (("given", w),)
+            m = _SURNAME_AFTER.match(text, b)
+            russian = regex.match(r"[а-яё]", low) is not None
+            if not (k + 1 < count and tokens[k + 1][2].lower().endswith(_PATRONYMIC_ENDS)):
+                comma = _SURNAME_COMMA.search(text, max(0, a - 40), a) if known else None
+                if comma and not russian and surname(comma.group("s")):
+                    tail = _TAIL_INITIAL.match(text, b)
+                    end = tail.end() if tail and tail.group().strip()[0].isupper() and not m else b
+                    person(comma.start("s"), end, 53, "s,g", (("surname", comma.group("s")),), russian)
+                elif m and surname(m.group("s")) and (not russian or _RU_SURNAME.match(m.group("s"))):
+                    person(a, m.end(), 53 if known else 55, "gs" if known else "gs?", (*need, ("surname", m.group("s"))), russian)
+                if known and russian and k and gap(k - 1, k) in _GAPS[:3] and _RU_SURNAME.match(tokens[k - 1][2]) and surname(tokens[k - 1][2]):
+                    person(tokens[k - 1][0], b, 54, "sg", (("surname", tokens[k - 1][2]),))
+            if known:
+                continue
+        # initials and a surname
+        russian = regex.match(r"[а-яё]", low) is not None
+        if low in _GIVEN or russian and not _RU_SURNAME.match(w):
+            continue
+        m = _INITIALS_BEFORE.search(text, max(0, a - 14), a) if a and text[a - 1] in ". \xa0" else None
+        if m and (not cased or m.group().strip()[0].isupper()) and not _DEGREE.search(text, max(0, a - 20), a):
+            double = m.group().count(".") == 2
+            doubt = "?" if not cased and _NO_INITIALS.search(m.group()) else ""
+            person(a - len(m.group()), b, 56, f"i{1 + double}s{doubt}", (("surname", w),), russian)
+        elif russian:
+            m = _INITIALS_AFTER.match(text, b)
+            if m and (not cased or m.group().strip()[0].isupper()):
+                doubt = "?" if not cased and _NO_INITIALS.search(m.group()) else ""
+                person(a, m.end(), 57, f"si{m.group().count('.')}{doubt}", (("surname", w),))
+
+
+def proposals(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """All proposals of all texts and, beside them in the same written table, the pre-aggregated counts of all words
+    (``_word``, ``_n``; the other columns are null there). ``_row`` tells texts with equal keys apart."""
+    kinds = {k: texts.schema[k].dataType.simpleString() for k in keys}
+    columns = ("kind", "start_off", "end_off", "rank", "form", "coarse", "before", "seeded", "names")
 
     def make():
-        names = Names(set(GIVEN), set())
-        count: Counter = Counter()
+        words: Counter = Counter()
 
         def flush():
-            rows = list(count.items())
-            count.clear()
-            return {"kind": [k for (k, _), _ in rows], "term": [t for (_, t), _ in rows], "n": [n for _, n in rows]}
+            found, counts = list(words), list(words.values())
+            words.clear()
+            none = [None] * len(found)
+            return {k: none for k in (*keys, "_row", "_place", *columns)} | {"_word": found, "_n": counts}
 
         def step(cols):
-            words: Counter = Counter()
-            for t in cols["_text"]:
+            out: dict[str, list] = {k: [] for k in (*keys, "_row", "_place", *columns)}
+            for i, t in enumerate(cols["_text"]):
                 words.update(map(str.lower, WORD.findall(t)))
-                people = names.find(t)
-                for a, b, _, _ in people:
-                    for w in _surnames(t[a:b], names.given):
-                        count["surname", w] += 1
-                for kind, a, b, given in _anchors(t, names, people):
-                    count[kind, ""] += 1
-                    for w in set(_words_before(t, a)):
-                        count[kind, w] += 1
-                    if kind == "phone":
-                        count[kind, phone_signature(t[a:b])] += 1
-                    if given:
-                        count["given", given] += 1
-                for m in PHONE_WEAK.finditer(t):
-                    s = phone_signature(m.group())
-                    count["all", s] += 1
-                    for w in _words_before(t, m.start()):
-                        count["weak:" + s, w] += 1
-            for w, n in words.items():
-                count["all", w] += n
-            if len(count) > 200_000:
+                for p, row in enumerate(propose(t)):
+                    for k in keys:
+                        out[k].append(cols[k][i])
+                    out["_row"].append(cols["_row"][i])
+                    out["_place"].append(p)
+                    for c, v in zip(columns, row):
+                        out[c].append(v)
+            none = [None] * len(out["_row"])
+            yield out | {"_word": none, "_n": none}
+            if len(words) > 200_000:
                 yield flush()
 
         def close():
@@ -301,162 +324,64 @@ def corpus_terms(texts: DataFrame, text: str = "text") -> dict[str, dict]:
         step.close = close
         return step
 
-    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), make, "kind string, term string, n bigint")
-    counts = materialize(rows.groupBy("kind", "term").agg(F.sum("n").alias("n")), "terms")
-    total = counts.where("kind = 'all' and term not like 'sig:%'").agg(F.sum("n")).first()[0] or 0
-    least, usual = max(1, int(total * MIN_SHARE)), max(8, int(total * USUAL_SHARE))
-    beside = counts.where((F.col("kind") != "all") & (F.col("n") >= F.when(F.col("kind") == "surname", max(least, int(usual * NAMED_SHARE))).otherwise(least)))
-    needed = beside.select("term").distinct()
-    # both sides of this join are bounded by the shares only after the filter, so Spark may choose its way
-    all_ = counts.where("kind = 'all'").join(needed.withColumn("hit", F.lit(1)), "term", "left").where((F.col("n") >= usual) | F.col("hit").isNotNull()).select("kind", "term", "n")
-    found: dict[str, dict] = {"total": {"": total}, "usual": {"": usual}}
-    for r in beside.unionByName(all_).toLocalIterator():
-        found.setdefault(r["kind"], {})[r["term"]] = r["n"]
-    given, surnames = _learned_names(texts, text, found, counts, max(3, least))
-    found["given"] = found.get("given", {}) | given
-    known = found.setdefault("surname", {})
-    for w, n in surnames.items():
-        known[w] = max(n, known.get(w, 0))
-    return found
-
-
-def _learned_names(texts: DataFrame, text: str, found: dict[str, dict], counts: DataFrame, least: int) -> tuple[dict[str, int], dict[str, int]]:
-    """Given names: words that stand, in at least a third of their occurrences, where a term that reveals persons leads to a name;
-    and the usual words that stand often enough in the surname's place there, to be surnames."""
-    sanitizer = Sanitizer(found)
-    slot = name_slot(sanitizer)
-    if slot is None:
-        return {}, {}
-    usual, cues = sanitizer.names.usual, {w for w in sanitizer.person if sanitizer.bits("person", w)}
+    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), F.xxhash64(text).alias("_row"))
+    schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", _row bigint, _place int, kind string, start_off int, end_off int, rank int, form string, coarse string, before array<string>, seeded int, names array<string>, _word string, _n bigint"
+    return materialize(arrow_map(rows, make, schema), "proposals")
 
-    def make():
-        seen: Counter = Counter()
-
-        def step(cols):
-            for t in cols["_text"]:
-                cased = _is_cased(t)
-                for m in slot.finditer(t):
-                    g, surname = (m.group("g"), m.group("s")) if m.group("g") else (m.group("g2"), m.group("s2"))
-                    if g.lower() not in cues and (not cased or g[0].isupper() and surname[0].isupper()):
-                        seen[g.lower(), surname.lower() if surname.lower() in usual else ""] += 1
-            return ()
-
-        def close():
-            yield {"term": [g for g, _ in seen], "surname": [w for _, w in seen], "n": list(seen.values())}
-
-        step.close = close
-        return step
 
-    rows = arrow_map(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")), make, "term string, surname string, n bigint")
-    slots = materialize(rows.groupBy("term", "surname").agg(F.sum("n").alias("n")), "slots")
-    # usual words are at most 1 / USUAL_SHARE
-    surnames = {r["surname"]: r["n"] for r in slots.where("surname != ''").groupBy("surname").agg(F.sum("n").alias("n")).toLocalIterator()}
-    surnames = {w: n for w, n in surnames.items() if n >= NAMED_SHARE * found["all"].get(w, n)}
-    slots = slots.where(F.col("surname").isin("", *surnames)).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    everywhere = counts.where("kind = 'all'").select("term", F.col("n").alias("all_n"))
-    given = {r["term"]: r["n"] for r in slots.join(everywhere, "term").where("n * 3 >= all_n").toLocalIterator() if len(r["term"]) > 2 and not _RU_SURNAME.match(r["term"])}
-    return given, surnames
-
-
-def name_slot(sanitizer: Sanitizer):
-    """A pattern for a name after a term that reveals persons: 'g s', 'g i. s' or 's, g'; None if no term does."""
-    cues = [w for w in sanitizer.person if len(w) > 1 and w.isalpha() and w not in sanitizer.names.given and sanitizer.bits("person", w)]
-    if not cues:
-        return None
-    w = r"\p{L}[\p{L}\p{M}'’\-]{2,}"
-    return regex.compile(rf"(?i)(?<![\p{{L}}])(?:{'|'.join(map(regex.escape, sorted(cues, key=len, reverse=True)))})[ \xa0]{{0,2}}[.:]?[ \xa0]{{1,2}}(?:(?P<s2>{w}){_SPACE},[ \xa0]{{1,2}}(?P<g2>{w})|(?P<g>{w})(?:[ \xa0]\p{{L}}{_DOT})?[ \xa0]{{1,2}}(?P<s>{w}))")
-
-
-class Sanitizer:
-    """Finds and generalises what the corpus says is revealed."""
-
-    def __init__(self, counts: dict[str, dict]):
-        self.counts = counts
-        self.total = max(1, counts.get("total", {}).get("", 1))
-        all_ = counts.get("all", {})
-        self.all = all_
-        usual_n = counts.get("usual", {}).get("", 8)
-        given = set(GIVEN) | {g for g, n in counts.get("given", {}).items() if n >= 3 and n >= 0.3 * all_.get(g, n) and len(g) > 2}
-        person = counts.get("person", {})
-        surname = counts.get("surname", {})
-        usual = {w for w, n in all_.items() if n >= usual_n and w not in given and not w.startswith("sig:") and not _PATRONYMIC.match(w) and surname.get(w, 0) < NAMED_SHARE * n}
-        self.names = Names(given, usual)
-        self._bits: dict[tuple[str, str], float] = {}
-        self.person = person
-
-    def bits(self, kind: str, term: str) -> float:
-        """Pointwise mutual information of a term and a kind, in bits; 0 if the term seldom stands with it."""
-        found = self._bits.get((kind, term))
-        if found is None:
-            own = self.counts.get(kind, {})
-            n = own.get(term, 0)
-            total = max(n, self.all.get(term, 0))
-            anchors = own.get("", 0)
-            found = 0.0
-            if kind == "person" and (term in self.names.given or term in PHONE_LABELS):
-                n = 0
-            if n >= LEAST_TOGETHER and anchors and n >= TERM_SHARE * total:
-                found = log2(n * self.total / (total * anchors))
-                found = found if found >= TERM_BITS else 0.0
-            self._bits[kind, term] = found
-        return found
-
-    def context(self, kind: str, text: str, at: int) -> float:
-        """The strongest of the two terms before a span; the farther counts half."""
-        before = _words_before(text, at)
-        return max((self.bits(kind, w) / (1 + 0.5 * i) for i, w in enumerate(before)), default=0.0)
-
-    def _form(self, signature: str) -> float:
-        """How often numbers of a form stand with terms that reveal phones: its bits."""
-        key = ("form", signature)
-        if key not in self._bits:
-            beside = self.counts.get("weak:" + signature, {})
-            total = self.all.get(signature, 0)
-            good = sum(n for w, n in beside.items() if self.bits("phone", w))
-            self._bits[key] = 3.0 * min(1.0, good / total) if total else 0.0
-        return self._bits[key]
-
-    def find(self, text: str) -> list[tuple[int, int, str]]:
-        """Disclosed spans ``(start, end, kind)``, apart from one another, in order."""
-        taken: list[tuple[int, int, str]] = []
-
-        def add(a: int, b: int, kind: str) -> None:
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            if a < b and not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, kind))
+def disclosed(proposed: DataFrame, keys: list[str], disclosure: float = DISCLOSURE) -> DataFrame:
+    """The proposals whose terms disclose them: ``keys``, ``_row``, ``kind``, ``start_off``, ``end_off``, ``rank``, ``fit``, ``bits``.
 
-        for m in EMAIL.finditer(text):
-            add(m.start(), m.end(), "email")
-        for m in ID.finditer(text):
-            add(m.start("id"), m.end("id"), "id_number")
-        for m in PHONE_STRONG.finditer(text):
-            n = len(_digits(regex.sub(r"(?i)[ ,]*(?:доб|ext|вн).*$", "", m.group())))
-            if 10 <= n <= 15:
-                add(m.start(), m.end(), "phone")
-        for m in PHONE_WEAK.finditer(text):
-            n = len(_digits(regex.sub(r"(?i)[ ,]*(?:доб|ext|вн).*$", "", m.group())))
-            if 9 <= n <= 12 and self._form(phone_signature(m.group())) + self.context("phone", text, m.start()) >= SPAN_BITS - 3.0:
-                add(m.start(), m.end(), "phone")
-        places = []
-        for a, b, bits, *rest in _addresses(text):
-            if rest and rest[0].group("place"):
-                place = rest[0].group("place").lower()
-                after = text[rest[0].end() : rest[0].end() + 2].strip()
-                if any(self.bits(k, place) for k in ("phone", "email", "id_number")) or place in self.names.usual or after[:1].isalpha() or _is_cased(text) and not rest[0].group("place")[0].isupper():
-                    b = rest[0].start("place")
-                    while not (text[b - 1].isalnum() or text[b - 1] == "."):
-                        b -= 1
-            if bits + self.context("address", text, a) >= SPAN_BITS - 1.0:
-                places.append((a, b))
-        for a, b in sorted(places, key=lambda p: (p[0] - p[1], p)):
-            add(a, b, "address")
-        for a, b, bits, _ in self.names.find(text):
-            if bits + self.context("person", text, a) >= SPAN_BITS - 1.0:
-                add(a, b, "person")
-        return sorted(taken)
+    Everything is joined on terms; the tables of forms and of revealing words are small and left to
+    Spark's size check, hot words to its splitting of skewed partitions.
+    """
+    words = materialize(proposed.where("_word is not null").groupBy("_word").agg(F.sum("_n").alias("all_n")), "words")
+    total = words.agg(F.sum("all_n").alias("n")).first()["n"] or 0
+    spans = proposed.where("kind is not null")
+    # the bits of forms; a form seen too seldom goes by its coarser form, if its kind has any
+    fine = spans.groupBy("kind", "form", "coarse").agg(F.count("*").alias("n"), F.sum("seeded").alias("s"))
+    forms = materialize(fine, "forms")
+    coarse = forms.groupBy("kind", "coarse").agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"))
+    base = forms.groupBy("kind").agg((F.sum("s") / F.lit(max(1, total))).alias("base")).where("base > 0")
+    share = F.when((F.col("n") >= LEAST_TOGETHER) | (F.col("coarse") == ""), F.col("s") / F.greatest("n", F.lit(LEAST_TOGETHER))).otherwise(F.col("cs") / F.col("cn"))
+    forms = forms.join(coarse, ["kind", "coarse"]).join(base, "kind").withColumn("share", share)
+    forms = forms.select("kind", "form", "coarse", F.greatest(F.lit(0.0), F.coalesce(F.log2(F.col("share") / F.col("base")), F.lit(0.0))).alias("form_bits"), (-F.log2("base") * disclosure).alias("least"))
+    spans = materialize(spans.drop("_word", "_n", "seeded").join(forms, ["kind", "form", "coarse"]), "spans")
+    # the bits of words before spans, from the spans that their form reveals
+    beside = spans.where("form_bits >= least").select("kind", F.explode(F.array_distinct("before")).alias("_word")).groupBy("kind", "_word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
+    before = beside.join(words, "_word").withColumn("p", F.least(F.lit(1.0), F.col("n") / F.col("all_n"))).where(F.col("p") >= TERM_SHARE).join(base, "kind")
+    before = before.select("kind", "_word", F.greatest(F.lit(0.0), F.log2(F.col("p") / F.col("base"))).alias("value"))
+    # the share of each name's occurrences in the place of one
+    named = spans.where("coarse != 'gs?'").select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).withColumn("_word", F.substring_index("name", ":", -1))
+    named = named.join(words, "_word").join(before.where("kind in ('phone', 'email', 'id_number')").select("_word").distinct().withColumn("reveals", F.lit(1)), "_word", "left")
+    # a word that leads to numbers is no place, however often it follows a street
+    named = named.where("reveals is null or name not like 'place:%'").select("name", (F.col("n") / F.col("all_n")).alias("value"))
+    # terms of each span, weighed and put together again
+    one = [*keys, "_row", "_place"]
+    terms = spans.select(*one, "kind", F.posexplode("before").alias("i", "term")).unionByName(spans.select(*one, F.lit("name").alias("kind"), F.lit(-1).alias("i"), F.explode("names").alias("term")))
+    known = before.withColumnRenamed("_word", "term").unionByName(named.select(F.lit("name").alias("kind"), F.col("name").alias("term"), "value"))
+    weighed = terms.join(known, ["kind", "term"], "left").groupBy(*one).agg(
+        F.max(F.when(F.col("i") >= 0, F.coalesce("value", F.lit(0.0)) / (1 + 2 * F.col("i")))).alias("context"), F.min(F.when(F.col("i") < 0, F.coalesce("value", F.lit(0.0)))).alias("name")
+    )
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in one]
+    both = spans.alias("a").join(weighed.alias("b"), same, "left")
+    bits = F.col("form_bits") + F.coalesce("context", F.lit(0.0))
+    good = both.where((bits >= F.col("least")) & (F.coalesce("name", F.lit(1.0)) >= NAMED_SHARE))
+    # of an identity number with and without the letters beside it, the better known form is the right one
+    fit = F.when(F.col("rank") == 1, F.col("form_bits")).otherwise(0.0)
+    return good.select(*(F.col(f"a.{k}") for k in (*keys, "_row", "kind", "start_off", "end_off", "rank")), fit.alias("fit"), bits.alias("bits"))
+
+
+def _apart(spans: list[dict]) -> list[dict]:
+    """Disclosed spans of a text that do not overlap, in order: those of lower rank first, then the longer ones."""
+    taken: list[dict] = []
+    edges: list[int] = []  # starts of the taken spans, in order
+    for x in sorted(spans, key=lambda x: (x["rank"], -x["fit"], x["start_off"] - x["end_off"], x["start_off"])):
+        k = bisect_right(edges, x["start_off"])
+        if (k == 0 or taken[k - 1]["end_off"] <= x["start_off"]) and (k == len(taken) or taken[k]["start_off"] >= x["end_off"]):
+            edges.insert(k, x["start_off"])
+            taken.insert(k, x)
+    return taken
 
 
 def generalise(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -468,36 +393,43 @@ def generalise(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[last:]
 
 
-def personal(texts: DataFrame, keys: list[str], text: str = "text", counts: dict[str, dict] | None = None) -> DataFrame:
-    """The ``keys``, ``sanitized`` and ``spans`` (kind, start_off, end_off) of every text that holds personal information.
+def found_spans(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, ``_row`` and ``spans`` (kind, start_off, end_off; apart from one another, in order) of every text with any."""
+    kinds = {k: texts.schema[k].dataType.simpleString() for k in keys}
+    good = disclosed(proposals(texts, keys, text), keys)
+    lists = good.groupBy(*keys, "_row").agg(F.collect_set(F.struct("rank", "fit", "start_off", "end_off", "kind")).alias("spans"))
+
+    def make():
+        def step(cols):
+            spans = [[{"kind": x["kind"], "start_off": x["start_off"], "end_off": x["end_off"]} for x in _apart(xs)] for xs in cols["spans"]]
+            yield {k: cols[k] for k in (*keys, "_row")} | {"spans": spans}
+
+        return step
+
+    return arrow_map(lists, make, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", _row bigint, spans array<struct<kind:string,start_off:int,end_off:int>>")
+
+
+def personal(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The ``keys``, ``sanitized`` and ``spans`` (kind, start_off, end_off) of every text that holds personal information;
+    the corpus that tells is these very texts.
 
     Null, empty and blank texts give no row, texts without personal information neither; repeated
-    rows give one each; other columns are left out. ``counts``: those of :func:`corpus_terms`, by
-    default of these very texts.
+    rows give one each; other columns are left out.
     """
-    if counts is None:
-        counts = corpus_terms(texts, text)
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
     kinds = {k: texts.schema[k].dataType.simpleString() for k in keys}
+    found = found_spans(texts, keys, text)
+    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), F.xxhash64(text).alias("_row")).alias("t")
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"f.{k}")) for k in (*keys, "_row")]
+    both = rows.join(found.alias("f"), same).select(*(F.col(f"t.{k}") for k in keys), "_text", "spans")
 
     def make():
-        sanitizer = Sanitizer(shared.value)
-
         def step(cols):
-            out: dict[str, list] = {k: [] for k in (*keys, "sanitized", "spans")}
-            for i, t in enumerate(cols["_text"]):
-                spans = sanitizer.find(t)
-                if spans:
-                    for k in keys:
-                        out[k].append(cols[k][i])
-                    out["sanitized"].append(generalise(t, spans))
-                    out["spans"].append([{"kind": k, "start_off": a, "end_off": b} for a, b, k in spans])
-            yield out
+            out = [generalise(t, [(x["start_off"], x["end_off"], x["kind"]) for x in xs]) for t, xs in zip(cols["_text"], cols["spans"])]
+            yield {k: cols[k] for k in (*keys, "spans")} | {"sanitized": out}
 
         return step
 
-    rows = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
-    return arrow_map(rows, make, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", sanitized string, spans array<struct<kind:string,start_off:int,end_off:int>>")
+    return arrow_map(both, make, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", sanitized string, spans array<struct<kind:string,start_off:int,end_off:int>>")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,7 +445,7 @@ def p3_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal(_texts(spark, sf_dir), ["src", "row_id"])
+    found = found_spans(_texts(spark, sf_dir), ["src", "row_id"])
     return found.select("src", "row_id", F.explode("spans").alias("s")).select("src", "row_id", "s.kind", "s.start_off", "s.end_off")
 
 
