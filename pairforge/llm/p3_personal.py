@@ -105,7 +105,6 @@ ADDRESSES = (("en", ADDRESS_EN), ("de", ADDRESS_DE), ("fr", ADDRESS_FR), ("es",
 # ---- persons
 WORD = regex.compile(r"[\p{L}][\p{L}\p{M}'’\-]*")
 _PATRONYMIC = regex.compile(r"(?i)\p{L}{2,}(?:ович|евич|ьич|инична|овна|евна|ична)$")
-_RU_SURNAME = regex.compile(r"(?i)[а-яё\-]{2,}(?:ов|ев|ёв|ин|ын|ова|ева|ёва|ина|ына|ский|цкий|ская|цкая|ский|енко|чук|юк|дзе|ян)$")
 _INITIAL = rf"\p{{L}}{_SPACE}\."
 _INITIALS_AFTER = regex.compile(rf"[ \xa0]{{1,2}}\p{{Lu}}{_DOT}(?:{_SPACE}\p{{Lu}}{_DOT})?|[ \xa0]{{1,2}}\p{{Ll}}{_DOT}(?:{_SPACE}\p{{Ll}}{_DOT})?")
 #: Degrees and turns of phrase that look like initials.
@@ -117,6 +116,7 @@ _MIDDLE = rf"(?:[ \xa0]\p{{L}}{_DOT})?"
 
 
 _DIGITS = regex.compile(r"\d+")
+_RUNS = regex.compile(r"\d+|\p{L}+|[ \xa0]+")
 _NOT_DIGITS = regex.compile(r"\D+")
 _BEFORE_WORD = regex.compile(r"[\p{L}][\p{L}\p{M}\-]*")
 _EXTENSION = regex.compile(r"(?i)[ ,]*(?:доб|ext|вн|durchwahl|poste).*$", regex.DOTALL)
@@ -128,6 +128,10 @@ _SURNAME_COMMA = regex.compile(rf"(?P<s>\p{{L}}[\p{{L}}\p{{M}}'’\-]{{2,}}){_SP
 _TAIL_INITIAL = regex.compile(rf"[ \xa0]\p{{L}}{_DOT}(?=\W)")
 _AT_HINT = regex.compile(rf"(?i){_AT}")
 _GIVEN = frozenset(GIVEN)
+#: What an address holds in any case; texts without it are not searched for one.
+_RU_HINT = regex.compile(rf"(?i)(?<![\p{{L}}])(?:{_RU_STREET})(?![\p{{L}}])")
+_DE_HINT = regex.compile(r"(?i)(?:straße|strasse|str[ \xa0]{0,2}\.|weg|platz|allee|gasse|ufer|ring|damm)[ \xa0]{0,2}\d|(?<!\p{L})(?:am|an der|im|zum|zur|auf dem|unter den)\s[\p{L}\-'’]{3,}[ \xa0]{0,2}\d")
+_SURNAME_ENDS = tuple("ов ев ёв ин ын ова ева ёва ина ына ский цкий ская цкая енко чук юк дзе ян".split())
 _PATRONYMIC_ENDS = ("ович", "евич", "ьич", "инична", "овна", "евна", "ична")
 
 
@@ -136,10 +140,20 @@ def _words_before(text: str, at: int, n: int = 2) -> list[str]:
     return [w.lower() for w in _BEFORE_WORD.findall(text[max(0, at - 40) : at])[::-1][:n]]
 
 
+def _is_russian(w: str) -> bool:
+    return "а" <= w[0] <= "я" or w[0] == "ё"
+
+
+def _is_surname(w: str) -> bool:
+    """Whether a word has the ending of a Russian surname."""
+    low = w.lower()
+    return len(low) > 3 and low.endswith(_SURNAME_ENDS) and _is_russian(low)
+
+
 def number_form(span: str) -> tuple[str, str]:
     """The form of a number, runs of digits by length and letters as L, and a coarser one: its first sign and the number of digits."""
     span = _EXTENSION.sub("", span)
-    fine = regex.sub(r"\d+", lambda m: str(len(m.group())), regex.sub(r"\p{L}+", "L", regex.sub(r"[ \xa0]+", " ", span)))
+    fine = _RUNS.sub(lambda m: " " if m.group()[0] in " \xa0" else "L" if m.group()[0].isalpha() else str(len(m.group())), span)
     digits = _NOT_DIGITS.sub("", span)
     return fine, f"{span[0] if not span[0].isalnum() else digits[0] if digits[:1] in '80' else ''}/{'L' if 'L' in fine else ''}{len(digits)}"
 
@@ -195,7 +209,7 @@ def _propose_numbers(text: str, add) -> None:
 
 
 def _propose_addresses(text: str, cased: bool, add) -> None:
-    for m in ADDRESS_RU.finditer(text):
+    for m in ADDRESS_RU.finditer(text) if _RU_HINT.search(text) else ():
         if not m.group("house"):
             continue
         start = m.start()
@@ -206,6 +220,8 @@ def _propose_addresses(text: str, cased: bool, add) -> None:
         parts = "".join(k[0] for k in ("code", "g", "city") if m.group(k))
         add("address", start, m.end(), 4, f"ru:{parts}", "ru", ADDRESS_LABELS)
     for language, pattern in ADDRESSES:
+        if language == "de" and not _DE_HINT.search(text):
+            continue
         for m in pattern.finditer(text):
             end, place = m.end(), m.group("place")
             form = f"{language}:{'z' if m.group('zip') or m.group('zip2') else ''}"
@@ -238,7 +254,7 @@ def _propose_names(text: str, cased: bool, add) -> None:
             m = _CUED.match(text, b)
             if m:
                 g, s = (m.group("g"), m.group("s")) if m.group("g") else (m.group("g2"), m.group("s2"))
-                if g.lower() not in _GIVEN and g.lower() not in PERSON_LABELS and not g.lower().endswith(_PATRONYMIC_ENDS) and (not cased or g[0].isupper() and s[0].isupper()) and not regex.match(r"[а-яё]", g.lower()):
+                if g.lower() not in _GIVEN and g.lower() not in PERSON_LABELS and not g.lower().endswith(_PATRONYMIC_ENDS) and (not cased or g[0].isupper() and s[0].isupper()) and not _is_russian(g.lower()):
                     start = min(m.start(x) for x in ("g", "s", "g2", "s2") if m.start(x) >= 0)
                     person(start, m.end(), 54, "cued", (("surname", s), ("given", g)), False)
         if not capital or len(w) < 3:
@@ -248,39 +264,39 @@ def _propose_names(text: str, cased: bool, add) -> None:
             if known or len(given[2]) > 2 and (not cased or given[2][0].isupper()):
                 names = () if known else (("given", given[2]),)
                 names += (("patronymic", w),)
-                if k > 1 and gap(k - 2, k - 1) in _GAPS[:3] and _RU_SURNAME.match(tokens[k - 2][2]) and surname(tokens[k - 2][2]):
+                if k > 1 and gap(k - 2, k - 1) in _GAPS[:3] and _is_surname(tokens[k - 2][2]) and surname(tokens[k - 2][2]):
                     person(tokens[k - 2][0], b, 50, "sgp", (*names, ("surname", tokens[k - 2][2])))
-                if gap(k, k + 1) in _GAPS and _RU_SURNAME.match(tokens[k + 1][2]) and surname(tokens[k + 1][2]):
+                if gap(k, k + 1) in _GAPS and _is_surname(tokens[k + 1][2]) and surname(tokens[k + 1][2]):
                     person(given[0], tokens[k + 1][1], 51, "gps", (*names, ("surname", tokens[k + 1][2])))
                 person(given[0], b, 52, "gp", names)
             continue
-        if low in _GIVEN or cased and k + 1 < count and gap(k, k + 1) == " " and tokens[k + 1][2][0].isupper() and not regex.match(r"[а-яё]", low):
+        if low in _GIVEN or cased and k + 1 < count and gap(k, k + 1) == " " and tokens[k + 1][2][0].isupper() and not _is_russian(low):
             known = low in _GIVEN
             need = () if known else (("given", w),)
             m = _SURNAME_AFTER.match(text, b)
-            russian = regex.match(r"[а-яё]", low) is not None
+            russian = _is_russian(low)
             if not (k + 1 < count and tokens[k + 1][2].lower().endswith(_PATRONYMIC_ENDS)):
                 comma = _SURNAME_COMMA.search(text, max(0, a - 40), a) if known else None
                 if comma and not russian and surname(comma.group("s")):
                     tail = _TAIL_INITIAL.match(text, b)
                     end = tail.end() if tail and tail.group().strip()[0].isupper() and not m else b
                     person(comma.start("s"), end, 53, "s,g", (("surname", comma.group("s")),), russian)
-                elif m and surname(m.group("s")) and (not russian or _RU_SURNAME.match(m.group("s"))):
+                elif m and surname(m.group("s")) and (not russian or _is_surname(m.group("s"))):
                     person(a, m.end(), 53 if known else 55, "gs" if known else "gs?", (*need, ("surname", m.group("s"))), russian)
-                if known and russian and k and gap(k - 1, k) in _GAPS[:3] and _RU_SURNAME.match(tokens[k - 1][2]) and surname(tokens[k - 1][2]):
+                if known and russian and k and gap(k - 1, k) in _GAPS[:3] and _is_surname(tokens[k - 1][2]) and surname(tokens[k - 1][2]):
                     person(tokens[k - 1][0], b, 54, "sg", (("surname", tokens[k - 1][2]),))
             if known:
                 continue
         # initials and a surname
-        russian = regex.match(r"[а-яё]", low) is not None
-        if low in _GIVEN or russian and not _RU_SURNAME.match(w):
+        russian = _is_russian(low)
+        if low in _GIVEN or russian and not _is_surname(w):
             continue
-        m = _INITIALS_BEFORE.search(text, max(0, a - 14), a) if a and text[a - 1] in ". \xa0" else None
+        m = _INITIALS_BEFORE.search(text, max(0, a - 14), a) if a and text[a - 1] in ". \xa0" and "." in text[max(0, a - 4) : a] else None
         if m and (not cased or m.group().strip()[0].isupper()) and not _DEGREE.search(text, max(0, a - 20), a):
             double = m.group().count(".") == 2
             doubt = "?" if not cased and _NO_INITIALS.search(m.group()) else ""
             person(a - len(m.group()), b, 56, f"i{1 + double}s{doubt}", (("surname", w),), russian)
-        elif russian:
+        elif russian and "." in text[b + 1 : b + 7]:
             m = _INITIALS_AFTER.match(text, b)
             if m and (not cased or m.group().strip()[0].isupper()):
                 doubt = "?" if not cased and _NO_INITIALS.search(m.group()) else ""
@@ -350,12 +366,13 @@ def disclosed(proposed: DataFrame, keys: list[str], disclosure: float = DISCLOSU
     # the bits of words before spans, from the spans that their form reveals
     beside = spans.where("form_bits >= least").select("kind", F.explode(F.array_distinct("before")).alias("_word")).groupBy("kind", "_word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
     before = beside.join(words, "_word").withColumn("p", F.least(F.lit(1.0), F.col("n") / F.col("all_n"))).where(F.col("p") >= TERM_SHARE).join(base, "kind")
+    leads = before.where("kind in ('phone', 'email', 'id_number')").groupBy("_word").agg(F.max("p").alias("leads"))
     before = before.select("kind", "_word", F.greatest(F.lit(0.0), F.log2(F.col("p") / F.col("base"))).alias("value"))
     # the share of each name's occurrences in the place of one
     named = spans.where("coarse != 'gs?'").select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).withColumn("_word", F.substring_index("name", ":", -1))
-    named = named.join(words, "_word").join(before.where("kind in ('phone', 'email', 'id_number')").select("_word").distinct().withColumn("reveals", F.lit(1)), "_word", "left")
-    # a word that leads to numbers is no place, however often it follows a street
-    named = named.where("reveals is null or name not like 'place:%'").select("name", (F.col("n") / F.col("all_n")).alias("value"))
+    named = named.join(words, "_word").join(leads, "_word", "left").withColumn("value", F.col("n") / F.col("all_n"))
+    # a word that rather leads to numbers is no place, however often it follows a street
+    named = named.where("leads is null or leads <= value or name not like 'place:%'").select("name", "value")
     # terms of each span, weighed and put together again
     one = [*keys, "_row", "_place"]
     terms = spans.select(*one, "kind", F.posexplode("before").alias("i", "term")).unionByName(spans.select(*one, F.lit("name").alias("kind"), F.lit(-1).alias("i"), F.explode("names").alias("term")))

@@ -10,76 +10,81 @@ from pairforge.llm import p8_mojibake as P8
 
 # ---- p3
 
-CORPUS = (
-    ["Меня зовут Иванов П. С. Мой номер +7 (901) 123-45-67, в мессенджере тот же.", "My name is H. Yorkin. Call me on +44 20 7946 0497 or write to a.b@example.com.", "Меня зовут Олег Петрович Сидоров."] * 6
-    + ["Our coordinator E. Ulgard answers at (202) 555-0108. Ask R. Velnova (mobile +1 202 555 0122) about the rig."] * 6
-    + ["Заказ 4500336-255, партия 12 34 567. Версия 9.14.6, сборка 20240117."] * 8
-)
-
-
-def counts(texts):
-    names, c = P3.Names(set(P3.GIVEN), set()), {}
-    add = lambda k, t: c.setdefault(k, {}).__setitem__(t, c.get(k, {}).get(t, 0) + 1)
-    for t in texts:
-        for w in P3.WORD.findall(t):
-            add("all", w.lower())
-        for kind, a, b, given_name in P3._anchors(t, names):
-            add(kind, "")
-            for w in set(P3._words_before(t, a)):
-                add(kind, w)
-        for m in P3.PHONE_WEAK.finditer(t):
-            s = P3.phone_signature(m.group())
-            add("all", s)
-            for w in P3._words_before(t, m.start()):
-                add("weak:" + s, w)
-    return c | {"total": {"": sum(n for t, n in c["all"].items() if not t.startswith("sig:"))}, "usual": {"": 50}}
-
-
-@pytest.fixture(scope="module")
-def sanitizer():
-    return P3.Sanitizer(counts(CORPUS))
-
-
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("Пишите на a.b-c@mail.example.org, тел. 8 (901) 765-43-21 доб. 12.", {("email", "a.b-c@mail.example.org"), ("phone", "8 (901) 765-43-21 доб. 12")}),
-        ("пишите на  a . b [at] mail[dot]example[dot]net .", {("email", "a . b [at] mail[dot]example[dot]net")}),
-        ("Паспорт 4509 123456, выдан в 2012 году. СНИЛС: 112-233-445 95", {("id_number", "4509 123456"), ("id_number", "112-233-445 95")}),
-        ("Адрес: 123456, г. Тверь, ул. Лесная, д. 5, кв. 17. Тема: освещение улиц и дом культуры.", {("address", "123456, г. Тверь, ул. Лесная, д. 5, кв. 17")}),
-        ("I live at 26 Zannorel Street, Flat 44, Osimakin. Bye.", {("address", "26 Zannorel Street, Flat 44, Osimakin")}),
-        ("Меня зовут Анна Викторовна Белкина. Проект «Мария» и станок «Олег-28» запущены.", {("person", "Анна Викторовна Белкина")}),
-        ("Отзыв: доц. М. В. Норриксов, 2006 г.", {("person", "М. В. Норриксов")}),
-        ("My name is Peter Rosvane.", {("person", "Peter Rosvane")}),
-        ("Заказ 4500308-2, партия 12 34 567. Версия 9.14.6. Use pip install Selinkin@1.24.2 first.", set()),
-        ("Показания: 8 004 512 33 мм, 7 020 мм. Serial 978-0-00-54-4 is printed.", set()),
-        ("", set()),
-    ],
-)
-def test_spans(sanitizer, text, want):
-    spans = sanitizer.find(text)
-    assert {(k, text[a:b]) for a, b, k in spans} == want
-    out = P3.generalise(text, spans)
-    assert all(v not in out for _, v in want) and out.count("[") >= len(want)
+TOLD = [
+    "Меня зовут Иванов П. С. Мой номер +7 (901) 123-45-67, тел. 8 (901) 765-43-21.",
+    "My name is Henry Yorkin. Call my phone +44 20 7946 0497 or write to my email a.b@example.com.",
+    "ФИО: Сидоров Олег Петрович. Паспорт 4509 123456, СНИЛС: 112-233-445 95. Почта: a . b [at] mail[dot]example[dot]net .",
+    "Доц. М. В. Норриксов. Адрес: 123456, г. Тверь, ул. Лесная, д. 5, кв. 17. Phone (202) 555-0108.",
+    "Dr Anna Rosvane, address: 26 Zannorel Street, Flat 44, Osimakin. Email: x.y@mail.example.org",
+    "Соискатель Анна Викторовна Белкина, доц. Пётр Зернов, ФИО Фалин Д. Е.",
+]
+OTHERS = ["Заказ 4500336-255, партия 12 34 567. Версия 9.14.6, сборка 20240117. Проект ведёт студент, магазин открыт, план готов и сдан вовремя."] * 3 + ["The plan is old and the map is new, version 4.2.1 runs on the server, ticket 2024-28-368 was closed at half past ten today."] * 3
+CORPUS = (TOLD * 6 + OTHERS * 25)[:]
+CASES = [
+    ("Пишите на a.b-c@mail.example.org, звоните 8 (901) 765-43-21 доб. 12.", {("email", "a.b-c@mail.example.org"), ("phone", "8 (901) 765-43-21 доб. 12")}),
+    ("пишите на  a . b [at] mail[dot]example[dot]net .", {("email", "a . b [at] mail[dot]example[dot]net")}),
+    ("Документ 4509 123456, выдан в 2012 году. Номер 112-233-445 95", {("id_number", "4509 123456"), ("id_number", "112-233-445 95")}),
+    ("Дом: 123456, г. Тверь, ул. Лесная, д. 5, кв. 17. Тема: освещение улиц и дом культуры.", {("address", "123456, г. Тверь, ул. Лесная, д. 5, кв. 17")}),
+    ("We meet at 26 Zannorel Street, Flat 44, Osimakin. Bye.", {("address", "26 Zannorel Street, Flat 44, Osimakin")}),
+    ("Курс вела Анна Викторовна Белкина. Проект «Мария» и станок «Олег-28» запущены.", {("person", "Анна Викторовна Белкина")}),
+    ("Отзыв: М. В. Норриксов, 2006 г.", {("person", "М. В. Норриксов")}),
+    ("Отзыв дал Пётр Зернов, спасибо.", {("person", "Пётр Зернов")}),
+    ("Заказ 4500308-2, партия 12 34 567. Версия 9.14.6. Use pip install Selinkin@1.24.2 first.", set()),
+    ("Показания: 8 004 512 33 мм, 7 020 мм. Serial 978-0-00-54-4 is printed.", set()),
+    ("", set()),
+]
+
+
+def disclose(spark, texts, keep=lambda df: df):
+    """Spans by text when the texts themselves are the corpus."""
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    good = P3.disclosed(keep(P3.proposals(df, ["row_id"])), ["row_id"])
+    found = {}
+    for r in good.collect():
+        found.setdefault(r["row_id"], []).append(r.asDict())
+    return [{(x["kind"], t[x["start_off"] : x["end_off"]]) for x in P3._apart(found.get(i, []))} for i, t in enumerate(texts)]
+
+
+def test_spans_by_the_bits_of_their_terms(spark):
+    found = disclose(spark, CORPUS + [t for t, _ in CASES])
+    assert found[len(CORPUS) :] == [want for _, want in CASES]
+    for t, want in CASES:
+        spans = [(t.index(v), t.index(v) + len(v), k) for k, v in want]
+        out = P3.generalise(t, sorted(spans))
+        assert all(v not in out for _, v in want) and out.count("[") >= len(want)
+
+
+def test_without_the_corpus_nothing_is_disclosed(spark):
+    from pyspark.sql import functions as F
+
+    texts = CORPUS + [t for t, _ in CASES]
+    assert any(P3.propose(t) for t in texts)
+    assert not any(disclose(spark, texts, lambda df: df.withColumn("seeded", F.when(F.col("seeded") >= 0, 0))))
+
+
+def test_forms_and_words_are_learned(spark):
+    """An unlisted label discloses numbers of a known form and becomes known itself; a form that stands beside other words does not."""
+    texts = CORPUS + ["Ausweisheft 112-233-445 95, dann mehr."] * 5 + ["Ausweisheft 77-1234567 liegt vor.", "Zähler 4 333 221 zeigt wenig."]
+    found = disclose(spark, texts)
+    assert found[-2:] == [{("id_number", "77-1234567")}, set()]
 
 
 def test_personal_table(spark):
-    rows = [(i, t, "s") for i, t in enumerate(CORPUS)] + [(900, None, "s"), (901, "", "s")]
+    rows = [(i, t, "s") for i, t in enumerate(CORPUS)] + [(900, None, "s"), (901, "", "s"), (0, CORPUS[0], "s"), (None, CORPUS[0], "s")]
     df = spark.createDataFrame(rows, "row_id long, text string, spans string")
-    out = {r["row_id"]: r for r in P3.personal(df, ["row_id"]).collect()}
-    assert "[PHONE]" in out[0]["sanitized"] and 900 not in out and 901 not in out
+    out = P3.personal(df, ["row_id"]).collect()
+    zero = [r["sanitized"] for r in out if r["row_id"] == 0]
+    assert len(zero) == 2 and "[PHONE]" in zero[0] and {r["row_id"] for r in out} & {900, 901} == set()
+    assert sum(r["row_id"] is None for r in out) == 1
     assert P3.personal(df.where("row_id > 9999"), ["row_id"]).count() == 0
 
 
 def test_a_surname_named_in_many_rows_is_no_usual_word(spark):
-    named = ["Отзыв дал Пётр Зернов, спасибо.", "Отзыв: доц. М. В. Зернов, 2006 г.", "Анна Викторовна Зернова ведёт курс.", "My name is Peter Rosvane."]
-    rows = [(i, (named + ["Магазин открыт, один студент ведёт проект."] * 3)[i % 7]) for i in range(700)]
-    df = spark.createDataFrame(rows, "row_id long, text string")
-    counts = P3.corpus_terms(df)
-    sanitizer = P3.Sanitizer(counts)
-    assert {"магазин", "проект"} <= sanitizer.names.usual
+    named = ["Отзыв дал Пётр Зернов, спасибо.", "Отзыв: доц. М. В. Зернов, 2006 г.", "ФИО: Анна Викторовна Зернова ведёт курс.", "My name is Peter Rosvane.", "Доц. Пётр Зернов принял."]
+    rows = [(named + ["Магазин открыт, один студент ведёт проект, и план готов к сдаче."] * 9)[i % 14] for i in range(700)]
+    found = disclose(spark, rows)
     want = ["Пётр Зернов", "М. В. Зернов", "Анна Викторовна Зернова", "Peter Rosvane"]
-    assert [[t[a:b] for a, b, k in sanitizer.find(t) if k == "person"] for t in named] == [[w] for w in want]
+    assert [{v for k, v in x if k == "person"} for x in found[:4]] == [{w} for w in want]
 
 
 # ---- p6
