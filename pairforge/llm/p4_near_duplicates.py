@@ -1,22 +1,26 @@
 """Near-duplicate records by Order MinHash.
 
-A record is its distinct words in text order (each k-mer is one word, labelled with its first
-occurrence). A sketch is the ``SKETCH_KMERS`` k-mers with the smallest hashes, kept in text order.
-Records that agree in a sketch are candidates. The cases wanted here ignore order (records are
-re-sorted copies too), so the bucket key holds the sketched k-mers in hash order, while the order
-in the text goes along as a second hash and tells order-preserving hits from re-ordered ones.
-Candidates are verified by the exact share of common words and by a banded alignment (bit-parallel
-longest common subsequence within a band), which measures the edit similarity.
+A record is the sequence of its words. Its k-mers are runs of ``KMER_WORDS`` words, each labelled with
+its occurrence in the record, so that repeated runs stay apart. An order sketch takes the
+``ORDER_KMERS`` labelled k-mers with the smallest hashes and hashes them in the order in which they stand
+in the text: records that agree in one are edited copies with high probability. Such candidates are
+verified by a banded alignment (bit-parallel longest common subsequence within a band) of their
+words: what it aligns bounds the common words from below, which settles most pairs as *edits*.
+
+The cases ignore order, and re-sorted copies have no k-mers left in order. Therefore a second, order-free
+path sketches single words; what only this path finds, and what the alignment does not settle, is
+verified by the exact share of common words, and is a *re-ordering* unless the alignment reaches the threshold.
 
 Records with the same words collapse to a representative before any candidate search, so that a huge group
 of copies costs one record. Where only pairs are wanted, equal sets of words are enough for that; where
-edit similarities are, only equal sequences, repeated words among them. Buckets that are large all the same are salted.
+edit similarities are, only equal sequences, repeated words among them. Buckets that are large all the same are salted,
+and so are the groups of copies when their pairs are asked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import MEMO_ENTRIES, arrow_map, hash64, text_sides, words
@@ -26,13 +30,17 @@ from pairforge.storage import materialize
 
 MIN_SHARE = 0.7
 MIN_WORDS = 12
-#: Smallest k-mers in a sketch, and sketches per record. At a share of 0.7 one of 64 sketches agrees with
+#: Words in a k-mer, k-mers in an order sketch, and order sketches of a record.
+KMER_WORDS = 2
+ORDER_KMERS = 3
+ORDER_SKETCHES = 24
+#: Smallest words in an order-free sketch, and such sketches of a record. At a share of 0.7 one of 64 agrees with
 #: a probability above 0.999 for records of usual length, above 0.99 for the shortest.
-SKETCH_KMERS = 6
+SKETCH_WORDS = 6
 SKETCHES = 64
 #: Half the width of the alignment's band, in words.
 BAND = 32
-#: Members of a bucket that one salt takes.
+#: Members of a bucket or of a group of copies that one salt takes.
 BUCKET_ROWS = 500
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: splitmix64's multipliers
 
@@ -43,6 +51,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _signed(x: np.uint64) -> int:
+    return int(x.view(np.int64))
+
+
 def mostly_latin_or_cyrillic(text: str) -> bool:
     """True when over half of the letters are Latin or Cyrillic (Unicode blocks below 0x530 without Greek, and Latin additions)."""
     if text.isascii():
@@ -58,9 +70,9 @@ def mostly_latin_or_cyrillic(text: str) -> bool:
     return good > bad
 
 
-def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS, sequences: bool = False) -> DataFrame:
-    """``field``, ``id``, ``words`` (hashes of the distinct words in text order), ``h1``, ``h2`` (a 128-bit hash of the set);
-    with ``sequences`` also ``sequence`` (hashes of all words in text order) and ``s1`` (its hash).
+def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """``field``, ``id``, ``words`` (hashes of the distinct words in order of appearance), ``sequence`` (all words in text
+    order, as little-endian 32-bit places in ``words``), ``h1``, ``h2`` (a 128-bit hash of the set), ``s1`` (a hash of the sequence).
 
     ``kind`` is 'text' or 'terms' (an array of strings, each a term). Records with fewer than
     ``min_words`` distinct words, null ones among them, and texts of mostly other scripts are left
@@ -70,82 +82,103 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
     def make():
         memo: dict[str, int] = {}
 
-        def hashed(tokens):
+        def step(cols):
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
-            out = []
-            for t in tokens if sequences else dict.fromkeys(tokens):
-                h = memo.get(t)
-                if h is None:
-                    h = memo[t] = hash64(t)
-                out.append(h)
-            return out
-
-        def step(cols):
-            ids, all_words, h1, h2, sequence, s1 = [], [], [], [], [], []
+            out = {k: [] for k in ("field", "id", "words", "sequence", "h1", "h2", "s1")}
             for i, v in zip(cols["id"], cols["value"]):
                 if v is None or (kind == "text" and not mostly_latin_or_cyrillic(v)):
                     continue
                 tokens = words(v) if kind == "text" else [t for t in map(normalize_term, v) if t]
-                every = hashed(tokens)
-                hs = list(dict.fromkeys(every))
-                if len(hs) < min_words:
+                place: dict[int, int] = {}
+                sequence = []
+                for t in tokens:
+                    h = memo.get(t)
+                    if h is None:
+                        h = memo[t] = hash64(t)
+                    sequence.append(place.setdefault(h, len(place)))
+                if len(place) < min_words:
                     continue
+                hs = list(place)
                 x = np.array(hs, np.int64).view(np.uint64)
-                if sequences:
-                    at = np.arange(1, len(every) + 1, dtype=np.uint64)
-                    sequence.append(every)
-                    s1.append(int(_mix(np.array(every, np.int64).view(np.uint64) + _mix(at)).sum(dtype=np.uint64).view(np.int64)))
-                ids.append(i)
-                all_words.append(hs)
-                h1.append(int(_mix(x).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64).view(np.int64)))
-            if ids:
-                yield {"field": [field] * len(ids), "id": ids, "words": all_words, "h1": h1, "h2": h2} | ({"sequence": sequence, "s1": s1} if sequences else {})
+                at = np.array(sequence, np.uint32)
+                for k, y in zip(out, (field, i, hs, at.astype("<u4").tobytes(), _signed(_mix(x).sum(dtype=np.uint64)), _signed(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64)), _signed(_mix(x[at] + _mix(np.arange(1, len(at) + 1, dtype=np.uint64))).sum(dtype=np.uint64)))):
+                    out[k].append(y)
+            if out["id"]:
+                yield out
 
         return step
 
-    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, h1 bigint, h2 bigint" + (", sequence array<bigint>, s1 bigint" if sequences else ""))
+    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, sequence binary, h1 bigint, h2 bigint, s1 bigint")
+
 
+def labelled_kmers(ids: np.ndarray, k: int = KMER_WORDS) -> np.ndarray:
+    """Hashes of the runs of ``k`` words in text order, each with the number of its occurrence."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return _mix(ids)
+    runs = ids[:n].copy()
+    for j in range(1, k):
+        runs = _mix(runs) + ids[j : j + n]
+    order = np.argsort(runs, kind="stable")
+    same = runs[order]
+    first = np.r_[True, same[1:] != same[:-1]]
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    occurrence = np.empty(n, np.uint64)
+    occurrence[order] = (np.arange(n) - begin).astype(np.uint64)
+    return _mix(runs + _mix(occurrence + np.uint64(1)))
 
-def sketches(records: DataFrame, kmers: int = SKETCH_KMERS, count: int = SKETCHES) -> DataFrame:
+
+def sketches(records: DataFrame, ordered: bool, kmers: int | None = None, count: int | None = None) -> DataFrame:
     """One row per record and sketch: ``key`` of the record and ``bucket``.
 
-    The bucket's upper 48 bits hash the sketched k-mers in hash order (with the sketch's number and the
-    field), its lower 16 bits hash them in text order: 16 bytes a row, which is what gets shuffled.
+    The bucket's upper 48 bits hash the sketched k-mers (with the sketch's number and the field), in text order
+    if ``ordered``, else without regard to order; its lower 16 bits hold the number of distinct words (65,535 for
+    more), by which candidates of too different sizes go at once. 16 bytes a row are what gets shuffled.
     """
+    kmers = kmers or (ORDER_KMERS if ordered else SKETCH_WORDS)
+    count = count or (ORDER_SKETCHES if ordered else SKETCHES)
 
     def make():
         import pyarrow as pa
 
-        seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        salt = _mix(np.arange(101, 101 + kmers, dtype=np.uint64))
+        seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ordered))
+        salt = _mix(np.arange(101, 101 + kmers, dtype=np.uint64)) | np.uint64(1)
         number = np.arange(count, dtype=np.uint64) << np.uint64(1)
         low = np.uint64(0xFFFF)
 
         def step(cols):
             keys, buckets = [], []
-            for f, key, ws in zip(cols["field"], cols["key"], cols["words"]):
+            for f, key, ws, sequence in zip(cols["field"], cols["key"], cols["words"], cols["sequence"]):
                 x = np.array(ws, np.int64).view(np.uint64)
+                size = np.uint64(min(len(x), 0xFFFF))
+                if ordered:
+                    x = labelled_kmers(x[np.frombuffer(sequence, "<u4")])
                 h = x[None, :] ^ seeds[:, None]
                 h = (h ^ (h >> np.uint64(31))) * _MIX_1
                 h ^= h >> np.uint64(29)
-                k = min(kmers, len(ws))
-                at = np.argpartition(h, k - 1, axis=1)[:, :k] if k < len(ws) else np.tile(np.arange(k), (count, 1))
+                k = min(kmers, len(x))
+                at = np.argpartition(h, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(k), (count, 1))
+                # of places in order, a hash that minds the order; else a sum, which does not
                 picked = np.take_along_axis(h, np.sort(at, axis=1), 1)
-                in_hash_order = _mix(_mix(picked).sum(axis=1, dtype=np.uint64) + number + (np.uint64(hash64(f) & 0xFFFFFFFF) << np.uint64(8)))
-                in_text_order = _mix((picked * salt[None, :k] | np.uint64(1)).sum(axis=1, dtype=np.uint64))
+                picked = _mix(picked * salt[None, :k]) if ordered else _mix(picked)
+                whole = _mix(picked.sum(axis=1, dtype=np.uint64) + number + (np.uint64(hash64(f) & 0xFFFFFFFF) << np.uint64(8)))
                 keys.append(np.full(count, key, np.int64))
-                buckets.append(((in_hash_order & ~low) | (in_text_order >> np.uint64(48))).view(np.int64))
+                buckets.append(((whole & ~low) | size).view(np.int64))
             yield {"key": pa.array(np.concatenate(keys)), "bucket": pa.array(np.concatenate(buckets))}
 
         return step
 
-    return arrow_map(records.select("field", "key", "words"), make, "key bigint, bucket bigint")
+    return arrow_map(records.select("field", "key", "words", *(["sequence"] if ordered else [F.lit(None).cast("binary").alias("sequence")])), make, "key bigint, bucket bigint")
+
 
+def _alike(na: Column, nb: Column, min_share: float) -> Column:
+    """Whether two numbers of distinct words allow for the share at all."""
+    return F.least(na, nb) >= F.greatest(na, nb) * (min_share - 1e-9)
 
-def candidates(sketched: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Distinct pairs of keys ``a`` < ``b`` that share a bucket, with ``order_hits``: sketches that agree in text order too.
+
+def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs of keys ``a`` < ``b`` of records that share a bucket and are not too different in size, with the number of shared buckets (``hits``).
 
     Buckets of one record cannot give a pair and go first; only the sizes of the others meet the
     sketches again, once, and what is left is written. In buckets above ``bucket_rows`` each row of
@@ -153,12 +186,12 @@ def candidates(sketched: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     """
     bucket = F.shiftright("bucket", 16)
     size = sketched.groupBy(bucket.alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    shared = sketched.select("key", bucket.alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("o")).join(size, "k")
-    shared = materialize(shared.select("k", "key", "o", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
-    left = shared.select("k", F.col("key").alias("a"), F.col("o").alias("oa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    right = shared.select("k", F.col("key").alias("b"), F.col("o").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["k", "salt"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum((F.col("oa") == F.col("ob")).cast("int")).alias("order_hits"))
+    shared = sketched.select("key", bucket.alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w")).join(size, "k")
+    shared = materialize(shared.select("k", "key", "w", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
+    left = shared.select("k", F.col("key").alias("a"), F.col("w").alias("wa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    right = shared.select("k", F.col("key").alias("b"), F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = left.join(right, ["k", "salt"]).where(F.col("a") < F.col("b")).where(_alike(F.col("wa"), F.col("wb"), min_share))
+    return pairs.groupBy("a", "b").agg(F.count("*").cast("int").alias("hits"))
 
 
 def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
@@ -182,73 +215,99 @@ def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
 
 
 def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> DataFrame:
-    """Keeps the pairs with at least ``min_share`` of common words; adds ``share`` and ``edit_similarity``
-    (the banded alignment's length over the longer record; of all words if the records have their sequences)."""
-    aligned = "sequence" if "sequence" in records.columns else "words"
-    side = lambda k: records.select(F.col("key").alias(k), F.col("words").alias("w" + k), F.col(aligned).alias("s" + k))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Keeps the pairs (``a``, ``b``, ``order_hits``) of which at least ``min_share`` of the words are common.
+
+    Order candidates go to the banded alignment: if the words it aligns make up the share, the pair is settled and
+    ``kind`` is 'edit'. For all others the exact share of common words decides, and ``kind`` is 'reordering'
+    unless the alignment reaches the threshold. Adds ``common`` and ``united`` (numbers of words, of which ``share`` is the ratio)
+    and ``edit_similarity``, the aligned part of the longer of the two sequences of all words.
+    """
+    side = lambda k: records.select(F.col("key").alias(k), F.col("field").alias("f" + k), F.col("words").alias("w" + k), F.col("sequence").alias("s" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("fa = fb")
     na, nb = F.size("wa"), F.size("wb")
-    # sizes alone exclude most pairs before any word is compared
-    both = both.where(F.least(na, nb) >= F.greatest(na, nb) * (min_share - 1e-9))
-    both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    both = both.withColumn("share", F.col("common") / (F.size("wa") + F.size("wb") - F.col("common"))).where(F.col("share") >= min_share - 1e-9)
+    both = both.where(_alike(na, nb, min_share)).withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    enough = F.col("common") >= (na + nb - F.col("common")) * (min_share - 1e-9)
+    both = both.where((F.col("order_hits") > 0) | enough)
 
     def make():
         def step(cols):
-            cols["edit_similarity"] = [banded_alignment(a, b) / max(len(a), len(b)) for a, b in zip(cols["sa"], cols["sb"])]
-            keep = [k for k, e in enumerate(cols["edit_similarity"]) if e >= min_edit_similarity]
-            names = ("a", "b", "share", "edit_similarity", "order_hits")
-            yield {n: [cols[n][k] for k in keep] for n in names}
+            out = {k: [] for k in ("field", "a", "b", "common", "united", "edit_similarity", "order_hits", "kind")}
+            for f, a, b, wa, wb, sa, sb, common, hits in zip(*(cols[k] for k in ("fa", "a", "b", "wa", "wb", "sa", "sb", "common", "order_hits"))):
+                together = len(wa) + len(wb)
+                aligned = banded_alignment(wa, wb)
+                edit = aligned >= (together - aligned) * (min_share - 1e-9)
+                if not edit and common < (together - common) * (min_share - 1e-9):
+                    continue
+                xs, ys = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
+                if len(xs) > len(wa) or len(ys) > len(wb):  # repeated words
+                    aligned = banded_alignment([wa[i] for i in xs], [wb[i] for i in ys])
+                similarity = aligned / max(len(xs), len(ys))
+                if similarity >= min_edit_similarity:
+                    for k, v in zip(out, (f, a, b, common, together - common, similarity, hits, "edit" if edit else "reordering")):
+                        out[k].append(v)
+            yield out
 
         return step
 
-    return arrow_map(both.select("a", "b", "sa", "sb", "share", "order_hits"), make, "a bigint, b bigint, share double, edit_similarity double, order_hits bigint")
+    return arrow_map(both.select("fa", "a", "b", "wa", "wb", "sa", "sb", "common", "order_hits"), make, "field string, a bigint, b bigint, common int, united int, edit_similarity double, order_hits int, kind string")
 
 
-def grouped(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(records: DataFrame, sequences: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(membership, representatives)`` of written records: :func:`near_duplicates` says what they hold."""
-    same = ["field", "h1", "h2", *(["s1"] if "s1" in records.columns else [])]
+    same = ["field", "h1", "h2", *(["s1"] if sequences else [])]
     members = records.select("id", *same)
-    reps = members.groupBy(*same).agg(F.min("id").alias("rep"))
-    return members.join(reps, same).select("field", "id", "rep"), reps
+    reps = members.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return members.join(reps, same).select("field", "id", "rep", "copies"), reps
 
 
-def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0, sequences: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(membership, links)`` of the records of :func:`record_words`.
 
-    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words, in the same
-    sequence if the records have theirs); links: ``field``,
-    ``a``, ``b`` with their similarities, verified pairs of different representatives. Empty input
+    membership: ``field``, ``id``, ``rep`` (the smallest id with the same words; with ``sequences`` only
+    if they stand in the same sequence) and ``copies``, the size of that group; links: ``field``, ``a``, ``b``, ``share``,
+    ``edit_similarity``, ``order_hits`` (order sketches in common) and ``kind`` of verified pairs of different representatives. Empty input
     gives two empty tables.
     """
     records = materialize(records, "records")
-    membership, reps = grouped(records)
+    membership, reps = grouped(records, sequences)
     chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").drop("h1", "h2", "s1")
-    chosen = materialize(chosen.withColumn("key", F.xxhash64("field", "id")), "representatives")
-    found = verify(candidates(materialize(sketches(chosen), "sketches")), chosen, min_share, min_edit_similarity)
-    name = lambda k: chosen.select("field", F.col("key").alias(k), F.col("id").alias("id_" + k))
-    named = found.join(name("a"), "a").join(name("b").drop("field"), "b")
-    order = lambda f: f("id_a", "id_b")
-    return membership, named.select("field", order(F.least).alias("a"), order(F.greatest).alias("b"), "share", "edit_similarity", "order_hits")
-
-
-def all_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair of ids: those of linked representatives, and those within a group of equal records."""
-    a = membership.select("field", F.col("rep").alias("a"), F.col("id").alias("x"))
-    b = membership.select("field", F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.select("field", "a", "b").join(a, ["field", "a"]).join(b, ["field", "b"]).select("field", "x", "y")
-    same = a.join(b.withColumnRenamed("b", "a"), ["field", "a"]).where("x < y").select("field", "x", "y")
+    # a number of its own for each representative, fixed by being written
+    chosen = materialize(chosen.withColumn("key", F.monotonically_increasing_id()), "representatives")
+    by_order = candidates(materialize(sketches(chosen, True), "order_sketches"), min_share)
+    by_set = candidates(materialize(sketches(chosen, False), "sketches"), min_share)
+    pairs = by_order.withColumnRenamed("hits", "order_hits").unionByName(by_set.select("a", "b", F.lit(0).alias("order_hits"))).groupBy("a", "b").agg(F.max("order_hits").alias("order_hits"))
+    found = verify(pairs, chosen, min_share, min_edit_similarity)
+    name = lambda k: chosen.select(F.col("key").alias(k), F.col("id").alias("id_" + k))
+    named = found.join(name("a"), "a").join(name("b"), "b")
+    share = (F.col("common") / F.col("united")).alias("share")
+    return membership, named.select("field", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), share, "edit_similarity", "order_hits", "kind")
+
+
+def all_pairs(membership: DataFrame, links: DataFrame, group_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Every pair of ids: those of linked representatives, and those within a group of equal records. The members of a
+    group above ``group_rows`` are split by salts, so that no task makes all its pairs."""
+    salts = F.ceil(F.col("copies") / group_rows).cast("int")
+    salted = membership.select("field", "rep", "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    groups = membership.select("field", "rep", salts.alias("salts")).distinct()
+
+    def expand(df: DataFrame, rep: str, out: str) -> DataFrame:
+        """Each row of ``df`` with every member of the group of its representative, in the column ``out``."""
+        wide = df.join(groups.withColumnRenamed("rep", rep), ["field", rep]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return wide.join(salted.withColumnsRenamed({"rep": rep, "id": out}), ["field", rep, "salt"]).drop("salt")
+
+    across = expand(expand(links.select("field", "a", "b"), "a", "x"), "b", "y").select("field", "x", "y")
+    same = expand(membership.where("copies > 1").select("field", "rep", F.col("id").alias("x")), "rep", "y").where("x < y").select("field", "x", "y")
     both = across.unionByName(same)
     return both.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def corpus_records(spark: SparkSession, sf_dir: str, sequences: bool = False) -> DataFrame:
+def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = text_sides(table(spark, sf_dir, "datum"))
     arrays = table(spark, sf_dir, "documents_preprocessed").select("rec_id", "preprocessed_text").where("rec_id is not null").dropDuplicates(["rec_id"])
     return (
-        record_words(sides.where("side = 1"), "text_1", "text_id", "text", "text", sequences=sequences)
-        .unionByName(record_words(sides.where("side = 2"), "text_2", "text_id", "text", "text", sequences=sequences))
-        .unionByName(record_words(arrays, "preprocessed_text", "rec_id", "preprocessed_text", "terms", sequences=sequences))
+        record_words(sides.where("side = 1"), "text_1", "text_id", "text", "text")
+        .unionByName(record_words(sides.where("side = 2"), "text_2", "text_id", "text", "text"))
+        .unionByName(record_words(arrays, "preprocessed_text", "rec_id", "preprocessed_text", "terms"))
     )
 
 
@@ -257,32 +316,45 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of representatives with their similarities; those of re-sorted or repeating texts among them.
-    :func:`p4_members` gives the records that a representative stands for."""
-    return near_duplicates(corpus_records(spark, sf_dir, sequences=True))[1]
+    """Pairs of representatives (of equal sequences of words) and their share; :func:`p4_members` gives the records that a representative stands for."""
+    links = near_duplicates(corpus_records(spark, sf_dir), sequences=True)[1]
+    return links.select("field", "a", "b", F.round("share", 6).alias("share"))
+
+
+def p4_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with what the order tells: edit or re-ordering, edit similarity, order sketches in common."""
+    return near_duplicates(corpus_records(spark, sf_dir), sequences=True)[1].select("field", "a", "b", "kind", "edit_similarity", "order_hits")
 
 
 def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record and its representative in ``p4_links``."""
-    return grouped(materialize(corpus_records(spark, sf_dir, sequences=True), "records"))[0]
+    """Every record, its representative in ``p4_links`` and the number of records that it stands for."""
+    return grouped(materialize(corpus_records(spark, sf_dir), "records"), sequences=True)[0]
 
 
-QUERIES = {"p4_found": p4_found, "p4_links": p4_links, "p4_members": p4_members}
-SQL = {
-    "p4_found": r"""
+QUERIES = {"p4_found": p4_found, "p4_links": p4_links, "p4_edits": p4_edits, "p4_members": p4_members}
+_RECORDS = r"""
 WITH texts AS (
   SELECT 'text_1' AS field, id_1 AS id, max(text_1) AS t FROM datum WHERE id_1 IS NOT NULL GROUP BY id_1
   UNION ALL SELECT 'text_2', id_2, max(text_2) FROM datum WHERE id_2 IS NOT NULL GROUP BY id_2),
 latin AS (
   SELECT field, id, lower(nfc_normalize(t)) AS t FROM texts
   WHERE len(regexp_replace(t, '[^\p{Latin}\p{Cyrillic}]', '', 'g')) * 2 > len(regexp_replace(t, '[^\p{L}]', '', 'g'))),
-items AS (
-  SELECT DISTINCT field, id, unnest(regexp_extract_all(t, '[\p{L}\p{N}]+')) AS w FROM latin
-  UNION
-  SELECT 'preprocessed_text', rec_id, regexp_replace(lower(nfc_normalize(e)), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')
-  FROM (SELECT rec_id, unnest(preprocessed_text) AS e FROM documents_preprocessed WHERE rec_id IS NOT NULL) WHERE e IS NOT NULL),
-sized AS (SELECT *, count(*) OVER (PARTITION BY field, id) AS n FROM items WHERE w <> ''),
-big AS (SELECT * FROM sized WHERE n >= 12)
+lists AS (
+  SELECT field, id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS ws FROM latin
+  UNION ALL
+  SELECT 'preprocessed_text', rec_id, list_filter(list_transform(list_filter(any_value(preprocessed_text), lambda e: e IS NOT NULL),
+    lambda e: regexp_replace(lower(nfc_normalize(e)), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')), lambda e: e <> '')
+  FROM documents_preprocessed WHERE rec_id IS NOT NULL GROUP BY rec_id),
+records AS (SELECT field, id, ws, len(list_distinct(ws)) AS n FROM lists WHERE len(list_distinct(ws)) >= 12),
+members AS (SELECT field, id, min(id) OVER same AS rep, count(*) OVER same AS copies FROM records WINDOW same AS (PARTITION BY field, ws))"""
+SQL = {
+    "p4_found": _RECORDS
+    + """, big AS (SELECT field, id, n, unnest(list_distinct(ws)) AS w FROM records)
 SELECT a.field, a.id AS id_a, b.id AS id_b FROM big a JOIN big b ON a.field = b.field AND a.w = b.w AND a.id < b.id
 GROUP BY a.field, a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",
+    "p4_links": _RECORDS
+    + """, big AS (SELECT r.field, r.id, n, unnest(list_distinct(ws)) AS w FROM records r JOIN members m ON r.field = m.field AND r.id = m.id WHERE m.rep = r.id)
+SELECT a.field, a.id AS a, b.id AS b, round(count(*) / CAST(a.n + b.n - count(*) AS DOUBLE), 6) AS share FROM big a JOIN big b ON a.field = b.field AND a.w = b.w AND a.id < b.id
+GROUP BY a.field, a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",
+    "p4_members": _RECORDS + "SELECT field, id, rep, copies FROM members",
 }

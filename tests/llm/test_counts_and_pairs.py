@@ -66,9 +66,40 @@ def test_links_of_equal_word_sets_that_differ_in_sequence(spark):
     ws = [f"word{i}" for i in range(20)]
     texts = [" ".join(ws), " ".join(ws), " ".join(ws[10:] + ws[:10]), " ".join(ws + ws)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    membership, links = P4.near_duplicates(P4.record_words(df, "f", "id", "t", "text", sequences=True))
+    membership, links = P4.near_duplicates(P4.record_words(df, "f", "id", "t", "text"), sequences=True)
     assert {(r["id"], r["rep"]) for r in membership.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
-    assert {(r["a"], r["b"]): (r["share"], round(r["edit_similarity"], 2)) for r in links.collect()} == {(0, 2): (1.0, 0.5), (0, 3): (1.0, 0.5), (2, 3): (1.0, 0.5)}
+    assert {(r["a"], r["b"]): (r["share"], round(r["edit_similarity"], 2), r["kind"]) for r in links.collect()} == {(0, 2): (1.0, 0.5, "reordering"), (0, 3): (1.0, 0.5, "edit"), (2, 3): (1.0, 0.5, "reordering")}
+
+
+def test_edits_come_by_order_and_shuffled_copies_do_not(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(40)]
+        edit = base[:10] + ["new"] + base[11:]
+        mixed = rnd.sample(base, 40)
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(edit)), (3 * g + 2, " ".join(mixed))]
+        want |= {(3 * g, 3 * g + 1): "edit", (3 * g, 3 * g + 2): "reordering", (3 * g + 1, 3 * g + 2): "reordering"}
+    _, links = P4.near_duplicates(P4.record_words(spark.createDataFrame(rows, "id long, t string"), "f", "id", "t", "text"), sequences=True)
+    got = {(r["a"], r["b"]): r for r in links.collect()}
+    assert {k: r["kind"] for k, r in got.items()} == want
+    assert all((r["order_hits"] > 0) == (r["kind"] == "edit") for r in got.values())
+
+
+def test_kmers_are_labelled_with_their_occurrence():
+    ids = np.array([5, 6, 5, 6, 5, 7], np.uint64)
+    runs = P4.labelled_kmers(ids)
+    assert len(runs) == 5 and len(set(runs.tolist())) == 5
+    assert set(P4.labelled_kmers(ids[:2]).tolist()) == {int(runs[0])}
+
+
+def test_pairs_of_a_large_group_are_whole(spark):
+    rows = [("f", i, 0, 40) for i in range(40)] + [("f", 100, 100, 1)]
+    membership = spark.createDataFrame(rows, "field string, id long, rep long, copies long")
+    links = spark.createDataFrame([("f", 0, 100)], "field string, a long, b long")
+    for size in (3, 500):
+        got = [(r["id_a"], r["id_b"]) for r in P4.all_pairs(membership, links, size).collect()]
+        assert len(got) == len(set(got)) == 40 * 39 // 2 + 40
 
 
 
@@ -91,7 +122,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_hot_buckets_lose_nothing(spark):
-    sketched = spark.createDataFrame([(k, b << 16 | k % 2) for b in (1, 2) for k in range(40)], "key long, bucket long")
+    sketched = spark.createDataFrame([(k, b << 16 | 20) for b in (1, 2) for k in range(40)], "key long, bucket long")
     assert P4.candidates(sketched, bucket_rows=3).count() == 40 * 39 // 2
     assert P4.candidates(sketched.where("key < 1")).count() == 0
 
