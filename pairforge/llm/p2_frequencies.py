@@ -1,9 +1,12 @@
 """Frequency of every distinct term by heavy-light aggregation.
 
-A bounded top-k sketch names terms that are probably heavy. Their exact counts are kept in
+A bounded top-k sketch names terms that are probably heavy. They are broadcast, and their exact counts are kept in
 counter arrays local to each task, so that a term which fills a third of all rows sends a few
 numbers per task instead of its rows. All other terms are pre-aggregated per task and shuffled by
-term. The sketch only routes: counts are exact for every term whatever it names.
+term. Both count tables are then put together. The sketch only routes: counts are exact for every term whatever it names.
+
+Records delivered again are found by their ids alone; only records that may be among them are
+shuffled with their terms, all others are counted where they are read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pairforge.storage import materialize
 HEAVY_TERMS = 512
 #: Light terms held by a task before it sends them on.
 LIGHT_BUFFER = 200_000
+#: 64-bit slots of the filter that tells records which may have been delivered again; bounds what is broadcast (16 bytes each).
+SLOTS = 1 << 17
 RARE_BELOW = 5
 COMMON_SHARE = 0.25
 
@@ -48,6 +53,21 @@ def heavy_terms(df: DataFrame, terms: str, k: int = HEAVY_TERMS) -> list[str]:
     return sorted({normalize_term(x["item"]) for x in found or []} - {""})
 
 
+def once(rows: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
+    """One row for each key; rows without a key stay as they are.
+
+    Keys that occur more than once set a bit each in a filter of ``slots`` 64-bit slots, which is broadcast. Rows whose bit
+    is clear are the only ones of their key and stay where they are; the others, a few keys of single rows among them, are
+    shuffled and lose their copies. With more repeated keys than bits all rows go that way, and the result is the same.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(64 * slots))
+    place = lambda df: df.withColumns({"_slot": F.floor(bit / 64).cast("long"), "_mask": F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")})
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    filter_ = place(again).groupBy("_slot").agg(F.bit_or("_mask").alias("_bits"))
+    marked = place(rows).join(F.broadcast(filter_), "_slot", "left").withColumn("_again", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False)) & F.col(key).isNotNull())
+    return marked.where("not _again").select(rows.columns).unionByName(marked.where("_again").select(rows.columns).dropDuplicates([key]))
+
+
 def count_terms(df: DataFrame, terms: str, record_id: str | None = None, heavy: int = HEAVY_TERMS) -> DataFrame:
     """Exact counts of every distinct term: ``term``, ``occurrences``, ``records``; beside them one row
     whose term is null, with all occurrences and all records that hold a term.
@@ -59,10 +79,11 @@ def count_terms(df: DataFrame, terms: str, record_id: str | None = None, heavy:
     rows = df.select(F.col(terms).alias("_terms"), (F.col(record_id) if record_id else F.lit(None).cast("long")).alias("_id"))
     heavy_list = heavy_terms(rows, "_terms", heavy)
     if record_id:
-        rows = rows.where(F.col("_id").isNotNull()).dropDuplicates(["_id"]).unionByName(rows.where(F.col("_id").isNull()))
+        rows = once(rows, "_id")
+    shared = df.sparkSession.sparkContext.broadcast(heavy_list)
 
     def make():
-        place = {t: i for i, t in enumerate(heavy_list)}
+        place = {t: i for i, t in enumerate(shared.value)}
         occ, rec = np.zeros(len(place) + 1, np.int64), np.zeros(len(place) + 1, np.int64)
         memo: dict[str, str] = {}
         light: dict[str, list[int]] = {}
@@ -70,7 +91,7 @@ def count_terms(df: DataFrame, terms: str, record_id: str | None = None, heavy:
         def flush():
             names, pairs = list(light), list(light.values())
             light.clear()
-            return {"term": names, "occurrences": [p[0] for p in pairs], "records": [p[1] for p in pairs]}
+            return {"place": [None] * len(names), "term": names, "occurrences": [p[0] for p in pairs], "records": [p[1] for p in pairs]}
 
         def step(cols):
             if len(memo) > MEMO_ENTRIES:
@@ -102,15 +123,17 @@ def count_terms(df: DataFrame, terms: str, record_id: str | None = None, heavy:
 
         def close():
             yield flush()
-            yield {"term": [*heavy_list, None], "occurrences": occ.tolist(), "records": rec.tolist()}
+            yield {"place": list(range(len(occ))), "term": [None] * len(occ), "occurrences": occ.tolist(), "records": rec.tolist()}
 
         step.close = close
         return step
 
-    parts = arrow_map(rows.select("_terms"), make, "term string, occurrences bigint, records bigint")
-    zero = df.sparkSession.createDataFrame([(None, 0, 0)], "term string, occurrences bigint, records bigint")
-    counts = parts.unionByName(zero).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return counts.where("term is null or occurrences > 0")
+    parts = materialize(arrow_map(rows.select("_terms"), make, "place int, term string, occurrences bigint, records bigint"), "parts")
+    total = lambda df, key: df.groupBy(key).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    names = df.sparkSession.createDataFrame([*enumerate(heavy_list), (len(heavy_list), None)], "place int, term string")
+    heavy_counts = names.join(total(parts.where("place is not null"), "place"), "place", "left").select("term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("records"))
+    light_counts = total(parts.where("place is null"), "term")
+    return heavy_counts.unionByName(light_counts).where("term is null or occurrences > 0")
 
 
 def mark_terms(counts: DataFrame, rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE) -> DataFrame:

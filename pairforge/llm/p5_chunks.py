@@ -1,10 +1,11 @@
 """Splitting long texts where their vocabulary changes.
 
 Boundaries are graded by how natural they are: ends of paragraphs and lines, ends of sentences,
-clause marks, white space, other punctuation. Around each boundary the cosine similarity of the
-word counts in two sliding blocks tells the lexical cohesion; its depth below the peaks on both
-sides marks a change of topic. From the start of a piece the cut goes to the deepest valley among
-the boundaries of the best grade within the size window; the next piece repeats the end of the
+clause marks, white space, other punctuation. At each boundary the cosine similarity of the
+unit counts in two sliding blocks tells the lexical cohesion; its depth below the peaks on both
+sides marks a change of topic. Units are words, in scripts without spaces pairs of letters. From the start of a piece the
+cut goes to the deepest valley among all boundaries within the size window, where each grade weighs as much as
+``GRADE_DEPTH`` of depth; the next piece repeats the end of the
 last one, from a word's start. Only where a window holds no boundary at all is a cut forced.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import defaultdict
 from functools import lru_cache
 from math import sqrt
 
@@ -27,6 +28,8 @@ SIZE = 1000
 OVERLAP = 100
 #: Words in each of the two blocks that are compared.
 BLOCK = 24
+#: Depth of a valley that a boundary one grade better makes up for.
+GRADE_DEPTH = 0.5
 #: A piece should fill this share of the limit before a cut of a good grade is taken.
 FILL = 0.4
 #: The grades of natural boundaries, the best last; each pattern's match ends at the boundary.
@@ -44,29 +47,72 @@ def _grade_patterns() -> list:
     return [regex.compile(g) for g in GRADES]
 
 
-def _cohesion(tokens: list[str], k: int, block: int) -> float:
-    a, b = Counter(tokens[max(0, k - block) : k]), Counter(tokens[k : k + block])
-    if not a or not b:
-        return 0.0
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    return dot / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
+_UNSPACED_LETTER = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+def units(text: str) -> tuple[list[str], list[int]]:
+    """What cohesion is measured on, and where each starts: words, and in scripts without spaces every pair of neighbouring letters."""
+    found, starts = [], []
+    for m in WORD.finditer(text):
+        word, at = m.group(), m.start()
+        if word.isascii() or not _UNSPACED_LETTER.search(word):
+            found.append(word)
+            starts.append(at)
+            continue
+        for part in _UNSPACED.finditer(word):
+            run = part.group()
+            if _UNSPACED_LETTER.match(run):
+                found += [run[i : i + 2] for i in range(len(run))]
+                starts += range(at + part.start(), at + part.end())
+            else:
+                found.append(run)
+                starts.append(at + part.start())
+    return found, starts
+
+
+def cohesion(tokens: list[str], block: int) -> list[float]:
+    """Cosine similarity of the counts of ``block`` units before and after each unit's start and the end; one sliding pass."""
+    before: defaultdict[str, int] = defaultdict(int)
+    after: defaultdict[str, int] = defaultdict(int)
+    dot = left = right = 0
+    for w in tokens[:block]:
+        right += 2 * after[w] + 1
+        after[w] += 1
+    out = [0.0]
+    n = len(tokens)
+    for k in range(n):  # the unit k passes from the block after to the block before
+        w = tokens[k]
+        dot -= before[w]
+        right -= 2 * after[w] - 1
+        after[w] -= 1
+        dot += after[w]
+        left += 2 * before[w] + 1
+        before[w] += 1
+        if k >= block:
+            w = tokens[k - block]
+            dot -= after[w]
+            left -= 2 * before[w] - 1
+            before[w] -= 1
+        if k + block < n:
+            w = tokens[k + block]
+            dot += before[w]
+            right += 2 * after[w] + 1
+            after[w] += 1
+        out.append(dot / sqrt(left * right) if left and right else 0.0)
+    return out
 
 
 def _depths(sims: list[float]) -> list[float]:
     """How far each similarity lies below the nearest peak to its left and to its right."""
-    out = []
-    for i, s in enumerate(sims):
-        left = right = s
-        for x in reversed(sims[:i]):
-            if x < left:
-                break
-            left = x
-        for x in sims[i + 1 :]:
-            if x < right:
-                break
-            right = x
-        out.append(left + right - 2 * s)
-    return out
+    left, right = list(sims), list(sims)
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            left[i] = left[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right[i] = right[i + 1]
+    return [a + b - 2 * s for a, b, s in zip(left, right, sims)]
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, block: int = BLOCK) -> list[tuple[int, int, bool]]:
@@ -79,35 +125,26 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, block: int =
         return [(0, n, False)] if n else []
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the size")
-    grades = []
+    graded: dict[int, int] = {}
     for g, pattern in enumerate(_grade_patterns()):
-        ends = sorted({m.end() for m in pattern.finditer(text)} | ({m.start() for m in pattern.finditer(text)} - {0} if g == 0 else set()))
-        grades.append(ends)
-    tokens, starts = [], []
-    for m in WORD.finditer(text.lower() if len(text.lower()) == n else text):
-        tokens.append(m.group())
-        starts.append(m.start())
-    memo: dict[int, float] = {}
-
-    def similarity(p: int) -> float:
-        k = bisect_left(starts, p)
-        if k not in memo:
-            memo[k] = _cohesion(tokens, k, block)
-        return memo[k]
+        for m in pattern.finditer(text):
+            graded[m.end()] = g
+            if g == 0 and m.start():
+                graded.setdefault(m.start(), 0)
+    bounds = sorted(graded)
+    lower = text.lower()
+    tokens, starts = units(lower if len(lower) == n else text)
+    sims = cohesion(tokens, block)
 
     def cut(start: int, after: int) -> int | None:
         """The best boundary in (after, start + size]."""
-        least = max(after, start + int(size * FILL))
-        for g in range(len(grades) - 1, -1, -1):
-            ends = grades[g]
-            low, high = bisect_right(ends, least), bisect_right(ends, start + size)
-            if low < high:
-                inside = ends[low:high]
-                depths = _depths([similarity(p) for p in inside])
-                return inside[max(range(len(inside)), key=lambda i: (depths[i], inside[i]))]
-        ends = grades[0]
-        high = bisect_right(ends, start + size)
-        return ends[high - 1] if high and ends[high - 1] > after else None
+        high = bisect_right(bounds, start + size)
+        low = bisect_right(bounds, max(after, start + int(size * FILL)))
+        if low < high:
+            inside = bounds[low:high]
+            depths = _depths([sims[bisect_left(starts, p)] for p in inside])
+            return inside[max(range(len(inside)), key=lambda i: (depths[i] + GRADE_DEPTH * graded[inside[i]], inside[i]))]
+        return bounds[high - 1] if high and bounds[high - 1] > after else None
 
     pieces, start, done = [], 0, 0
     while True:

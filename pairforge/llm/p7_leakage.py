@@ -6,13 +6,15 @@ exact passage is missed. Around each hit the overlap is extended word by word on
 diagonal, with substitutions allowed, and measured both ways: the longest exact run and the
 longest run with single substitutions.
 
-The test items are few (their number is checked against ``MAX_SEED_ROWS`` hashes); then their
-hashes are sent to every task and the corpus is read once without a shuffle. Beyond that bound
-both sides' hashes are joined by a shuffle, and words travel only for texts with a hit.
+The test items make up an index that is sent to every task, in slices of at most ``SLICE_SEEDS`` seeds; the
+corpus is read once for each slice (once, for a benchmark of the usual size) and is never shuffled.
+Few or many items, the plan is the same.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from pairforge.session import table
 MIN_RUN = 12
 #: The seed masks; 1 is compared, 0 is ignored. Each starts and ends with 1 and spans at most MIN_RUN words.
 MASKS = ("110110110111", "111001011011")
-#: Seed hashes of the test side that are sent to every task at most (8 bytes each, and their places).
-MAX_SEED_ROWS = 2_000_000
+#: Seeds of the test side in a slice of the index (about 100 bytes each), which bounds what is sent to a task at once.
+SLICE_SEEDS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: splitmix64's multipliers
 
 
@@ -104,31 +106,46 @@ class SeedIndex:
         return found
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_seed_rows: int = MAX_SEED_ROWS) -> DataFrame:
-    """One row per document and item with a verified hit: ``doc_id``, ``item_id``, ``exact_run``, ``tolerant_run``, ``item_words``.
+_INDEXES: dict[str, SeedIndex] = {}
+
+
+def _index(name: str, items: list[tuple[int, str]]) -> SeedIndex:
+    """One index per process: that of the slice at hand, in which items go by their number."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = SeedIndex([(n, t) for n, (_, t) in enumerate(items)])
+    return _INDEXES[name]
 
+
+def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_run: int = MIN_RUN, slice_seeds: int = SLICE_SEEDS) -> DataFrame:
+    """One row per document and item with a verified overlap: ``doc_id``, ``item_id``, ``exact_run``, ``tolerant_run``, ``item_words``.
+
+    An overlap is verified if around a hit at least ``min_run`` words agree but for single substitutions (``tolerant_run``).
     Null, empty and blank texts have no words and no hit. Copies of a document count each; a
-    document id that occurs twice reports its best overlaps once. Other columns are ignored.
+    document id that occurs twice reports its best overlaps once. Other columns are ignored. A single item with more than
+    ``slice_seeds`` seeds makes a slice of its own.
     """
+    spark = corpus.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item_id is not null and item is not null")
     docs = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    # letters and digits bound the words, words bound the seeds
-    size = items.agg(F.sum(F.length("item")).alias("n")).first()["n"] or 0
-    if size * len(MASKS) <= max_seed_rows:
-        found = _leaks_by_index(docs, items)
-    else:
-        found = _leaks_by_join(docs, items)
+    # white space bounds neither, so the letters and digits bound the words and these the seeds
+    size = (items.agg(F.sum(F.length("item")).alias("n")).first()["n"] or 0) * len(MASKS) / 2
+    slices = max(1, -(-int(size) // slice_seeds))
+    found = None
+    for number in range(slices):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number) if slices > 1 else items
+        rows = [(r["item_id"], r["item"]) for r in part.toLocalIterator()]
+        hits = _leaks_of(docs, spark.sparkContext.broadcast(rows), min_run)
+        found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("exact_run").alias("exact_run"), F.max("tolerant_run").alias("tolerant_run"), F.max("item_words").alias("item_words"))
 
 
-_FOUND = "doc_id bigint, item_id bigint, exact_run int, tolerant_run int, item_words int"
-
-
-def _leaks_by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
-    rows = [(r["item_id"], r["item"]) for r in items.collect()]
+def _leaks_of(docs: DataFrame, shared, min_run: int) -> DataFrame:
+    name = uuid.uuid4().hex
 
     def make():
-        index = SeedIndex(rows)
+        ids = [i for i, _ in shared.value]
+        index = _index(name, shared.value)
 
         def step(cols):
             out = {k: [] for k in ("doc_id", "item_id", "exact_run", "tolerant_run", "item_words")}
@@ -136,53 +153,14 @@ def _leaks_by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ws = words(t)
                 for item, diagonals in index.hits(ws).items():
                     exact, tolerant = overlaps(ws, index.items[item], diagonals)
-                    for k, v in zip(out, (i, item, exact, tolerant, len(index.items[item]))):
-                        out[k].append(v)
-            yield out
-
-        return step
-
-    return arrow_map(docs, make, _FOUND)
-
-
-def _seed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    def make():
-        def step(cols):
-            keys, hashes, places = [], [], []
-            for i, t in zip(cols["k"], cols["t"]):
-                ids = np.array([hash64(w) & (2**64 - 1) for w in words(t)], np.uint64)
-                for m, mask in enumerate(MASKS):
-                    hs = _seed_hashes(ids, mask, m)
-                    keys += [i] * len(hs)
-                    hashes += hs.view(np.int64).tolist()
-                    places += range(len(hs))
-            yield {"k": keys, "h": hashes, "p": places}
-
-        return step
-
-    return arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), make, "k bigint, h bigint, p int")
-
-
-def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for any number of items: test hashes first lose the copies, so that a passage common to
-    many items does not multiply the corpus rows; a hot hash is spread by AQE's skew join."""
-    d = _seed_rows(docs, "doc_id", "text").withColumnsRenamed({"k": "doc_id", "p": "dp"})
-    i = _seed_rows(items, "item_id", "item").withColumnsRenamed({"k": "item_id", "p": "ip"})
-    hits = d.join(i, "h").select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal")).distinct()
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals")).join(docs, "doc_id").join(items, "item_id")
-
-    def make():
-        def step(cols):
-            out = {k: [] for k in ("doc_id", "item_id", "exact_run", "tolerant_run", "item_words")}
-            for doc, item, t, it, ds in zip(cols["doc_id"], cols["item_id"], cols["text"], cols["item"], cols["diagonals"]):
-                ws, iw = words(t), words(it)
-                for k, v in zip(out, (doc, item, *overlaps(ws, iw, ds), len(iw))):
-                    out[k].append(v)
+                    if tolerant >= min_run:
+                        for k, v in zip(out, (i, ids[item], exact, tolerant, len(index.items[item]))):
+                            out[k].append(v)
             yield out
 
         return step
 
-    return arrow_map(pairs, make, _FOUND)
+    return arrow_map(docs, make, "doc_id bigint, item_id bigint, exact_run int, tolerant_run int, item_words int")
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,15 @@ def test_marks(spark):
     assert P2.mark_terms(P2.count_terms(empty, "a", "rec_id")).count() == 0
 
 
+def test_repeated_keys_are_found_whatever_the_filter_holds(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(i, f"t{i}") for i in range(0, 300, 7)] + [(None, "a"), (None, "a")]
+    df = spark.createDataFrame(rows, "k long, v string")
+    for slots in (1, 4, 1 << 17):
+        got = sorted(map(tuple, P2.once(df, "k", slots).collect()), key=str)
+        assert got == sorted([(i, f"t{i}") for i in range(300)] + [(None, "a")] * 2, key=str)
+    assert P2.once(df.where("k > 900"), "k").count() == 0
+
+
 # ---- p4
 
 
@@ -177,6 +186,29 @@ def test_deepest_valley_of_unpunctuated_text_is_found_anywhere_in_the_window():
     assert P5.split_text(t, 1000, 0)[0][1] in (t.index("iron") - 1, t.index("iron"))
 
 
+def test_sliding_cohesion_equals_its_definition():
+    rnd = random.Random(9)
+    for n in (0, 1, 5, 60):
+        tokens = [rnd.choice("abcdef") for _ in range(n)]
+        for k, got in enumerate(P5.cohesion(tokens, 7)):
+            a, b = Counter(tokens[max(0, k - 7) : k]), Counter(tokens[k : k + 7])
+            dot = sum(x * b[w] for w, x in a.items())
+            norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+            assert abs(got - (dot / norm if norm else 0.0)) < 1e-12
+
+
+def test_topics_part_scripts_without_spaces():
+    one, two = "渔船出海捕鱼，渔民收网捕鱼，", "电脑保存数据，服务器保存数据，"
+    t = one * 25 + two * 60
+    assert abs(P5.split_text(t, 500, 0)[0][1] - len(one) * 25) <= 1
+    assert P5.units("ab 捕鱼c1")[0] == ["ab", "捕鱼", "鱼", "c1"]
+
+
+def test_a_much_deeper_valley_outweighs_a_better_grade():
+    t = "red green blue black white " * 22 + "iron copper silver gold lead " * 10 + "iron copper, silver gold lead " + "iron copper silver gold lead " * 40
+    assert P5.split_text(t, 1000, 0)[0][1] in (t.index("iron") - 1, t.index("iron"))
+
+
 # ---- p7
 
 
@@ -206,9 +238,12 @@ def test_leaks_equal_brute_force_both_ways(spark):
     docs += [(100, None), (101, " "), (5, docs[5][1])]
     d, i = spark.createDataFrame([(a, b, 0) for a, b in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
     want = {(a, b) for a, t in docs if t for b, u in items if u and longest_shared(words(t), words(u)) >= 12}
-    for bound in (P7.MAX_SEED_ROWS, 0):
-        found = P7.leaks(d, i, max_seed_rows=bound)
+    seen = []
+    for bound in (P7.SLICE_SEEDS, 300):
+        found = P7.leaks(d, i, slice_seeds=bound)
         assert {(r["doc_id"], r["item_id"]) for r in found.where("exact_run >= 12").collect()} == want
+        seen.append(sorted(map(tuple, found.collect())))
+    assert seen[0] == seen[1] and all(r[3] >= 12 for r in seen[0])
     assert P7.leaks(d.where("doc_id > 900"), i).count() == 0
 
 
