@@ -13,6 +13,7 @@ of bytes that are lost; such texts are reported though nothing can be restored t
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import ahocorasick
@@ -27,6 +28,8 @@ from pairforge.storage import materialize
 #: Least share of a word among the Russian words of the corpus, and of a run of letters among all runs in them.
 WORD_SHARE = 2e-5
 PART_SHARE = 2e-4
+#: Runs without spaces above this length are judged by the part that a reading changes.
+LONG_RUN = 24
 
 # Encodings by what they hold.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "mac-cyrillic", "iso8859-5", "cp1253", "cp1254", "cp1257", "iso8859-15")
@@ -226,6 +229,28 @@ def _sequences() -> dict[bytes, tuple[bool, ...]]:
 # ---- patterns
 
 
+def _changed(span: str, back: str) -> tuple[str, str]:
+    """Both texts without what they begin and end with alike, but for two letters beside the difference."""
+    most = min(len(span), len(back))
+    i = next((k for k in range(most) if span[k] != back[k]), most)
+    j = next((k for k in range(most - i) if span[-1 - k] != back[-1 - k]), most - i)
+    i, j = max(0, i - 2), max(0, j - 2)
+    return span[i : len(span) - j], back[i : len(back) - j]
+
+
+def _differences(span: str, back: str, at: int) -> list[tuple[int, int, str]]:
+    """The parts of a word that its reading changes, with what replaces them; single letters that stay between two of them go along."""
+    out: list[list] = []
+    for op, i, j, k, m in SequenceMatcher(None, span, back, autojunk=False).get_opcodes():
+        if op == "equal":
+            continue
+        if out and i - out[-1][1] <= 1:
+            out[-1][1:] = [j, out[-1][2], m]
+        else:
+            out.append([i, j, k, m])
+    return [(at + i, at + j, back[k:m]) for i, j, k, m in out]
+
+
 class Finder:
     """The automaton over the garbled sequences of all pairs of encodings, and the reading back.
 
@@ -244,7 +269,7 @@ class Finder:
 
         def add(text, real, wrong):
             out = garble(text, real, wrong)
-            if out and out != text and len(out) <= 8 and _LOST not in out and not out.isascii() and self._unusual(out):
+            if out and out != text and _LOST not in out and not out.isascii() and self._unusual(out):
                 note(out, real, wrong)
 
         verdicts: dict[str, bool] = {}
@@ -301,9 +326,12 @@ class Finder:
         for real, wrong in WESTERN:
             for ch in WESTERN_LETTERS:
                 out = garble(ch, real, wrong)
-                if out and out != ch and _class(out) not in "lpsdm" and ch.islower():
+                if out and out != ch and _class(out) not in "lpsdm":
                     for a in "abcdefghijklmnopqrstuvwxyz":
-                        note(a + out, real, wrong)
+                        if out.isalpha() and out not in "µªº" or out == "‹":  # at the start of a word; other signs there are meant
+                            note(out + a, real, wrong)
+                        if ch.islower():
+                            note(a + out, real, wrong)
         for real, wrong in CENTRAL:
             for ch in CENTRAL_LETTERS:
                 out = garble(ch, real, wrong)
@@ -356,6 +384,8 @@ class Finder:
         """What a reading weighs less than another that is as plain: nearly any bytes read as letters of a script without case."""
         if any(real == r for r, _ in CENTRAL) and not back.isascii():
             return 0.2
+        if real in ("cp1252", "cp850", "cp437", "mac-roman"):
+            return 0.02 * any(ch > "\x7f" and ch.isupper() for ch in back[1:])  # within a word a small letter is more usual
         if real in OTHER_ALPHABETS:
             return (0.3 if OTHER_ALPHABETS[real] == "th" else 0.05) * sum(_class(ch) in "ag" for ch in back)
         if real in EAST_ASIAN:
@@ -464,6 +494,8 @@ class Finder:
             span = text[a:b]
             drawing = _DRAWING.fullmatch(span) is not None
             own = oddity(span, self.usual)
+            if "‹" in span and "›" in text and oddity(span.strip("‹›.,;:!?"), self.usual) < 0.5:
+                continue  # marks of a quotation
             if own < 0.5 and not any(self.pairs[p][1] in UTF8_READ_AS_WIDE for p in votes):
                 continue
             best, torn, options = None, [], {}
@@ -490,7 +522,12 @@ class Finder:
                     high = [ch for ch in back if ch > "\x7f"]
                     if len(high) < 2 or regex.search(r"[a-zA-Z]", span) or not all(ch in self.letters or ch in _first_level(real) for ch in high):
                         continue
-                after = 0.0 if _DRAWING.fullmatch(back) and not drawing else oddity(back, self.usual)
+                if len(span) > LONG_RUN:  # of a run without spaces only the part that changes counts
+                    now, then = _changed(span, back)
+                    before += oddity(now, self.usual) - own
+                    after = oddity(then, self.usual)
+                else:
+                    after = 0.0 if _DRAWING.fullmatch(back) and not drawing else oddity(back, self.usual)
                 if real in EAST_ASIAN:
                     after += self._rarity(back, real)
                 if real == "utf-8" and after >= 1.0:  # garbled more than once
@@ -549,6 +586,7 @@ class Finder:
             found = self._once(now)
             if not found:
                 break
+            found = [x for a, b, back in found for x in _differences(now[a:b], back, a)]
             if turn == 0:
                 spans = [(a, b) for a, b, _ in found]
             out, last = [], 0
@@ -556,24 +594,12 @@ class Finder:
                 out += [now[last:a], back]
                 last = b
             now = "".join(out) + now[last:]
-        lost = [m.span() for m in regex.finditer(r"\S*�\S*", text)]
+        lost = [m.span() for m in regex.finditer("�+", text)]
         if lost:
             spans = sorted({*spans, *lost})
         return now, spans, bool(lost) or _LOST in now
 
 
-_FINDERS: dict[int, Finder] = {}
-
-
-def _finder(words: dict[str, int]) -> Finder:
-    """One automaton per process and word list."""
-    key = hash(frozenset(words.items()))
-    if key not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[key] = Finder(words)
-    return _FINDERS[key]
-
-
 def corpus_words(df: DataFrame, text: str, min_share: float = WORD_SHARE) -> dict[str, int]:
     """Russian words, and Han and Hangul letters, with at least ``min_share`` of all occurrences, hence at most ``1 / min_share``.
     Garbled words are spread over too many forms to be among them."""
@@ -612,10 +638,11 @@ def repair(df: DataFrame, key: str, text: str, words: dict[str, int] | None = No
     """
     if words is None:
         words = corpus_words(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    # built once here and sent ready-made (some 25 MB whatever the corpus holds); each process unpacks it once
+    shared = df.sparkSession.sparkContext.broadcast(Finder(words))
 
     def make():
-        finder = _finder(shared.value)
+        finder = shared.value
 
         def step(cols):
             out: dict[str, list] = {key: [], "restored": [], "n_spans": [], "lossy": []}

@@ -185,11 +185,24 @@ def test_whole_repertoires_are_seeded(finder, text, real, wrong):
         assert restored == f"Plain start. {text} plain end."
 
 
-@pytest.mark.parametrize("text", ["12 м²", "使用Python的系统已经上线", "créée, où", "한국어 문서", "Ça coûte 5 £"])
+@pytest.mark.parametrize("text", ["12 м²", "使用Python的系统已经上线", "créée, où", "한국어 문서", "Ça coûte 5 £", "er sagte ‹bald› und ging"])
 def test_new_seeds_leave_correct_text(finder, text):
     assert finder.restore(text) == (text, [], False)
 
 
+def test_only_the_garbled_part_of_a_run_is_a_span(finder):
+    text = "系统使用Pythonの処理を改善した。cafÃ©を選ぶのですか？平均点は良い"
+    restored, spans, _ = finder.restore(text)
+    assert restored == text.replace("Ã©", "é") and [text[a:b] for a, b in spans] == ["Ã©"]
+    text = "す！Node.js" + P8.garble("の", "utf-8", "cp850") + "3.20.4版を使い、計測データの保管庫を改善した"
+    assert finder.restore(text)[0] == "す！Node.jsの3.20.4版を使い、計測データの保管庫を改善した"
+
+
+@pytest.mark.parametrize("text, real, wrong", [("l'équipe", "cp1252", "cp437"), ("Übung", "cp1252", "mac-roman"), ("Übung", "cp1252", "cp1251")])
+def test_western_words_that_begin_with_a_garbled_letter(finder, text, real, wrong):
+    assert finder.restore(f"so {P8.garble(text, real, wrong)} da")[0] == f"so {text} da"
+
+
 def test_repair_table(spark):
     df = spark.createDataFrame([(1, "estÃ¡", 0), (2, None, 0), (3, "", 0), (4, "está", 0), (1, "estÃ¡", 0)], "doc_id long, text string, lossy int")
     assert sorted(tuple(r)[:2] for r in P8.repair(df, "doc_id", "text").collect()) == [(1, "está"), (1, "está")]
