@@ -17,6 +17,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,6 +230,11 @@ def _sequences() -> dict[bytes, tuple[bool, ...]]:
 # ---- patterns
 
 
+def _spelled(text: str) -> str:
+    """The bytes of a text as letters: the automaton looks through a node's branches one by one, of which there are few for bytes."""
+    return text.encode("utf-8", "surrogatepass").decode("latin-1")
+
+
 def _changed(span: str, back: str) -> tuple[str, str]:
     """Both texts without what they begin and end with alike, but for two letters beside the difference."""
     most = min(len(span), len(back))
@@ -365,7 +371,7 @@ class Finder:
             value = of_mask.get((len(text), mask))
             if value is None:
                 value = of_mask[len(text), mask] = (len(text), tuple(sorted(i for k, i in place.items() if mask >> k & 1)))
-            self.automaton.add_word(text, value)
+            self.automaton.add_word(_spelled(text), value)
         self.automaton.make_automaton()
 
     def _rarity(self, text: str, real: str) -> float:
@@ -469,9 +475,12 @@ class Finder:
         """Spans to replace, in order."""
         seen: dict[tuple[int, int], dict[tuple, int]] = {}
         tokens: dict[tuple[int, int], dict[int, int]] = {}
-        hits = [(end + 1 - n, ps) for end, (n, ps) in self.automaton.iter(text)]
-        if not hits:
+        spelled = _spelled(text)
+        found = list(self.automaton.iter(spelled))
+        if not found:
             return []
+        letter = np.cumsum((np.frombuffer(spelled.encode("latin-1"), np.uint8) & 0xC0) != 0x80)  # of each byte, from 1
+        hits = [(int(letter[end]) - n, ps) for end, (n, ps) in found]
         bounds = [m.span() for m in _SPACES.finditer(text)]
         k = 0
         for start, ps in hits:
