@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from math import log, sqrt
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import fuzzy
 from pairforge.functions import text as T
-from pairforge.functions.stem import PATTERN
+from pairforge.functions.stem import stem_of
 from pairforge.session import spread
 
 # Order of the sources, and words that are no skill.
@@ -32,7 +33,7 @@ LONGEST = 85
 Tagger = Callable[[str], str]
 
 _WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-_STEM = re.compile(PATTERN)
+_stem = lru_cache(maxsize=50_000)(stem_of)
 
 
 def tag_by_ending(word: str) -> str:
@@ -265,7 +266,7 @@ def filter_subsets(values: list[str]) -> list[str]:
 def _vectors(values: list[str]) -> list[dict[str, float]]:
     grams = []
     for v in values:
-        stems = [_STEM.sub(r"\1", w) for w in re.findall(r"\b\w\w+\b", v.lower())]
+        stems = [_stem(w) for w in re.findall(r"\b\w\w+\b", v.lower())]
         grams.append(Counter(" ".join(stems[i : i + n]) for n in (1, 2, 3) for i in range(len(stems) - n + 1)))
     df = Counter(g for c in grams for g in c)
     out = []
@@ -287,12 +288,30 @@ def components(values: list[str], eps: float) -> list[int]:
             i = parent[i]
         return i
 
+    def join(i: int, j: int) -> None:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+
+    empty = [i for i, v in enumerate(vectors) if not v]
+    for i in empty:
+        join(i, empty[0])
+    if eps * eps + 1e-12 >= 1 and empty and len(empty) < len(values):
+        for i in range(len(values)):
+            join(i, empty[0])
+    if eps * eps + 1e-12 >= 2:
+        full = [i for i, v in enumerate(vectors) if v]
+        for i in full:
+            join(i, full[0])
+    # nearer than unrelated vectors are only those that share a part, which its list names
+    seen: dict[str, list[int]] = {}
     for i, a in enumerate(vectors):
-        for j in range(i):
-            b = vectors[j]
-            far = 2 - 2 * sum(x * b[g] for g, x in a.items() if g in b) if a and b else float(bool(a) != bool(b))
-            if max(far, 0.0) <= eps * eps + 1e-12:
-                parent[max(root(i), root(j))] = min(root(i), root(j))
+        shared: dict[int, float] = {}
+        for g, x in a.items():
+            for j in seen.setdefault(g, []):
+                shared[j] = shared.get(j, 0.0) + x * vectors[j][g]
+            seen[g].append(i)
+        for j, dot in shared.items():
+            if max(2 - 2 * dot, 0.0) <= eps * eps + 1e-12:
+                join(i, j)
     numbers: dict[int, int] = {}
     return [numbers.setdefault(root(i), len(numbers)) for i in range(len(values))]
 
@@ -312,7 +331,7 @@ def cluster_keywords(kws: list[dict], eps: float = 0.95, sources: tuple[str, ...
         chosen = [k for k in group if first is None or k["source"] == first]
         most = max(k["certainty"] for k in chosen)
         near = [k for k in chosen if k["certainty"] > 0.66 * most] or chosen[:1]
-        best = max(near, key=lambda k: len(k["value"]))
+        best = min(near, key=lambda k: (-len(k["value"]), -k["certainty"], k["value"]))  # the ties of select_best
         found.append({"value": best["value"], "certainty": min(sum(k["certainty"] for k in group), 1.0), "items": [{"v": k["value"], "s": k["source"]} for k in group]})
     found.sort(key=lambda k: -k["certainty"])
     alive = set(filter_subsets([k["value"] for k in found]))

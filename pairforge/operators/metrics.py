@@ -2,7 +2,8 @@
 
 All start from one aggregation by score (partial sums before the shuffle). Running sums over the
 scores then go in two levels: sums over a fixed number of score bands, and windows within a band,
-so that no task sees all scores of a group, however large one group is.
+so that no task sees all scores of a group, however large one group is. The bands hold about equally many
+distinct scores (their edges are quantiles), so that an outlier does not crowd all others into one.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from pyspark.sql import functions as F
 
 from pairforge.storage import materialize
 
-BANDS = 1000
+#: Bands of a group, and the accuracy of their edges: the rank is off by at most 1 / ACCURACY of the scores.
+BANDS = 200
+ACCURACY = 20_000
 
 
 def _div(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def _meet(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", small: bool = True) -> DataFrame:
-    """Join on keys that may be null; ``small``: the other side has a bounded number of rows per group."""
-    other = F.broadcast(other) if small else other
+def _meet(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; without keys the other side is a single row. Spark checks sizes and chooses the way."""
     if not keys:
-        return df.crossJoin(other)
+        return df.crossJoin(F.broadcast(other))
     for k in keys:
         other = other.withColumnRenamed(k, f"_{k}")
     same = [df[k].eqNullSafe(other[f"_{k}"]) for k in keys]
@@ -43,9 +45,11 @@ def by_score(scored: DataFrame, group: list[str], y: str = "need_match", value:
 
 def cumulative(counts: DataFrame, group: list[str]) -> DataFrame:
     """Adds ``tp``, ``fp`` (at or above each score) and the totals ``pos``, ``neg``."""
-    extent = counts.groupBy(*group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    banded = _meet(counts, extent, group).withColumn("band", F.coalesce(F.least(F.floor((F.col("score") - F.col("lo")) / width * BANDS), F.lit(BANDS - 1)), F.lit(0)).cast("int")).drop("lo", "hi")
+    shares = F.array(*[F.lit(k / BANDS) for k in range(1, BANDS)])
+    edges = counts.groupBy(*group).agg(F.percentile_approx(F.col("score").cast("double"), shares, ACCURACY).alias("edges"))
+    # the number of edges below a score, by bisection: eight steps for 200 edges
+    below = F.aggregate(F.array(*[F.lit(1 << k) for k in range(7, -1, -1)]), F.lit(0), lambda at, step: F.when((at + step <= F.size("edges")) & (F.get("edges", at + step - 1) < F.col("score")), at + step).otherwise(at))
+    banded = _meet(counts, edges, group).withColumn("band", below).drop("edges")
     bands = banded.groupBy(*group, "band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.partitionBy(*group).orderBy(F.col("band").desc())
     whole = Window.partitionBy(*group)
@@ -126,7 +130,7 @@ def sweep(scored: DataFrame, group: list[str], start: float = 0.0, stop: float =
     session = scored.sparkSession
     groups = hist.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     points = session.range(steps).select(F.col("id").cast("int").alias("k"))
-    full = _meet(groups.crossJoin(F.broadcast(points)), hist, [*group, "k"], "left", small=False)
+    full = _meet(groups.crossJoin(F.broadcast(points)), hist, [*group, "k"], "left")
     w = Window.partitionBy(*group).orderBy(F.col("k").desc())
     tp, fp = F.sum(F.coalesce("p", F.lit(0))).over(w), F.sum(F.coalesce("n", F.lit(0))).over(w)
     return full.select(*group, "k", at(F.col("k")).alias("cutoff"), tp.alias("tp"), fp.alias("fp"), (F.col("pos") - tp).alias("fn"), (F.col("neg") - fp).alias("tn"))
@@ -187,4 +191,4 @@ def evaluate(scored: DataFrame, group: list[str], **cols: str) -> DataFrame:
     out = roc_auc(scored, group, **cols).withColumnRenamed("cutoff", "cutoff_auc")
     pr = pr_auc(scored, group, **cols).select(*group, "auprc", F.col("f1").alias("f1_pr"), F.col("cutoff").alias("cutoff_pr"))
     f1 = f1_sweep(scored, group, **cols).select(*group, "f1", F.round("cutoff", 9).alias("cutoff_f1"))
-    return _meet(_meet(out, pr, group, small=False), f1, group, small=False)
+    return _meet(_meet(out, pr, group), f1, group)

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as T
+from pairforge.operators.dedupe import latest, once  # noqa: F401 - part of the operators on pairs
 from pairforge.sources.readers import number_rows
 from pairforge.storage import materialize
 
+#: Texts of the first side in a block of :func:`cross_pairs`.
+CROSS_BLOCK = 200
 SUFFIX = " Дополнительный текст."
 #: Distinct pair of columns of each side.
 SIDES = (("text_1", "title_1"), ("text_2", "title_2"))
 
 
-def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
-    """One row per key: the one delivered last; rows without a key are left out. Rows with the same key and
-    time are one delivery, of which any copy is taken; no other column is read for the choice."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
-    return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def swap(pairs: DataFrame, when: Column | None = None) -> DataFrame:
     """Exchanges the sides, titles too; ``when``: only in rows where it holds."""
     cond = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
@@ -62,10 +58,17 @@ def all_texts(pairs: DataFrame, first: str = "text_1", second: str = "text_2") -
 
 def cross_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every résumé with every vacancy: this operator's result is the product by definition, so one side
-    should be a chosen few. Ids number the texts in their own order; the label is true."""
+    should be a chosen few. Texts are numbered in the order of their hashes; the label is true.
+
+    The product is made block by block: the first side is cut into blocks by number and each row of the second side meets all
+    blocks, so that no task holds a whole side and neither side is broadcast unchecked."""
     number = lambda df, name: number_rows(materialize(df.select("text").orderBy(F.xxhash64("text"), "text"), "texts"), name)
     a, b = number(first, "i").withColumnRenamed("text", "text_1"), number(second, "j").withColumnRenamed("text", "text_2")
-    return a.crossJoin(b).select(
+    a, b = materialize(a, "first"), materialize(b, "second")
+    blocks = max(1, -(-a.count() // CROSS_BLOCK))
+    left = a.withColumn("_block", F.floor(F.col("i") / CROSS_BLOCK).cast("int"))
+    right = b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right, "_block").select(
         "text_1", "text_2", F.concat(F.lit("Resume "), "i").alias("title_1"), F.concat(F.lit("Vacancy "), "j").alias("title_2"), F.lit(True).alias("need_match")
     )
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.functions import prompts as PR
+from pairforge.functions import text as T
 from pairforge.operators import metrics as M
-from pairforge.operators.matchers import KeywordMatcher, KeywordParams, Matcher, PromptMatcher, TfIdfMatcher
+from pairforge.operators import pairs as P
+from pairforge.operators.matchers import KeywordMatcher, KeywordParams, Matcher, PromptMatcher, SentenceMatcher, TextVectorMatcher, TfIdfMatcher, WordVectorMatcher
 from pairforge.operators.tfidf import TfIdfParams
 from pairforge.operators.training import TrainParams
 from pairforge.storage import materialize
@@ -33,9 +38,33 @@ PROMPT = {name: {"max_tokens": 10000, "temperature": 0.75, "model": "gpt-3.5-tur
 SHOTS = {"all_examples": {13: 100, 28: 100}, "studentor_partner": {18: 90, 110: 100}, "dataset_v6_r30": {}}
 
 
-def tuned(dataset: str) -> dict[str, Matcher]:
-    """The matchers of a data set that need no trained vectors, with its parameters."""
-    return {"keywords": KeywordMatcher(KEYWORDS[dataset]), "tfidf": TfIdfMatcher(TFIDF[dataset]), "gpt": PromptMatcher(**PROMPT[dataset])}
+#: Tokens that the example pairs of a prompt may take.
+SHOT_TOKENS = 2000
+
+
+def prompt_shots(pairs: DataFrame, dataset: str, key: str = "pair_id") -> tuple[tuple[str, str], ...]:
+    """Questions and answers of the data set's example pairs, those of them that the pairs hold."""
+    wanted = SHOTS.get(dataset, {})
+    if not wanted:
+        return ()
+    rows = P.few_shots(pairs, wanted, key).select(key, PR.make_prompt(F.col("text_1"), F.col("text_2"), SHOT_TOKENS).alias("question"), "result").orderBy(key)
+    return tuple((r["question"], str(r["result"] // 10)) for r in rows.collect())  # as many rows as examples are named
+
+
+def tuned(dataset: str, pairs: DataFrame | None = None, corpus: DataFrame | None = None, vectors: Callable[[str, TrainParams], DataFrame] | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None) -> dict[str, Matcher]:
+    """The matchers of a data set with its parameters.
+
+    ``pairs``: where the examples of prompts are taken from; ``corpus``: the texts that TF-IDF is fitted on, by default those
+    that are scored; ``vectors``: gives the word vectors for 'word2vec' or 'fastText' and their parameters; ``encode``: an
+    encoder of sentences and texts. Matchers whose parts are not given are left out.
+    """
+    shots = prompt_shots(pairs, dataset) if pairs is not None else ()
+    out: dict[str, Matcher] = {"keywords": KeywordMatcher(KEYWORDS[dataset]), "tfidf": TfIdfMatcher(TFIDF[dataset], corpus), "gpt": PromptMatcher(**PROMPT[dataset], shots=shots)}
+    if vectors is not None:
+        out |= {"word2vec": WordVectorMatcher(vectors("word2vec", WORD2VEC[dataset]), T.tokens), "fastText": WordVectorMatcher(vectors("fastText", FASTTEXT[dataset]), T.tokens)}
+    if encode is not None:
+        out |= {"sentences": SentenceMatcher(encode), "transformer": TextVectorMatcher(encode)}
+    return out
 
 
 def run_all(datasets: dict[str, DataFrame], matchers: dict[str, dict[str, Matcher]]) -> DataFrame:

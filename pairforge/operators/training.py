@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.storage import materialize
+
 
 @dataclass(frozen=True)
 class TrainParams:
-    """Skip-gram parameters. The engine's trainer knows neither CBOW nor negative sampling; ``sg`` must be 1."""
+    """Parameters of word vectors: skip-gram (``sg`` 1) or continuous bag of words (0), with n-grams of ``min_n`` to ``max_n``
+    letters if given. ``partitions``: shards that are trained side by side and averaged."""
 
     window: int = 5
     epochs: int = 5
@@ -36,18 +42,12 @@ class TrainParams:
 def train_word2vec(corpus: DataFrame, params: TrainParams, tokens: str = "tokens") -> DataFrame:
     """``word``, ``vec`` of a skip-gram model over token arrays; null arrays are left out."""
     if params.sg != 1:
-        raise ValueError("only skip-gram (sg=1) is available")
+        raise ValueError("this trainer is for skip-gram (sg=1); see train()")
     model = Word2Vec(vectorSize=params.vector_size, minCount=params.min_count, windowSize=params.window, maxIter=params.epochs, seed=params.seed, numPartitions=params.partitions, inputCol="_tokens", outputCol="_out")
     rows = corpus.select(F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("_tokens")).where("_tokens is not null")
     return model.fit(rows).getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
-def subword_vectors(vectors: DataFrame, min_n: int = 3, max_n: int = 6) -> DataFrame:
-    """``gram``, ``vec``: means of the vectors of the words that hold a character n-gram (with word ends)."""
-    mean = Summarizer.metrics("mean").summary(array_to_vector("vec"))
-    return vectors.select(F.explode(char_ngrams("word", min_n, max_n)).alias("gram"), "vec").groupBy("gram").agg(mean.alias("s")).select("gram", vector_to_array("s.mean").alias("vec"))
-
-
 def char_ngrams(word: str, low: int, high: int):
     """Distinct character n-grams of a word in angle brackets."""
     marked = F.concat(F.lit("<"), F.col(word), F.lit(">"))
@@ -55,12 +55,138 @@ def char_ngrams(word: str, low: int, high: int):
     return F.array_distinct(F.concat(*[of(n) for n in range(low, high + 1)]))
 
 
-def fasttext_vectors(words: DataFrame, vectors: DataFrame, min_n: int = 3, max_n: int = 6) -> DataFrame:
-    """``word``, ``vec`` for any words, unknown ones too: means of their n-grams' vectors. An approximation of subword training."""
-    grams = subword_vectors(vectors, min_n, max_n)
-    mean = Summarizer.metrics("mean").summary(array_to_vector("vec"))
-    parts = words.select("word").distinct().select("word", F.explode(char_ngrams("word", min_n, max_n)).alias("gram"))
-    return parts.join(grams, "gram").groupBy("word").agg(mean.alias("s")).select("word", vector_to_array("s.mean").alias("vec"))
+#: Rows that the n-grams of letters are hashed to, words drawn against each right one, centres in a step, and the rate of learning.
+BUCKETS = 20_000
+NEGATIVES = 5
+STEP = 256
+RATE = 0.05
+
+
+def _gram_rows(word: str, params: TrainParams, first: int) -> list[int]:
+    """Rows of a word's n-grams behind the ``first`` rows of words."""
+    if params.min_n is None or params.max_n is None:
+        return []
+    marked = f"<{word}>"
+    grams = {marked[i : i + n] for n in range(params.min_n, params.max_n + 1) for i in range(len(marked) - n + 1)}
+    return [first + crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+
+
+def _shard(sentences: list[np.ndarray], parts: list[np.ndarray], inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, params: TrainParams, rate: float, rng: np.random.Generator) -> None:
+    """One pass over the sentences of a shard, which changes both matrices in place: negative sampling, whose draws the
+    contexts of a centre share. ``parts``: the rows that make up each word (itself and its n-grams)."""
+    width = max(map(len, parts), default=1)
+    table = np.full((len(parts), width), -1, np.int64)
+    for w, rows in enumerate(parts):
+        table[w, : len(rows)] = rows
+    centres, contexts = [], []
+    for s in sentences:
+        reach = rng.integers(1, params.window + 1, len(s))
+        for i, w in enumerate(s):
+            around = np.r_[s[max(0, i - reach[i]) : i], s[i + 1 : i + 1 + reach[i]]]
+            if len(around):
+                centres.append(w)
+                contexts.append(around)
+    order = rng.permutation(len(centres))
+    sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -12, 12)))
+    for at in range(0, len(order), STEP):
+        chosen = order[at : at + STEP]
+        most = max(len(contexts[k]) for k in chosen)
+        ctx = np.full((len(chosen), most), -1, np.int64)
+        for r, k in enumerate(chosen):
+            ctx[r, : len(contexts[k])] = contexts[k]
+        centre = np.array([centres[k] for k in chosen])
+        there = ctx >= 0
+        # the words that are read, and those that are to be told from noise
+        read, told = (centre[:, None], ctx) if params.sg == 1 else (ctx, centre[:, None])
+        rows = np.where((read >= 0)[..., None], table[np.maximum(read, 0)], -1).reshape(len(chosen), -1)
+        held = (rows >= 0)[..., None]
+        share = 1.0 / np.maximum(held.sum(1), 1)
+        h = (inner[np.maximum(rows, 0)] * held).sum(1) * share
+        mask = there if params.sg == 1 else np.ones_like(told, bool)
+        drawn = noise[rng.integers(0, len(noise), (len(chosen), NEGATIVES))]
+        good, bad = outer[np.maximum(told, 0)], outer[drawn]
+        g = (1.0 - sigmoid(np.einsum("bd,bcd->bc", h, good))) * mask * rate
+        d = -sigmoid(np.einsum("bd,bkd->bk", h, bad)) * mask.sum(1, keepdims=True) / NEGATIVES * rate
+        back = np.einsum("bc,bcd->bd", g, good) + np.einsum("bk,bkd->bd", d, bad)
+        np.add.at(outer, np.maximum(told, 0), np.clip(g[..., None] * h[:, None], -0.5, 0.5))
+        np.add.at(outer, drawn, np.clip(d[..., None] * h[:, None], -0.5, 0.5))
+        np.add.at(inner, np.maximum(rows, 0), np.clip(back[:, None] * share[:, None], -0.5, 0.5) * held)
+
+
+def _learner(state, params: TrainParams, rate: float, epoch: int):
+    """What a shard changes in one pass: rows of the inner (0) and the outer (1) matrix."""
+
+    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        known, before_in, before_out, draws = state.value
+        new_in, new_out = before_in.copy(), before_out.copy()
+        parts = [np.array([k, *_gram_rows(w, params, len(known))]) for w, k in known.items()]
+        sentences = [np.array([known[w] for w in t if w in known], np.int64) for t in frame["t"]]
+        _shard(sentences, parts, new_in, new_out, draws, params, rate, np.random.default_rng([params.seed, epoch, int(key[0])]))
+        out = []
+        for side, old, new in ((0, before_in, new_in), (1, before_out, new_out)):
+            for k in np.flatnonzero((old != new).any(1)):
+                out.append((side, int(k), (new[k] - old[k]).astype(float).tolist()))
+        return pd.DataFrame(out, columns=["side", "k", "delta"])
+
+    return learn
+
+
+def train_subwords(corpus: DataFrame, params: TrainParams, words: DataFrame | None = None, tokens: str = "tokens") -> DataFrame:
+    """``word``, ``vec`` of a model over words and their n-grams of letters, skip-gram or continuous bag of words.
+
+    Each pass trains ``partitions`` shards from the same state and averages what they changed. ``words`` (a column ``word``):
+    words that vectors are wanted for too, by their n-grams if the model does not know them; words without a known part are left
+    out. The state (vocabulary after ``min_count``, and n-gram rows, times ``vector_size``) passes through the driver and a broadcast
+    once in each pass; ``min_count`` bounds it. Null arrays, and null and empty tokens, are left out.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.select(F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("t")).where("size(t) > 0").withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(params.partitions)).cast("int"))
+    rows = materialize(rows, "tokens")
+    counts = rows.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_count).orderBy("word").collect()
+    schema = "word string, vec array<double>"
+    if not counts:
+        return spark.createDataFrame([], schema)
+    vocabulary = {r["word"]: k for k, r in enumerate(counts)}
+    rng = np.random.default_rng(params.seed)
+    size = len(vocabulary) + (BUCKETS if params.min_n is not None else 0)
+    inner = ((rng.random((size, params.vector_size), np.float32) - 0.5) / params.vector_size).astype(np.float32)
+    outer = np.zeros((len(vocabulary), params.vector_size), np.float32)
+    weight = np.array([r["n"] for r in counts], float) ** 0.75
+    noise = np.repeat(np.arange(len(counts)), np.maximum(1, np.round(weight / weight.sum() * 100_000)).astype(int))
+    for epoch in range(params.epochs):
+        state = spark.sparkContext.broadcast((vocabulary, inner, outer, noise))
+        rate = RATE * (1 - epoch / params.epochs)
+
+        changes = rows.groupBy("shard").applyInPandas(_learner(state, params, rate, epoch), "side int, k int, delta array<double>")
+        mean = changes.groupBy("side", "k").agg(Summarizer.mean(array_to_vector("delta")).alias("d"))
+        for r in mean.toLocalIterator():
+            (outer if r["side"] else inner)[r["k"]] += r["d"].toArray()
+        state.unpersist()
+    done = spark.sparkContext.broadcast((vocabulary, inner))
+
+    def give(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, matrix = done.value
+        for df in frames:
+            out = []
+            for w in df["word"]:
+                at = ([known[w]] if w in known else []) + _gram_rows(w, params, len(known))
+                if at:
+                    out.append((w, matrix[at].mean(0).astype(float).tolist()))
+            yield pd.DataFrame(out, columns=["word", "vec"])
+
+    asked = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    if words is not None:
+        asked = asked.unionByName(words.select("word").where("word is not null")).distinct()
+    return asked.mapInPandas(give, schema)
+
+
+def train(corpus: DataFrame, params: TrainParams, kind: str = "word2vec", words: DataFrame | None = None, tokens: str = "tokens") -> DataFrame:
+    """Vectors of the kind 'word2vec' (skip-gram by the engine's own trainer, else continuous bag of words) or 'fastText'."""
+    if kind not in ("word2vec", "fastText"):
+        raise ValueError(f"unknown kind of vectors: {kind}")
+    if kind == "word2vec" and params.sg == 1:
+        return train_word2vec(corpus, params, tokens)
+    return train_subwords(corpus, params, words, tokens)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -72,12 +198,13 @@ def trained(spark: SparkSession, corpus: DataFrame, params: TrainParams, folder:
     """The vectors of these parameters from the folder, trained and written first if they are not there."""
     path = f"{folder}/{kind}-{hashlib.md5(json.dumps(asdict(params), sort_keys=True).encode()).hexdigest()}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        train_word2vec(corpus, params, tokens).write.mode("overwrite").parquet(path)
+        train(corpus, params, kind, tokens=tokens).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def train_all(spark: SparkSession, corpus: DataFrame, runs: dict[str, TrainParams], folder: str, tokens: str = "tokens") -> dict[str, DataFrame]:
-    return {name: trained(spark, corpus, params, folder, tokens) for name, params in runs.items()}
+def train_all(spark: SparkSession, corpus: DataFrame, runs: dict[str, TrainParams], folder: str, tokens: str = "tokens", kind: str | None = None) -> dict[str, DataFrame]:
+    """The vectors of every run, trained where they are not there yet; runs with n-grams are of the kind 'fastText'."""
+    return {name: trained(spark, corpus, p, folder, tokens, kind or ("word2vec" if p.min_n is None else "fastText")) for name, p in runs.items()}
 
 
 def cascade(steps: list[dict[str, str]], evaluate: Callable[[TrainParams], float], start: TrainParams = TrainParams()) -> tuple[list[dict], TrainParams, float]:
@@ -92,3 +219,21 @@ def cascade(steps: list[dict[str, str]], evaluate: Callable[[TrainParams], float
             best, measure = params, got
         log.append({"group": row.get("group"), "model": params.name(str(row.get("group"))), "measure": got, "best": measure})
     return log, best, measure
+
+
+def research(spark: SparkSession, steps: list[dict[str, str]], corpus: DataFrame, pairs: DataFrame, folder: str, kind: str = "word2vec", tokens: str = "tokens", start: TrainParams = TrainParams()) -> tuple[list[dict], TrainParams, float]:
+    """A cascade that trains: each step's vectors are trained (once, in the folder), score the pairs and are measured by the
+    area under the ROC curve. The best parameters are written to the folder as JSON."""
+    from pairforge.functions import text as T
+    from pairforge.operators import metrics as M
+    from pairforge.operators.matchers import WordVectorMatcher
+    from pairforge.sources.sinks import save_json
+
+    def measure(params: TrainParams) -> float:
+        vectors = trained(spark, corpus, params, folder, tokens, kind)
+        scored = WordVectorMatcher(vectors, T.tokens).score(pairs)
+        return M.roc_auc(scored, []).first()["auc"] or 0.0
+
+    log, best, value = cascade(steps, measure, start)
+    save_json(spark, f"{folder}/best-{kind}.json", asdict(best) | {"measure": value})
+    return log, best, value

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions import fuzzy
 from pairforge.functions import text as T
+from pairforge.operators import experiments as EX
 from pairforge.operators import keywords as K
 from pairforge.operators import matchers as MA
-from pairforge.operators import metrics as M
 from pairforge.operators import pairs as P
 from pairforge.operators import training as TR
 from pairforge.plans.metrics import SCORED_SQL, overlap_score
@@ -162,14 +163,12 @@ def _(spark, sf):
 
 @query("keyword_grid")
 def _(spark, sf):
-    from pairforge.operators import grid as G
+    """All runs of the three tries; the best of each is marked."""
+    from pyspark.sql import Window
 
-    pairs = _rpd(spark, sf)
-    scores = materialize(MA.KeywordMatcher().keyword_scores(pairs), "scores")  # shared by all cutoffs
-    axis = G.cutoff_axis(scores.withColumnRenamed("kw_score", "value"), 20)
-    runs = axis.groupBy("pair_id", "kw_cutoff").agg(F.avg("value").alias("value")).join(pairs.select("pair_id", "need_match"), "pair_id")
-    runs = materialize(runs, "runs")
-    return M.roc_auc(runs, ["kw_cutoff"]).join(M.pr_auc(runs, ["kw_cutoff"]).select("kw_cutoff", "auprc"), "kw_cutoff")
+    runs = EX.keyword_runs(_rpd(spark, sf))
+    best = Window.partitionBy("trial").orderBy(F.col(EX.best_by("all_examples")).desc_nulls_last(), "position")  # a hundred runs each
+    return runs.withColumn("best", F.row_number().over(best) == 1)
 
 
 @query("gpt_match")
@@ -178,30 +177,55 @@ def _(spark, sf):
     return MA.PromptMatcher().score(rows).select("pair_id", "value")
 
 
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The training corpus; rows delivered again count once."""
+    return P.once(table(spark, sf, "documents_preprocessed").select("rec_id", F.col("preprocessed_text").alias("tokens")), "rec_id").select("tokens")
+
+
+def _vectors(spark: SparkSession, sf: str, texts: DataFrame):
+    """Word vectors by kind and parameters, each trained once; those of subwords for the words of the texts (a column ``text``)."""
+    corpus = materialize(_corpus(spark, sf), "corpus")
+    words = materialize(texts.select(F.explode(T.tokens("text")).alias("word")).distinct(), "words")
+    made: dict[tuple, DataFrame] = {}
+
+    def get(kind: str, params: TR.TrainParams) -> DataFrame:
+        if (kind, params) not in made:
+            params_ = replace(params, partitions=4)
+            made[kind, params] = materialize(TR.train(corpus, params_, kind, words=words), "vectors")
+        return made[kind, params]
+
+    return get
+
+
 @query("tuned_runs")
 def _(spark, sf):
+    """Every model with its tuned parameters over every data set."""
+    from pairforge.functions.encoders import hashed
     from pairforge.operators import presets as PS
 
-    names = ("studentor_partner", "dataset_v6_r30")
-    datasets = {n: R.to_pairs(P.latest(table(spark, sf, n), "row_id"), n) for n in names}
-    matchers = {n: {k: m for k, m in PS.tuned(n).items() if k != "keywords"} for n in names}
-    return PS.run_all(datasets, matchers)
+    stored = {"all_examples": "rpd_dataset", "studentor_partner": "studentor_partner", "dataset_v6_r30": "dataset_v6_r30"}
+    datasets = {n: materialize(R.to_pairs(P.latest(table(spark, sf, t), "row_id"), n), "pairs") for n, t in stored.items()}
+    texts = None
+    for pairs in datasets.values():
+        texts = P.all_texts(pairs) if texts is None else texts.unionByName(P.all_texts(pairs))
+    vectors, corpus, encode = _vectors(spark, sf, texts), P.all_texts(datasets["all_examples"]), hashed()
+    return PS.run_all(datasets, {n: PS.tuned(n, pairs, corpus, vectors, encode) for n, pairs in datasets.items()})
 
 
 @query("word2vec_match")
 def _(spark, sf):
-    corpus = table(spark, sf, "documents_preprocessed").select(F.col("preprocessed_text").alias("tokens"))
-    vectors = materialize(TR.train_word2vec(corpus, TR.TrainParams(vector_size=16, epochs=1, partitions=4)), "vectors")
-    return MA.WordVectorMatcher(vectors, T.tokens).score(_rpd(spark, sf)).select("pair_id", "value")
+    from pairforge.operators import presets as PS
+
+    pairs = _rpd(spark, sf)
+    return MA.WordVectorMatcher(_vectors(spark, sf, P.all_texts(pairs))("word2vec", PS.WORD2VEC["all_examples"]), T.tokens).score(pairs).select("pair_id", "value")
 
 
 @query("fasttext_match")
 def _(spark, sf):
-    corpus = table(spark, sf, "documents_preprocessed").select(F.col("preprocessed_text").alias("tokens"))
-    known = materialize(TR.train_word2vec(corpus, TR.TrainParams(vector_size=16, epochs=1, partitions=4)), "vectors")
+    from pairforge.operators import presets as PS
+
     pairs = _rpd(spark, sf)
-    words = P.all_texts(pairs).distinct().select(F.explode(T.tokens("text")).alias("word"))
-    return MA.WordVectorMatcher(TR.fasttext_vectors(words, known, 3, 4), T.tokens).score(pairs).select("pair_id", "value")
+    return MA.WordVectorMatcher(_vectors(spark, sf, P.all_texts(pairs))("fastText", PS.FASTTEXT["all_examples"]), T.tokens).score(pairs).select("pair_id", "value")
 
 
 @query("stream_scores", "WITH " + SCORED_SQL + " SELECT pair_id, value FROM scored")

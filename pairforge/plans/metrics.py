@@ -238,6 +238,14 @@ def _(spark, sf):
     return P.big_dataset(a, b).select(F.md5("text_1").alias("text_1"), F.md5("text_2").alias("text_2"), "need_match")
 
 
+@query("cross_product", "SELECT md5(b.text) AS text_1, md5(v.vacancy) AS text_2, true AS need_match FROM (SELECT DISTINCT text FROM benchmark WHERE text IS NOT NULL) b CROSS JOIN (SELECT DISTINCT vacancy FROM dataset_v6_r30 WHERE vacancy IS NOT NULL) v")
+def _(spark, sf):
+    """Every item with every vacancy."""
+    items = P.distinct_texts(table(spark, sf, "benchmark").select("text"))
+    vacancies = P.distinct_texts(table(spark, sf, "dataset_v6_r30").select("vacancy"))
+    return P.cross_pairs(items, vacancies).select(F.md5("text_1").alias("text_1"), F.md5("text_2").alias("text_2"), "need_match")
+
+
 # ---- runs over models and data sets
 
 _MODELS_SQL = ", models AS (SELECT dataset, 'overlap' AS model, pair_id, y, value FROM scored UNION ALL SELECT dataset, 'length', pair_id, y, value FROM (SELECT coalesce(dataset, 'none') AS dataset, pair_id, coalesce(need_match, false) AS y, round(100.0::DOUBLE * least(length(coalesce(text_1, '')), length(coalesce(text_2, ''))) / greatest(length(coalesce(text_1, '')), length(coalesce(text_2, '')), 1), 3) AS value FROM pairs))"

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from pairforge.functions import prompts as PR
 from pairforge.functions import stem as ST
 from pairforge.functions import text as T
-from pairforge.operators import metrics as M
 from pairforge.operators import pairs as P
 from pairforge.operators import tfidf as TF
 from pairforge.operators import vectors as V
 from pairforge.session import table
-from pairforge.storage import materialize
 
 QUERIES, SQL = {}, {}
 
@@ -244,13 +242,10 @@ def _(spark, sf):
 
 @query("tfidf_config_sweep")
 def _(spark, sf):
-    out = None
-    for low, high in ((1, 1), (1, 2), (2, 2)):
-        for binary in (False, True):
-            one = _tfidf(spark, sf, TF.TfIdfParams(low, high, binary)).select(F.lit(f"{low}-{high}-{binary}").alias("config"), "need_match", "value")
-            out = one if out is None else out.unionByName(one)
-    out = materialize(out, "scores")  # both areas read the scores, none matches again
-    return M.roc_auc(out, ["config"]).join(M.pr_auc(out, ["config"]).select("config", "auprc"), "config")
+    """All ranges of n-grams, then all flags with the best range, fitted on the lemma views."""
+    from pairforge.operators import experiments as EX
+
+    return EX.tfidf_runs(_v6(spark, sf), key=EX.best_by("dataset_v6_r30"))
 
 
 # ---- vectors

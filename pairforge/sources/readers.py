@@ -48,14 +48,15 @@ def load_dataset(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """Numbers rows from 0 in the order of partitions and of rows in them, without gathering them: only the
-    sizes of the partitions are summed up. The table must be read alike each time, as files are."""
-    marked = df.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mono", 33))
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)
-    return marked.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_mono", "_part", "_start")
+    """Numbers the rows of a table that is read from files from 0, in the order of the paths of the files, of the blocks in a
+    file and of the rows in a block, whatever files the reader packs into one partition. Nothing is gathered: only the
+    sizes of the blocks are summed up. The table must be read alike each time, as files are."""
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    # the rows of a block follow one another in their partition
+    sizes = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of the input
+    starts = sizes.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return marked.join(starts, ["_file", "_block"]).withColumn(name, F.col("_start") + F.col("_mono") - F.col("_first")).drop("_file", "_block", "_mono", "_first", "_start")
 
 
 def read_benchmark(spark: SparkSession, path: str, text_1: str, text_2: str, label: str = "need_match") -> DataFrame:
@@ -96,7 +97,18 @@ def model_names(lines: DataFrame) -> DataFrame:
     """``n``, ``value`` lines to ``n``, ``grp``, ``name``, ``parts`` without the blank ones."""
     blank = F.trim(F.coalesce("value", F.lit(""))) == ""
     grouped = lines.withColumn("grp", F.sum(blank.cast("int")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.where(~blank).select("n", F.col("grp").cast("int").alias("grp"), F.col("value").alias("name"), F.split("value", "-").alias("parts"))
+    return grouped.where(~blank).select("n", F.col("grp").cast("int").alias("grp"), F.trim("value").alias("name"), F.split(F.trim("value"), "-").alias("parts"))
+
+
+def read_one(name: str) -> tuple:
+    """The parameters of a model's name: its pieces after the first, all but the first of these as integers."""
+    pieces = name.split("-")[1:]
+    return tuple(pieces[:1] + [int(p) for p in pieces[1:]])
+
+
+def typed_parts(parts: list[str]) -> list[int | str]:
+    """Pieces of a model's name with those of digits as integers."""
+    return [int(p) if p.isdigit() else p for p in parts]
 
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:

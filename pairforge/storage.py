@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,25 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized() -> None:
-    """Deletes every table that :func:`materialize` wrote in this process."""
-    while _written:
+def forget_at_exit(spark: SparkSession, path: str) -> str:
+    """Has a path deleted with the written tables."""
+    _written.append((spark, path))
+    return path
+
+
+@contextmanager
+def intermediates():
+    """Deletes at its end the tables that were written inside; what is computed from them must be done by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_materialized(before)
+
+
+def drop_materialized(keep: int = 0) -> None:
+    """Deletes every table that :func:`materialize` wrote in this process but the first ``keep``."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

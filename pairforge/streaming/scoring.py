@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 def read_pairs(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file, with the schema of what is there."""
-    now = spark.read.parquet(path)
-    reader = spark.readStream.schema(now.schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     folder, _, name = path.rpartition("/")
-    if any(f.rpartition("/")[2] == name for f in now.inputFiles()[:1]):  # a stream reads folders only
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():  # a stream reads folders only
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
 def deduplicated(pairs: DataFrame, key: str = "pair_id", time: str = "loaded_at", delay: str = "400 days") -> DataFrame:
-    """One row per key within the delay; the state is bounded by the watermark."""
+    """One row per key within the delay; the state is bounded by the watermark: one small row for each key of that time.
+    The default suits a table that is streamed once, whose deliveries lie far apart; for a running stream give the longest time
+    between two deliveries of a pair."""
     return pairs.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
