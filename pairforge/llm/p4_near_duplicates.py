@@ -34,6 +34,8 @@ MIN_WORDS = 12
 KMER_WORDS = 2
 ORDER_KMERS = 3
 ORDER_SKETCHES = 24
+#: Order sketches in common from which a pair goes to the alignment first; about 4 are expected at a share of 0.7.
+ORDER_HITS = 2
 #: Smallest words in an order-free sketch, and such sketches of a record. At a share of 0.7 one of 64 agrees with
 #: a probability above 0.999 for records of usual length, above 0.99 for the shortest.
 SKETCH_WORDS = 6
@@ -72,7 +74,7 @@ def mostly_latin_or_cyrillic(text: str) -> bool:
 
 def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``field``, ``id``, ``words`` (hashes of the distinct words in order of appearance), ``sequence`` (all words in text
-    order, as little-endian 32-bit places in ``words``), ``h1``, ``h2`` (a 128-bit hash of the set), ``s1`` (a hash of the sequence).
+    order, as little-endian 32-bit places in ``words``; null if none is repeated), ``h1``, ``h2`` (a 128-bit hash of the set), ``s1`` (a hash of the sequence).
 
     ``kind`` is 'text' or 'terms' (an array of strings, each a term). Records with fewer than
     ``min_words`` distinct words, null ones among them, and texts of mostly other scripts are left
@@ -102,7 +104,7 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
                 hs = list(place)
                 x = np.array(hs, np.int64).view(np.uint64)
                 at = np.array(sequence, np.uint32)
-                for k, y in zip(out, (field, i, hs, at.astype("<u4").tobytes(), _signed(_mix(x).sum(dtype=np.uint64)), _signed(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64)), _signed(_mix(x[at] + _mix(np.arange(1, len(at) + 1, dtype=np.uint64))).sum(dtype=np.uint64)))):
+                for k, y in zip(out, (field, i, hs, at.astype("<u4").tobytes() if len(at) > len(hs) else None, _signed(_mix(x).sum(dtype=np.uint64)), _signed(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64)), _signed(_mix(x[at] + _mix(np.arange(1, len(at) + 1, dtype=np.uint64))).sum(dtype=np.uint64)))):
                     out[k].append(y)
             if out["id"]:
                 yield out
@@ -129,47 +131,47 @@ def labelled_kmers(ids: np.ndarray, k: int = KMER_WORDS) -> np.ndarray:
     return _mix(runs + _mix(occurrence + np.uint64(1)))
 
 
-def sketches(records: DataFrame, ordered: bool, kmers: int | None = None, count: int | None = None) -> DataFrame:
-    """One row per record and sketch: ``key`` of the record and ``bucket``.
+def sketches(records: DataFrame, order_count: int = ORDER_SKETCHES, count: int = SKETCHES) -> DataFrame:
+    """One row per record and sketch: ``key`` of the record and ``bucket``, order sketches and order-free ones together.
 
-    The bucket's upper 48 bits hash the sketched k-mers (with the sketch's number and the field), in text order
-    if ``ordered``, else without regard to order; its lower 16 bits hold the number of distinct words (65,535 for
-    more), by which candidates of too different sizes go at once. 16 bytes a row are what gets shuffled.
+    The bucket's upper 47 bits hash the sketched k-mers (with the sketch's number and the field), those of order sketches in text
+    order, the others without regard to it; the next bit is 1 for order sketches; the lower 16 hold the number of distinct words
+    (65,535 for more), by which candidates of too different sizes go at once. 16 bytes a row are what gets shuffled.
     """
-    kmers = kmers or (ORDER_KMERS if ordered else SKETCH_WORDS)
-    count = count or (ORDER_SKETCHES if ordered else SKETCHES)
 
     def make():
         import pyarrow as pa
 
-        seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ordered))
-        salt = _mix(np.arange(101, 101 + kmers, dtype=np.uint64)) | np.uint64(1)
-        number = np.arange(count, dtype=np.uint64) << np.uint64(1)
-        low = np.uint64(0xFFFF)
+        seeds = lambda n, first: _mix(np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        kinds = ((True, ORDER_KMERS, seeds(order_count, 10_001)), (False, SKETCH_WORDS, seeds(count, 1)))
+        salt = _mix(np.arange(101, 101 + ORDER_KMERS, dtype=np.uint64)) | np.uint64(1)
+        low = np.uint64(0x1FFFF)
+        fields: dict[str, np.uint64] = {}
 
         def step(cols):
             keys, buckets = [], []
             for f, key, ws, sequence in zip(cols["field"], cols["key"], cols["words"], cols["sequence"]):
-                x = np.array(ws, np.int64).view(np.uint64)
-                size = np.uint64(min(len(x), 0xFFFF))
-                if ordered:
-                    x = labelled_kmers(x[np.frombuffer(sequence, "<u4")])
-                h = x[None, :] ^ seeds[:, None]
-                h = (h ^ (h >> np.uint64(31))) * _MIX_1
-                h ^= h >> np.uint64(29)
-                k = min(kmers, len(x))
-                at = np.argpartition(h, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(k), (count, 1))
-                # of places in order, a hash that minds the order; else a sum, which does not
-                picked = np.take_along_axis(h, np.sort(at, axis=1), 1)
-                picked = _mix(picked * salt[None, :k]) if ordered else _mix(picked)
-                whole = _mix(picked.sum(axis=1, dtype=np.uint64) + number + (np.uint64(hash64(f) & 0xFFFFFFFF) << np.uint64(8)))
-                keys.append(np.full(count, key, np.int64))
-                buckets.append(((whole & ~low) | size).view(np.int64))
+                words_ = np.array(ws, np.int64).view(np.uint64)
+                size = np.uint64(min(len(ws), 0xFFFF))
+                field = fields.setdefault(f, np.uint64(hash64(f) & 0xFFFFFFFF) << np.uint64(8))
+                for ordered, kmers, salts in kinds:
+                    x = labelled_kmers(words_ if sequence is None else words_[np.frombuffer(sequence, "<u4")]) if ordered else words_
+                    h = x[None, :] ^ salts[:, None]
+                    h = (h ^ (h >> np.uint64(31))) * _MIX_1
+                    h ^= h >> np.uint64(29)
+                    n, k = len(salts), min(kmers, len(x))
+                    at = np.argpartition(h, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(k), (n, 1))
+                    # of places in order, a hash that minds the order; else a sum, which does not
+                    picked = np.take_along_axis(h, np.sort(at, axis=1), 1)
+                    picked = _mix(picked * salt[None, :k]) if ordered else _mix(picked)
+                    whole = _mix(picked.sum(axis=1, dtype=np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(1)) + field)
+                    keys.append(np.full(n, key, np.int64))
+                    buckets.append(((whole & ~low) | np.uint64(ordered << 16) | size).view(np.int64))
             yield {"key": pa.array(np.concatenate(keys)), "bucket": pa.array(np.concatenate(buckets))}
 
         return step
 
-    return arrow_map(records.select("field", "key", "words", *(["sequence"] if ordered else [F.lit(None).cast("binary").alias("sequence")])), make, "key bigint, bucket bigint")
+    return arrow_map(records.select("field", "key", "words", "sequence"), make, "key bigint, bucket bigint")
 
 
 def _alike(na: Column, nb: Column, min_share: float) -> Column:
@@ -178,20 +180,21 @@ def _alike(na: Column, nb: Column, min_share: float) -> Column:
 
 
 def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs of keys ``a`` < ``b`` of records that share a bucket and are not too different in size, with the number of shared buckets (``hits``).
+    """Pairs of keys ``a`` < ``b`` of records that share a bucket and are not too different in size, with the number of shared
+    order sketches (``order_hits``).
 
-    Buckets of one record cannot give a pair and go first; only the sizes of the others meet the
-    sketches again, once, and what is left is written. In buckets above ``bucket_rows`` each row of
-    the one side takes one of the salts, each row of the other side all.
+    Sketches are shuffled once, by bucket; the buckets' sizes are counted and joined where they lie (a bucket holds at most one
+    of a record's sketches, hence never more than a small part of the rows), buckets of one record go, and what is left is
+    written. In buckets above ``bucket_rows`` each row of the one side takes one of the salts, each row of the other side all.
     """
-    bucket = F.shiftright("bucket", 16)
-    size = sketched.groupBy(bucket.alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    shared = sketched.select("key", bucket.alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w")).join(size, "k")
+    spread = sketched.select("key", F.shiftright("bucket", 16).alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w")).repartition("k")
+    size = spread.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    shared = spread.join(size.hint("merge"), "k")
     shared = materialize(shared.select("k", "key", "w", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
     left = shared.select("k", F.col("key").alias("a"), F.col("w").alias("wa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
     right = shared.select("k", F.col("key").alias("b"), F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["k", "salt"]).where(F.col("a") < F.col("b")).where(_alike(F.col("wa"), F.col("wb"), min_share))
-    return pairs.groupBy("a", "b").agg(F.count("*").cast("int").alias("hits"))
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("k").bitwiseAND(1)).cast("int").alias("order_hits"))
 
 
 def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
@@ -214,20 +217,21 @@ def banded_alignment(a: list[int], b: list[int], band: int = BAND) -> int:
     return len(b) - row.bit_count()
 
 
-def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0) -> DataFrame:
+def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0, sequences: bool = True) -> DataFrame:
     """Keeps the pairs (``a``, ``b``, ``order_hits``) of which at least ``min_share`` of the words are common.
 
-    Order candidates go to the banded alignment: if the words it aligns make up the share, the pair is settled and
-    ``kind`` is 'edit'. For all others the exact share of common words decides, and ``kind`` is 'reordering'
+    Order candidates (``ORDER_HITS`` sketches in common) go to the banded alignment: if the words it aligns make up the share, the
+    pair is settled and ``kind`` is 'edit'. For all others the exact share of common words decides, and ``kind`` is 'reordering'
     unless the alignment reaches the threshold. Adds ``common`` and ``united`` (numbers of words, of which ``share`` is the ratio)
-    and ``edit_similarity``, the aligned part of the longer of the two sequences of all words.
+    and ``edit_similarity``, the aligned part of the longer of the two sequences of all words (without ``sequences`` of the distinct words).
     """
-    side = lambda k: records.select(F.col("key").alias(k), F.col("field").alias("f" + k), F.col("words").alias("w" + k), F.col("sequence").alias("s" + k))
+    every = F.col("sequence") if sequences else F.lit(None).cast("binary")
+    side = lambda k: records.select(F.col("key").alias(k), F.col("field").alias("f" + k), F.col("words").alias("w" + k), every.alias("s" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("fa = fb")
     na, nb = F.size("wa"), F.size("wb")
     both = both.where(_alike(na, nb, min_share)).withColumn("common", F.size(F.array_intersect("wa", "wb")))
     enough = F.col("common") >= (na + nb - F.col("common")) * (min_share - 1e-9)
-    both = both.where((F.col("order_hits") > 0) | enough)
+    both = both.where((F.col("order_hits") >= ORDER_HITS) | enough)
 
     def make():
         def step(cols):
@@ -238,10 +242,10 @@ def verify(pairs: DataFrame, records: DataFrame, min_share: float = MIN_SHARE, m
                 edit = aligned >= (together - aligned) * (min_share - 1e-9)
                 if not edit and common < (together - common) * (min_share - 1e-9):
                     continue
-                xs, ys = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
-                if len(xs) > len(wa) or len(ys) > len(wb):  # repeated words
-                    aligned = banded_alignment([wa[i] for i in xs], [wb[i] for i in ys])
-                similarity = aligned / max(len(xs), len(ys))
+                if sa is not None or sb is not None:  # repeated words
+                    wa, wb = ([w[i] for i in np.frombuffer(q, "<u4")] if q is not None else w for w, q in ((wa, sa), (wb, sb)))
+                    aligned = banded_alignment(wa, wb)
+                similarity = aligned / max(len(wa), len(wb))
                 if similarity >= min_edit_similarity:
                     for k, v in zip(out, (f, a, b, common, together - common, similarity, hits, "edit" if edit else "reordering")):
                         out[k].append(v)
@@ -273,10 +277,7 @@ def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_s
     chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").drop("h1", "h2", "s1")
     # a number of its own for each representative, fixed by being written
     chosen = materialize(chosen.withColumn("key", F.monotonically_increasing_id()), "representatives")
-    by_order = candidates(materialize(sketches(chosen, True), "order_sketches"), min_share)
-    by_set = candidates(materialize(sketches(chosen, False), "sketches"), min_share)
-    pairs = by_order.withColumnRenamed("hits", "order_hits").unionByName(by_set.select("a", "b", F.lit(0).alias("order_hits"))).groupBy("a", "b").agg(F.max("order_hits").alias("order_hits"))
-    found = verify(pairs, chosen, min_share, min_edit_similarity)
+    found = verify(candidates(sketches(chosen), min_share), chosen, min_share, min_edit_similarity, sequences)
     name = lambda k: chosen.select(F.col("key").alias(k), F.col("id").alias("id_" + k))
     named = found.join(name("a"), "a").join(name("b"), "b")
     share = (F.col("common") / F.col("united")).alias("share")
