@@ -20,7 +20,7 @@ and so are the groups of copies when their pairs are asked for.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import MEMO_ENTRIES, arrow_map, hash64, text_sides, words
@@ -183,13 +183,12 @@ def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: i
     """Pairs of keys ``a`` < ``b`` of records that share a bucket and are not too different in size, with the number of shared
     order sketches (``order_hits``).
 
-    Sketches are shuffled once, by bucket; the buckets' sizes are counted and joined where they lie (a bucket holds at most one
-    of a record's sketches, hence never more than a small part of the rows), buckets of one record go, and what is left is
+    Sketches are shuffled once, by bucket, and counted there (a bucket holds at most one of a record's sketches, hence never
+    more than a small part of the rows; its rows are spilled if they are many). Buckets of one record go, and what is left is
     written. In buckets above ``bucket_rows`` each row of the one side takes one of the salts, each row of the other side all.
     """
-    spread = sketched.select("key", F.shiftright("bucket", 16).alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w")).repartition("k")
-    size = spread.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = spread.join(size.hint("merge"), "k")
+    spread = sketched.select("key", F.shiftright("bucket", 16).alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w"))
+    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
     shared = materialize(shared.select("k", "key", "w", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
     left = shared.select("k", F.col("key").alias("a"), F.col("w").alias("wa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
     right = shared.select("k", F.col("key").alias("b"), F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
