@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import MEMO_ENTRIES, arrow_map
+from pairforge.operators.dedupe import once
 from pairforge.session import table
 from pairforge.storage import materialize
 
@@ -26,8 +27,6 @@ from pairforge.storage import materialize
 HEAVY_TERMS = 512
 #: Light terms held by a task before it sends them on.
 LIGHT_BUFFER = 200_000
-#: 64-bit slots of the filter that tells records which may have been delivered again; bounds what is broadcast (16 bytes each).
-SLOTS = 1 << 17
 RARE_BELOW = 5
 COMMON_SHARE = 0.25
 
@@ -53,21 +52,6 @@ def heavy_terms(df: DataFrame, terms: str, k: int = HEAVY_TERMS) -> list[str]:
     return sorted({normalize_term(x["item"]) for x in found or []} - {""})
 
 
-def once(rows: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
-    """One row for each key; rows without a key stay as they are.
-
-    Keys that occur more than once set a bit each in a filter of ``slots`` 64-bit slots, which is broadcast. Rows whose bit
-    is clear are the only ones of their key and stay where they are; the others, a few keys of single rows among them, are
-    shuffled and lose their copies. With more repeated keys than bits all rows go that way, and the result is the same.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(64 * slots))
-    place = lambda df: df.withColumns({"_slot": F.floor(bit / 64).cast("long"), "_mask": F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")})
-    again = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    filter_ = place(again).groupBy("_slot").agg(F.bit_or("_mask").alias("_bits"))
-    marked = place(rows).join(F.broadcast(filter_), "_slot", "left").withColumn("_again", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False)) & F.col(key).isNotNull())
-    return marked.where("not _again").select(rows.columns).unionByName(marked.where("_again").select(rows.columns).dropDuplicates([key]))
-
-
 def count_terms(df: DataFrame, terms: str, record_id: str | None = None, heavy: int = HEAVY_TERMS) -> DataFrame:
     """Exact counts of every distinct term: ``term``, ``occurrences``, ``records``; beside them one row
     whose term is null, with all occurrences and all records that hold a term.

@@ -43,15 +43,6 @@ def test_marks(spark):
     assert P2.mark_terms(P2.count_terms(empty, "a", "rec_id")).count() == 0
 
 
-def test_repeated_keys_are_found_whatever_the_filter_holds(spark):
-    rows = [(i, f"t{i}") for i in range(300)] + [(i, f"t{i}") for i in range(0, 300, 7)] + [(None, "a"), (None, "a")]
-    df = spark.createDataFrame(rows, "k long, v string")
-    for slots in (1, 4, 1 << 17):
-        got = sorted(map(tuple, P2.once(df, "k", slots).collect()), key=str)
-        assert got == sorted([(i, f"t{i}") for i in range(300)] + [(None, "a")] * 2, key=str)
-    assert P2.once(df.where("k > 900"), "k").count() == 0
-
-
 # ---- p4
 
 
