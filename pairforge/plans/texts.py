@@ -59,7 +59,12 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.normalize("text", characters=True)).alias("normal"))
 
 
-@query("remove_tags")
+_TAGS = r"regexp_replace(regexp_replace({}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)(?:<[a-zA-Z/!][^>]*>)+', chr(10), 'g')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&#39;', chr(39)), '&amp;', '&')"
+_WRAPPED = "'<p>' || t || '</p><br>&amp;'"
+
+
+@query("remove_tags", DOCS + r" SELECT doc_id, md5(regexp_replace({}, '^\n+|\n+$', '', 'g')) AS plain FROM d".format(_ENTITIES.format(_TAGS.format(_WRAPPED))))
 def _(spark, sf):
     wrapped = F.concat(F.lit("<p>"), T.text_or_empty("text"), F.lit("</p><br>&amp;"))
     return docs(spark, sf).select("doc_id", F.md5(T.remove_tags(wrapped)).alias("plain"))
@@ -108,9 +113,10 @@ def _(spark, sf):
     return docs(spark, sf).select(F.explode(T.ngrams(T.tokens("text"), 1, 2)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("stem_tokens")
+@query("stem_tokens", LOWER_DOCS + r", w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_]{2,}')) AS word FROM d) SELECT word, " + ST.stem_sql("word") + " AS stem FROM w")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(F.array_join(ST.stem_tokens(T.tokens("text")), " ")).alias("stems"))
+    """The stem of every distinct word of all texts."""
+    return docs(spark, sf).select(F.explode(T.tokens("text")).alias("word")).distinct().select("word", ST.stem(F.col("word")).alias("stem"))
 
 
 @query("sentence_windows")

@@ -86,6 +86,98 @@ def test_latest_keeps_one_row_per_key(spark):
     assert got == {(1, "b"), (2, None)}
 
 
+def test_repeated_keys_are_found_whatever_the_filter_holds(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(i, f"t{i}") for i in range(0, 300, 7)] + [(None, "a"), (None, "a")]
+    df = spark.createDataFrame(rows, "k long, v string")
+    for slots in (1, 4, 1 << 17):
+        got = sorted(map(tuple, P.once(df, "k", slots).collect()), key=str)
+        assert got == sorted([(i, f"t{i}") for i in range(300)] + [(None, "a")] * 2, key=str)
+    assert P.once(df.where("k > 900"), "k").count() == 0
+
+
+def test_latest_is_the_same_whatever_the_filter_holds(spark):
+    rows = [(i, f"t{i}", i) for i in range(200)] + [(i, f"u{i}", i + 1) for i in range(0, 200, 5)] + [(0, "v", None), (None, "w", 1), (3, "a", 3), (3, "b", 3)]
+    df = spark.createDataFrame(rows, "k long, v string, loaded_at int")
+    want = {i: f"u{i}" if i % 5 == 0 else f"t{i}" for i in range(200)}
+    seen = set()
+    for slots in (1, 1 << 17):
+        got = {r["k"]: r["v"] for r in P.latest(df, "k", slots=slots).collect()}
+        seen.add(got.pop(3))
+        assert got == {k: v for k, v in want.items() if k != 3}
+    assert len(seen) == 1  # of equal times always the same row
+
+
+def test_an_outlier_does_not_crowd_the_bands(spark):
+    rows = [(i % 3 == 0, i / 10) for i in range(2000)] + [(True, 1e12)]
+    counts = M.by_score(scored(spark, rows), ["dataset"])
+    assert M.roc_auc(counts, ["dataset"]).first()["auc"] == pytest.approx(auc_by_hand(rows), abs=1e-9)
+    edges = counts.groupBy("dataset").agg(F.percentile_approx("score", F.array(*[F.lit(k / M.BANDS) for k in range(1, M.BANDS)]), M.ACCURACY).alias("e")).first()["e"]
+    assert len(set(edges)) > 0.9 * M.BANDS
+
+
+def test_counts_by_window_of_a_stream(spark, tmp_path):
+    from pairforge.streaming import scoring as S
+
+    rows = [(1, "d", True, datetime(2024, 1, 1, 5)), (2, "d", False, datetime(2024, 1, 1, 6)), (3, "d", None, datetime(2024, 1, 5, 6)), (4, None, True, datetime(2024, 1, 9))]
+    spark.createDataFrame(rows, "pair_id long, dataset string, need_match boolean, loaded_at timestamp").write.parquet(f"{tmp_path}/in")
+    query = S.label_counts(S.read_pairs(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("label_counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/log").start()
+    query.awaitTermination()
+    got = {(r["window"]["start"].day, r["dataset"]): (r["n"], r["positives"]) for r in spark.table("label_counts").collect()}
+    assert got == {(1, "d"): (2, 1), (5, "d"): (1, 0), (9, None): (1, 1)}
+
+
+def test_stores_by_kind(spark, tmp_path):
+    for store in (SK.open_store(spark, "shared", "k string, v int", f"{tmp_path}/s"), SK.open_store(spark, "memory", "k string, v int")):
+        store.add(spark.createDataFrame([("a", 0), ("b", 2)], "k string, v int"))
+        assert len(store) == 2 and store.contains("k", "a") and not store.contains("k", "c") and sorted(store.keys("k")) == ["a", "b"]
+        store.remove("k", spark.createDataFrame([("a",)], "k string"))
+        assert len(store) == 1 and not store.contains("k", "a")
+        store.clear()
+        assert len(store) == 0
+    none = SK.open_store(spark, "dummy", "k string, v int")
+    none.add(spark.createDataFrame([("a", 0)], "k string, v int"))
+    assert len(none) == 0 and not none.contains("k", "a")
+    for kind, path in (("redis", "x"), ("shared", None)):
+        with pytest.raises(ValueError):
+            SK.open_store(spark, kind, "k string", path)
+
+
+def test_names_of_models():
+    assert R.read_one("word2vec-sg-1-15-5-6-50") == ("sg", 1, 15, 5, 6, 50)
+    assert R.typed_parts(["all", "sg", "15"]) == ["all", "sg", 15]
+
+
+def test_a_tfidf_model_is_read_as_it_was_written(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "aa bb", "aa cc"), (2, "dd", "dd")], "pair_id long, text_1 string, text_2 string")
+    params = TF.TfIdfParams(1, 2, sublinear=True)
+    model = TF.fit(P.all_texts(pairs), params)
+    SK.save_tfidf(model, params, f"{tmp_path}/m")
+    got, read = SK.load_tfidf(spark, f"{tmp_path}/m")
+    assert read == params and sorted(map(tuple, got.collect())) == sorted(map(tuple, model.collect()))
+
+
+@pytest.mark.parametrize("sg, grams", [(1, (None, None)), (0, (None, None)), (1, (3, 4)), (0, (3, 4))])
+def test_words_of_like_use_come_near(spark, sg, grams):
+    rnd = random.Random(5)
+    themes = (["кошка", "мышь", "сыр", "нора"], ["сервер", "данные", "сеть", "диск"])
+    corpus = spark.createDataFrame([([rnd.choice(themes[i % 2]) for _ in range(8)],) for i in range(400)] + [(None,), ([],), ([None, ""],)], "tokens array<string>")
+    params = TR.TrainParams(window=4, epochs=6, sg=sg, min_count=2, vector_size=12, min_n=grams[0], max_n=grams[1], partitions=2)
+    asked = spark.createDataFrame([("кошками",), ("ъъ",)], "word string")
+    vectors = {r["word"]: r["vec"] for r in TR.train_subwords(corpus, params, asked).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b])) / (sum(x * x for x in vectors[a]) * sum(x * x for x in vectors[b])) ** 0.5
+    assert cos("кошка", "мышь") > cos("кошка", "сервер") + 0.2 and cos("диск", "сеть") > cos("диск", "сыр") + 0.2
+    assert ("кошками" in vectors) == (grams[0] is not None)
+    assert TR.train_subwords(corpus.where("false"), params).count() == 0
+
+
+def test_a_cascade_that_trains(spark, tmp_path):
+    corpus = spark.createDataFrame([(["aa", "bb"],), (["cc", "dd"],)] * 40, "tokens array<string>")
+    pairs = spark.createDataFrame([(1, "aa", "bb", True), (2, "aa", "dd", False)], "pair_id long, text_1 string, text_2 string, need_match boolean")
+    steps = [{"group": "1", "window": "2", "epochs": "1", "min_count": "1", "vector_size": "4"}, {"group": "1", "window": "x", "epochs": "2", "min_count": "x", "vector_size": "x"}]
+    log, best, value = TR.research(spark, steps, corpus, pairs, f"{tmp_path}/m")
+    assert len(log) == 2 and best.window == 2 and 0 <= value <= 1 and '"window": 2' in (tmp_path / "m" / "best-word2vec.json").read_text()
+
+
 def test_swap_and_suffix(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, None, "d")], "pair_id int, text_1 string, text_2 string")
     assert [tuple(r) for r in P.swap(df, F.col("pair_id") == 2).orderBy("pair_id").collect()] == [(1, "a", "b"), (2, "d", None)]
@@ -186,8 +278,8 @@ def test_word2vec_is_written_once(spark, tmp_path):
     assert TR.trained(spark, None, params, f"file://{tmp_path}").count() == 3
     with pytest.raises(ValueError):
         TR.train_word2vec(corpus, TR.TrainParams(sg=0))
-    words = spark.createDataFrame([("ab",), ("c",)], "word string")
-    assert TR.fasttext_vectors(words, first, 2, 3).count() == 2
+    with pytest.raises(ValueError):
+        TR.train(corpus, params, "other")
 
 
 def test_named_sources(spark, tmp_path):
