@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -42,6 +43,16 @@ def partial_ratio_of(a: str | None, b: str | None) -> int:
     return round(100 * best)
 
 
+def reaches(a: str | None, b: str | None, ratio: int) -> bool:
+    """Whether :func:`partial_ratio_of` is at least ``ratio``; most strings are told apart by the letters they share."""
+    if not a or not b:
+        return ratio <= 0
+    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+    common = sum((Counter(short) & Counter(long_)).values())
+    # no place of the longer string matches more letters than both hold
+    return round(200 * common / (len(short) + common)) >= ratio and partial_ratio_of(a, b) >= ratio
+
+
 def substring_distance(label: str, text: str) -> int:
     """Least edit distance of the label to any substring of the text; bit-parallel over the label."""
     m = len(label)

@@ -202,7 +202,7 @@ def exclude(keywords: DataFrame, value: str = "value", blacklist: tuple[str, ...
 
     @F.pandas_udf("boolean")
     def good(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: not is_bad_phrase(v, tagger) and not any(fuzzy.partial_ratio_of(b, v) >= BLACKLIST_RATIO for b in blacklist))
+        return values.map(lambda v: not is_bad_phrase(v, tagger) and not any(fuzzy.reaches(b, v, BLACKLIST_RATIO) for b in blacklist))
 
     judged = spread(keywords.select(value).distinct(), value).withColumn("_good", good(value)).where("_good").drop("_good")
     return keywords.join(judged, value, "left_semi")

@@ -131,6 +131,11 @@ def test_partial_ratio():
     assert 0 < fuzzy.partial_ratio_of("abcd", "abxd") < 100
 
 
+@given(st.text("абв ", max_size=12), st.text("абвг ", max_size=25), st.integers(0, 100))
+def test_reaching_a_ratio_is_what_the_ratio_says(a, b, ratio):
+    assert fuzzy.reaches(a, b, ratio) == (fuzzy.partial_ratio_of(a, b) >= ratio)
+
+
 def test_near_match_needs_a_near_place():
     assert fuzzy.near_match_of("hello world", "say hallo world!") == pytest.approx(100 * 10 / 11)
     assert fuzzy.near_match_of("abcdefghijklmnop", "zzzz") == 0

@@ -315,6 +315,18 @@ def test_materialize_keeps_rows_and_schema(spark):
     assert materialize(df.where("a > 5")).count() == 0
 
 
+def test_intermediate_tables_end_with_their_block(spark):
+    from pairforge.storage import intermediates
+
+    kept = materialize(spark.range(3))
+    with intermediates():
+        inside = materialize(spark.range(4))
+        assert inside.count() == 4
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inside.inputFiles()[0]).count()
+
+
 def test_null_groups_keep_their_rows(spark):
     rows = [(None, True, 2.0), (None, False, 1.0), ("d", True, 1.0), ("d", False, 1.0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", score string")
