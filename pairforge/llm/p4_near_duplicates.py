@@ -263,20 +263,20 @@ def grouped(records: DataFrame, sequences: bool = False) -> tuple[DataFrame, Dat
     return members.join(reps, same).select("field", "id", "rep", "copies"), reps
 
 
-def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0, sequences: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_similarity: float = 0.0, sequences: bool = False, similarities: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """``(membership, links)`` of the records of :func:`record_words`.
 
     membership: ``field``, ``id``, ``rep`` (the smallest id with the same words; with ``sequences`` only
     if they stand in the same sequence) and ``copies``, the size of that group; links: ``field``, ``a``, ``b``, ``share``,
-    ``edit_similarity``, ``order_hits`` (order sketches in common) and ``kind`` of verified pairs of different representatives. Empty input
-    gives two empty tables.
+    ``edit_similarity``, ``order_hits`` (order sketches in common) and ``kind`` of verified pairs of different representatives.
+    ``similarities``: whether edit similarities count repeated words (as ``sequences`` says, if not given). Empty input gives two empty tables.
     """
     records = materialize(records, "records")
     membership, reps = grouped(records, sequences)
     chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").drop("h1", "h2", "s1")
     # a number of its own for each representative, fixed by being written
     chosen = materialize(chosen.withColumn("key", F.monotonically_increasing_id()), "representatives")
-    found = verify(candidates(sketches(chosen), min_share), chosen, min_share, min_edit_similarity, sequences)
+    found = verify(candidates(sketches(chosen), min_share), chosen, min_share, min_edit_similarity, sequences if similarities is None else similarities)
     name = lambda k: chosen.select(F.col("key").alias(k), F.col("id").alias("id_" + k))
     named = found.join(name("a"), "a").join(name("b"), "b")
     share = (F.col("common") / F.col("united")).alias("share")
@@ -317,7 +317,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of representatives (of equal sequences of words) and their share; :func:`p4_members` gives the records that a representative stands for."""
-    links = near_duplicates(corpus_records(spark, sf_dir), sequences=True)[1]
+    links = near_duplicates(corpus_records(spark, sf_dir), sequences=True, similarities=False)[1]
     return links.select("field", "a", "b", F.round("share", 6).alias("share"))
 
 
