@@ -25,12 +25,22 @@ def split_repeated(df: DataFrame, key: str, slots: int = SLOTS) -> tuple[DataFra
     return marked.where("not _again").select(df.columns), marked.where("_again").select(df.columns)
 
 
+def _few_splits(df: DataFrame) -> bool:
+    """Whether a table is so small that the reader gives it fewer splits than there are cores (4 MB are the least of a split)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < df.sparkSession.sparkContext.defaultParallelism * (4 << 20)
+
+
 def latest(df: DataFrame, key: str, order: str = "loaded_at", slots: int = SLOTS) -> DataFrame:
     """One row per key: the one delivered last; rows without a key are left out. Of rows with the same key and
-    time the one with the smallest hash of all columns is taken, so that the choice is the same every time."""
-    single, repeated = split_repeated(df, key, slots)
+    time the one with the smallest hash of all columns is taken, so that the choice is the same every time. A table too small
+    to be read by all cores is shuffled whole, which spreads it over them for what follows; the rows are the same."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    return single.unionByName(repeated.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    first = lambda d: d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    if _few_splits(df):
+        return first(df.where(F.col(key).isNotNull()))
+    single, repeated = split_repeated(df, key, slots)
+    return single.unionByName(first(repeated))
 
 
 def once(df: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:

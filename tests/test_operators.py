@@ -95,12 +95,13 @@ def test_repeated_keys_are_found_whatever_the_filter_holds(spark):
     assert P.once(df.where("k > 900"), "k").count() == 0
 
 
-def test_latest_is_the_same_whatever_the_filter_holds(spark):
+def test_latest_is_the_same_whatever_the_filter_holds(spark, monkeypatch):
     rows = [(i, f"t{i}", i) for i in range(200)] + [(i, f"u{i}", i + 1) for i in range(0, 200, 5)] + [(0, "v", None), (None, "w", 1), (3, "a", 3), (3, "b", 3)]
     df = spark.createDataFrame(rows, "k long, v string, loaded_at int")
     want = {i: f"u{i}" if i % 5 == 0 else f"t{i}" for i in range(200)}
     seen = set()
-    for slots in (1, 1 << 17):
+    for slots, small in ((1, False), (1 << 17, False), (1 << 17, True)):
+        monkeypatch.setattr("pairforge.operators.dedupe._few_splits", lambda d, small=small: small)
         got = {r["k"]: r["v"] for r in P.latest(df, "k", slots=slots).collect()}
         seen.add(got.pop(3))
         assert got == {k: v for k, v in want.items() if k != 3}
