@@ -40,6 +40,8 @@ ORDER_HITS = 2
 #: a probability above 0.999 for records of usual length, above 0.99 for the shortest.
 SKETCH_WORDS = 6
 SKETCHES = 64
+#: 64-bit parts of the parity signature, by which candidates are told apart in their bucket.
+PARITIES = ("q0", "q1", "q2", "q3")
 #: Half the width of the alignment's band, in words.
 BAND = 32
 #: Members of a bucket or of a group of copies that one salt takes.
@@ -72,9 +74,16 @@ def mostly_latin_or_cyrillic(text: str) -> bool:
     return good > bad
 
 
+def parities(x: np.ndarray) -> list[int]:
+    """The parity signature of distinct words: each flips one of its bits, by its hash."""
+    flips = np.bincount((_mix(x) >> np.uint64(7)).astype(np.int64) % (64 * len(PARITIES)), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+
+
 def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``field``, ``id``, ``words`` (hashes of the distinct words in order of appearance), ``sequence`` (all words in text
-    order, as little-endian 32-bit places in ``words``; null if none is repeated), ``h1``, ``h2`` (a 128-bit hash of the set), ``s1`` (a hash of the sequence).
+    order, as little-endian 32-bit places in ``words``; null if none is repeated), ``h1``, ``h2`` (a 128-bit hash of the set), ``s1`` (a hash of the
+    sequence) and the set's :func:`parities`.
 
     ``kind`` is 'text' or 'terms' (an array of strings, each a term). Records with fewer than
     ``min_words`` distinct words, null ones among them, and texts of mostly other scripts are left
@@ -87,7 +96,7 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
         def step(cols):
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
-            out = {k: [] for k in ("field", "id", "words", "sequence", "h1", "h2", "s1")}
+            out = {k: [] for k in ("field", "id", "words", "sequence", "h1", "h2", "s1", *PARITIES)}
             for i, v in zip(cols["id"], cols["value"]):
                 if v is None or (kind == "text" and not mostly_latin_or_cyrillic(v)):
                     continue
@@ -104,14 +113,14 @@ def record_words(df: DataFrame, field: str, record_id: str, value: str, kind: st
                 hs = list(place)
                 x = np.array(hs, np.int64).view(np.uint64)
                 at = np.array(sequence, np.uint32)
-                for k, y in zip(out, (field, i, hs, at.astype("<u4").tobytes() if len(at) > len(hs) else None, _signed(_mix(x).sum(dtype=np.uint64)), _signed(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64)), _signed(_mix(x[at] + _mix(np.arange(1, len(at) + 1, dtype=np.uint64))).sum(dtype=np.uint64)))):
+                for k, y in zip(out, (field, i, hs, at.astype("<u4").tobytes() if len(at) > len(hs) else None, _signed(_mix(x).sum(dtype=np.uint64)), _signed(_mix(x * _MIX_2 + np.uint64(len(hs))).sum(dtype=np.uint64)), _signed(_mix(x[at] + _mix(np.arange(1, len(at) + 1, dtype=np.uint64))).sum(dtype=np.uint64)), *parities(x))):
                     out[k].append(y)
             if out["id"]:
                 yield out
 
         return step
 
-    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, sequence binary, h1 bigint, h2 bigint, s1 bigint")
+    return arrow_map(df.select(F.col(record_id).cast("long").alias("id"), F.col(value).alias("value")), make, "field string, id bigint, words array<bigint>, sequence binary, h1 bigint, h2 bigint, s1 bigint, " + ", ".join(f"{q} bigint" for q in PARITIES))
 
 
 def labelled_kmers(ids: np.ndarray, k: int = KMER_WORDS) -> np.ndarray:
@@ -179,9 +188,18 @@ def _alike(na: Column, nb: Column, min_share: float) -> Column:
     return F.least(na, nb) >= F.greatest(na, nb) * (min_share - 1e-9)
 
 
-def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _near(min_share: float) -> Column:
+    """Whether two parity signatures allow for the share. Each word that only one of the records has flips one bit, so the bits that
+    differ are at most as many as these words: no pair that has the share is lost. Sizes of 65,535 stand for more and let all pass."""
+    differ = sum((F.bit_count(F.col(q + "a").bitwiseXOR(F.col(q + "b"))) for q in PARITIES), F.lit(0))
+    share = min_share - 1e-9
+    return (F.greatest("wa", "wb") >= 0xFFFF) | (differ <= (F.col("wa") + F.col("wb")) * ((1 - share) / (1 + share)) + 1e-6)
+
+
+def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: int = BUCKET_ROWS, signed: DataFrame | None = None) -> DataFrame:
     """Pairs of keys ``a`` < ``b`` of records that share a bucket and are not too different in size, with the number of shared
-    order sketches (``order_hits``).
+    order sketches (``order_hits``). ``signed``: ``key`` and the parities of each record, if pairs that cannot have the share are to go
+    in their bucket. Chance pairs grow with the square of the records; with the parities hardly any of them leaves its task.
 
     Sketches are shuffled once, by bucket, and counted there (a bucket holds at most one of a record's sketches, hence never
     more than a small part of the rows; its rows are spilled if they are many). Buckets of one record go, and what is left is
@@ -189,10 +207,14 @@ def candidates(sketched: DataFrame, min_share: float = MIN_SHARE, bucket_rows: i
     """
     spread = sketched.select("key", F.shiftright("bucket", 16).alias("k"), F.col("bucket").bitwiseAND(0xFFFF).cast("int").alias("w"))
     shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
-    shared = materialize(shared.select("k", "key", "w", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "buckets")
-    left = shared.select("k", F.col("key").alias("a"), F.col("w").alias("wa"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    right = shared.select("k", F.col("key").alias("b"), F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    shared = shared.select("k", "key", "w", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts"))
+    parts = PARITIES if signed is not None else ()
+    shared = materialize(shared if signed is None else shared.join(signed.select("key", *parts), "key"), "buckets")
+    left = shared.select("k", F.col("key").alias("a"), F.col("w").alias("wa"), *(F.col(q).alias(q + "a") for q in parts), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    right = shared.select("k", F.col("key").alias("b"), F.col("w").alias("wb"), *(F.col(q).alias(q + "b") for q in parts), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["k", "salt"]).where(F.col("a") < F.col("b")).where(_alike(F.col("wa"), F.col("wb"), min_share))
+    if parts:
+        pairs = pairs.where(_near(min_share))
     return pairs.groupBy("a", "b").agg(F.sum(F.col("k").bitwiseAND(1)).cast("int").alias("order_hits"))
 
 
@@ -276,7 +298,8 @@ def near_duplicates(records: DataFrame, min_share: float = MIN_SHARE, min_edit_s
     chosen = records.join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").drop("h1", "h2", "s1")
     # a number of its own for each representative, fixed by being written
     chosen = materialize(chosen.withColumn("key", F.monotonically_increasing_id()), "representatives")
-    found = verify(candidates(sketches(chosen), min_share), chosen, min_share, min_edit_similarity, sequences if similarities is None else similarities)
+    pairs = materialize(candidates(sketches(chosen), min_share, signed=chosen), "candidates")  # what was shuffled for them goes before they are verified
+    found = verify(pairs, chosen, min_share, min_edit_similarity, sequences if similarities is None else similarities)
     name = lambda k: chosen.select(F.col("key").alias(k), F.col("id").alias("id_" + k))
     named = found.join(name("a"), "a").join(name("b"), "b")
     share = (F.col("common") / F.col("united")).alias("share")

@@ -1,8 +1,11 @@
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairforge.llm import p2_frequencies as P2
 from pairforge.llm import p4_near_duplicates as P4
@@ -127,6 +130,41 @@ def test_hot_buckets_lose_nothing(spark):
     assert P4.candidates(sketched.where("key < 1")).count() == 0
 
 
+def test_chance_candidates_go_in_their_bucket_and_true_ones_stay(spark):
+    rnd = random.Random(11)
+    topics = [[f"t{k}w{i}" for i in range(70)] for k in range(3)]
+    # pairs at and just below the share of 0.7, and many records of one topic, which share words and buckets by chance
+    edge = []
+    for k in range(40):
+        n = rnd.randint(14, 200)
+        base = [f"e{k}w{i}" for i in range(n)]
+        edge += [base, base[: n - n * 3 // 10], base[: n - n * 3 // 10 - 1]]
+    texts = edge + [rnd.sample(rnd.choice(topics), 40) for _ in range(400)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, t string")
+    records = P4.record_words(df, "f", "id", "t", "text").withColumn("key", F.col("id"))
+    sketched = P4.sketches(records)
+    plain, signed = ({(r["a"], r["b"]) for r in P4.candidates(sketched, signed=s).collect()} for s in (None, records))
+    sets = list(map(set, texts))
+    alike = {(a, b) for a, b in plain if len(sets[a] & sets[b]) * 10 >= 7 * len(sets[a] | sets[b])}
+    assert signed <= plain and alike <= signed and len(alike) >= 70
+    assert len(signed - alike) * 5 <= len(plain - alike)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pairforge.storage import materialize
+
+    def files() -> set[Path]:
+        managers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in managers for p in Path(d.getPath()).rglob("shuffle_*")}
+
+    before = files()
+    made = materialize(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "test")
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and made.count() == 700
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     rnd = random.Random(4)
     for _ in range(200):
