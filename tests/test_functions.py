@@ -140,3 +140,32 @@ def test_near_match_needs_a_near_place():
     assert fuzzy.near_match_of("hello world", "say hallo world!") == pytest.approx(100 * 10 / 11)
     assert fuzzy.near_match_of("abcdefghijklmnop", "zzzz") == 0
     assert math.isclose(fuzzy.combined_of("exact phrase here", "exact phrase"), 100)
+
+
+def test_scores_of_many_rows_equal_those_of_one_and_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    def by_difflib(a, b):
+        short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+        if not short:
+            return 0
+        starts = {max(0, j - i) for i, j, _ in SequenceMatcher(None, short, long_, autojunk=False).get_matching_blocks()}
+        best = max(SequenceMatcher(None, short, long_[i : i + len(short)], autojunk=False).ratio() for i in starts)
+        return 100 if best > 0.995 else round(100 * best)
+
+    rnd = random.Random(3)
+    texts, labels = [None, "", "a" * 64, "b" * 70], ["a", "a", "a" * 63 + "b", "a" * 64]
+    for _ in range(400):
+        letters = rnd.choice(["ab", "abc ", "абвгдежз икл"])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, rnd.choice([5, 60, 300]))))
+        label = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, rnd.choice([5, 20, 90]))))
+        if len(text) > 60 and rnd.random() < 0.4:
+            label = text[20:50].replace(text[30], "я", 1)
+        texts.append(text)
+        labels.append(label)
+    assert fuzzy.combined_many(texts, labels) == [fuzzy.combined_of(t, v) for t, v in zip(texts, labels)]
+    for t, v in list(zip(texts, labels))[4:]:
+        assert fuzzy.partial_ratio_of(t, v) == by_difflib(t, v)
+        if 0 < len(v) <= fuzzy.WORD_BITS:
+            assert fuzzy.substring_distances([v], [t])[0] == fuzzy.substring_distance(v, t)

@@ -333,3 +333,22 @@ def test_null_groups_keep_their_rows(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", score string")
     got = {r["dataset"]: r["auc"] for r in M.evaluate(df.select("dataset", "need_match", "value"), ["dataset"]).collect()}
     assert got == {None: 1.0, "d": 0.5}
+
+
+def test_runs_share_what_they_extract_judge_and_score(spark):
+    from pairforge.operators import experiments as EX
+
+    texts = ["Разработка программного обеспечения на языке Python. Анализ данных и машинное обучение. " * k + t for k, t in ((1, "Тестирование сайтов."), (3, "Базы данных."), (9, ""))]
+    rows = [(i, a, b, i % 2 == 0) for i, (a, b) in enumerate((a, b) for a in [*texts, None] for b in texts)]
+    pairs = spark.createDataFrame(rows, "pair_id long, text_1 string, text_2 string, need_match boolean")
+    configs = [p for tries in EX.KEYWORD_TRIES.values() for p in (tries[0], tries[-1])]
+    got = {(r["run"], r["pair_id"]): list(r["top"]) for r in EX._top_scores(pairs, configs, 6).collect()}
+    for n, p in enumerate(configs):
+        want = {}
+        for r in MA.KeywordMatcher(p).keyword_scores(pairs).collect():
+            want.setdefault(r["pair_id"], []).append(r["kw_score"])
+        assert {k: sorted(v, reverse=True)[:6] for k, v in want.items()} == {k: v for (run, k), v in got.items() if run == n}
+    # every value is judged once, not for each of its rows
+    judged = K.exclude(spark.createDataFrame([(i, "анализ данных") for i in range(9)], "id long, value string"))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and judged.count() == 9
