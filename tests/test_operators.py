@@ -1,6 +1,8 @@
 import random
+import time
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +354,46 @@ def test_runs_share_what_they_extract_judge_and_score(spark):
     judged = K.exclude(spark.createDataFrame([(i, "анализ данных") for i in range(9)], "id long, value string"))
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and judged.count() == 9
+
+
+@pytest.mark.parametrize("sg", [0, 1])
+def test_a_pass_of_the_trainer_equals_its_definition(sg):
+    rng = np.random.default_rng(5)
+    params = TR.TrainParams(window=4, sg=sg, vector_size=6)
+    parts = [np.array([k, *rng.choice(np.arange(30, 60), rng.integers(0, 5), replace=False)]) for k in range(30)]
+    sentences = [rng.integers(0, 30, n) for n in (0, 1, 2, 17, 40)]
+    noise, inner, outer = np.repeat(np.arange(30), 3), rng.random((60, 6), np.float32), rng.random((30, 6), np.float32)
+    got = inner.copy(), outer.copy()
+    TR._shard(sentences, parts, *got, noise, params, 0.05, np.random.default_rng(1))
+    draw, pairs = np.random.default_rng(1), []
+    for t in sentences:
+        reach = draw.integers(1, params.window + 1, len(t))
+        pairs += [(w, a) for i, w in enumerate(t) if (a := [*t[max(0, i - reach[i]) : i], *t[i + 1 : i + 1 + reach[i]]])]
+    order = draw.permutation(len(pairs))
+    assert len(pairs) <= TR.STEP  # one step: everything is read before anything is changed
+    drawn = noise[draw.integers(0, len(noise), (len(pairs), TR.NEGATIVES))]
+    want, clip = (inner.astype(float), outer.astype(float)), lambda x: np.clip(x, -0.5, 0.5)
+    for k, bad in zip(order, drawn):
+        centre, around = pairs[k]
+        read, told = ([centre], around) if sg == 1 else (around, [centre])
+        rows = np.concatenate([parts[w] for w in read])
+        h, back = inner[rows].mean(0), np.zeros(6)
+        for targets, good in ((told, 1), (bad, 0)):
+            for w in targets:
+                step = 0.05 * (good - 1 / (1 + np.exp(-h @ outer[w]))) * (1 if good else len(told) / TR.NEGATIVES)
+                back += step * outer[w]
+                want[1][w] += clip(step * h)
+        for r in rows:
+            want[0][r] += clip(back / len(rows))
+    for a, b in zip(got, want):
+        assert np.abs(a - b).max() < 1e-4
+
+
+def test_a_pass_of_the_trainer_takes_no_row_by_row_additions():
+    rng = np.random.default_rng(2)
+    parts = [np.array([k, *rng.integers(800, 9000, 26)]) for k in range(800)]
+    sentences = [rng.integers(0, 800, 60) for _ in range(150)]
+    inner, outer = rng.random((9000, 50), np.float32), np.zeros((800, 50), np.float32)
+    began = time.process_time()
+    TR._shard(sentences, parts, inner, outer, np.arange(800), TR.TrainParams(window=15), 0.05, rng)
+    assert time.process_time() - began < 3
