@@ -168,7 +168,8 @@ def train_subwords(corpus: DataFrame, params: TrainParams, words: DataFrame | No
         state = spark.sparkContext.broadcast((vocabulary, inner, outer, noise))
         rate = RATE * (1 - epoch / params.epochs)
 
-        changes = rows.groupBy("shard").applyInPandas(_learner(state, params, rate, epoch), "side int, k int, delta array<double>")
+        # ranges of a given number give each shard a task of its own; hashes would be merged into fewer
+        changes = rows.repartitionByRange(params.partitions, "shard").groupBy("shard").applyInPandas(_learner(state, params, rate, epoch), "side int, k int, delta array<double>")
         mean = changes.groupBy("side", "k").agg(Summarizer.mean(array_to_vector("delta")).alias("d"))
         for r in mean.toLocalIterator():
             (outer if r["side"] else inner)[r["k"]] += r["d"].toArray()
