@@ -10,13 +10,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.storage import materialize
+from pairforge.storage import materialize, passing
 
 
 @dataclass(frozen=True)
@@ -43,9 +41,7 @@ def train_word2vec(corpus: DataFrame, params: TrainParams, tokens: str = "tokens
     """``word``, ``vec`` of a skip-gram model over token arrays; null arrays are left out."""
     if params.sg != 1:
         raise ValueError("this trainer is for skip-gram (sg=1); see train()")
-    model = Word2Vec(vectorSize=params.vector_size, minCount=params.min_count, windowSize=params.window, maxIter=params.epochs, seed=params.seed, numPartitions=params.partitions, inputCol="_tokens", outputCol="_out")
-    rows = corpus.select(F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("_tokens")).where("_tokens is not null")
-    return model.fit(rows).getVectors().select("word", vector_to_array("vector").alias("vec"))
+    return train_subwords(corpus, replace(params, min_n=None, max_n=None), tokens=tokens)
 
 
 def char_ngrams(word: str, low: int, high: int):
@@ -124,20 +120,125 @@ def _shard(sentences: list[np.ndarray], parts: list[np.ndarray], inner: np.ndarr
         _add(inner, rows, np.repeat(np.clip(back * share, -0.5, 0.5), held, axis=0))
 
 
-def _learner(state, params: TrainParams, rate: float, epoch: int):
-    """What a shard changes in one pass: rows of the inner (0) and the outer (1) matrix."""
+def _add_shared(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray, which: np.ndarray) -> None:
+    """Adds ``values[which]`` to the rows like :func:`_add`, faster for thousands of rows of which few are repeated: in rounds that
+    hold each row once."""
+    turn = np.empty(len(matrix), np.int32)
+    for _ in range(8):
+        if len(rows) < 32:
+            break
+        place = np.arange(len(rows), dtype=np.int32)
+        turn[rows] = place
+        last = turn[rows] == place
+        now, rest = np.flatnonzero(last), np.flatnonzero(~last)
+        at = rows[now]
+        matrix[at] = matrix.take(at, axis=0) + values.take(which[now], axis=0)
+        rows, which = rows[rest], which[rest]
+    _add(matrix, rows, values[which])
 
-    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        known, before_in, before_out, draws = state.value
-        new_in, new_out = before_in.copy(), before_out.copy()
-        parts = [np.array([k, *_gram_rows(w, params, len(known))]) for w, k in known.items()]
-        sentences = [np.array([known[w] for w in t if w in known], np.int64) for t in frame["t"]]
-        _shard(sentences, parts, new_in, new_out, draws, params, rate, np.random.default_rng([params.seed, epoch, int(key[0])]))
-        out = []
-        for side, old, new in ((0, before_in, new_in), (1, before_out, new_out)):
-            for k in np.flatnonzero((old != new).any(1)):
-                out.append((side, int(k), (new[k] - old[k]).astype(float).tolist()))
-        return pd.DataFrame(out, columns=["side", "k", "delta"])
+
+#: Centres of a sentence that are multiplied at once, and words drawn for all centres of a step together.
+PIECE = 128
+DRAWS = 256
+
+
+def _skipgram(tokens: np.ndarray, length: np.ndarray, parts: tuple[np.ndarray, np.ndarray], inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, params: TrainParams, rate: float, rng: np.random.Generator) -> None:
+    """One skip-gram pass like :func:`_shard`'s over sentences one after another (``tokens``, ``length``), in matrix products.
+
+    A step takes whole sentences of like length, of about ``STEP`` centres, fewer if the words are few, so that no row is changed many
+    times from where it was; all pairs of a centre and a word in its window count. All centres of a step share its draws, which together weigh as much as in ``_shard``. ``parts``: how many rows make up each word, and the rows.
+    """
+    part_count, part_rows = parts
+    part_first, whole = np.cumsum(part_count) - part_count, bool((part_count == 1).all())
+    ends = np.cumsum(length)
+    pieces = -(-length // PIECE) * (length > 1)
+    low, high = np.repeat(ends - length, pieces), np.repeat(ends, pieces)
+    first = low + _ranges(np.zeros_like(pieces), pieces) * PIECE
+    centres = np.minimum(PIECE, high - first)
+    left = np.maximum(low, first - params.window)
+    beside = np.minimum(high, first + centres + params.window) - left
+    places, begin, end = np.arange(len(tokens)), np.repeat(ends - length, length), np.repeat(ends, length)
+    reach = rng.integers(1, params.window + 1, len(tokens))
+    around = np.minimum(end - 1, places + reach) - np.maximum(begin, places - reach)
+    order = rng.permutation(len(first))
+    order = order[np.argsort(beside[order], kind="stable")]
+    most = min(STEP, max(8, len(part_count) // 4))
+    steps = np.split(order, np.flatnonzero(np.diff((np.cumsum(centres[order]) - 1) // most)) + 1)
+    rate, size = np.float32(rate), inner.shape[1]
+    for number in rng.permutation(len(steps)):
+        p = steps[number]
+        if not len(p):
+            continue
+        # by piece: places of centres and of words beside them, from the piece's first centre on; what only fills up is told by its mask
+        at, by = np.arange(centres[p].max()), (left[p] - first[p])[:, None] + np.arange(beside[p].max())
+        real, near = at < centres[p][:, None], np.arange(by.shape[1]) < beside[p][:, None]
+        mine, other = first[p][:, None] + np.where(real, at, 0), first[p][:, None] + np.where(near, by, 0)
+        apart = np.abs(np.where(near, by, 1 << 30).astype(np.int32)[:, None, :] - at.astype(np.int32)[:, None])
+        told = (apart <= np.where(real, reach[mine], 0).astype(np.int32)[:, :, None]) & (apart > 0)
+        words = tokens[mine[real]]
+        if whole:
+            h = inner[part_rows[words]]
+        else:
+            known, which = np.unique(words, return_inverse=True)
+            held = part_count[known]
+            rows = part_rows[_ranges(part_first[known], held)]
+            share = (1 / held).astype(np.float32)[:, None]
+            h = (np.add.reduceat(inner.take(rows, axis=0), np.cumsum(held) - held, axis=0) * share)[which]
+        wide = np.zeros((*real.shape, size), np.float32)
+        wide[real] = h
+        good = outer[tokens[other]]
+        g = told * rate / (1 + np.exp(np.clip(wide @ good.transpose(0, 2, 1), -12, 12)))
+        drawn = noise[rng.integers(0, len(noise), DRAWS)]
+        bad = outer[drawn]
+        d = (around[mine[real]] * (-rate / DRAWS)).astype(np.float32)[:, None] / (1 + np.exp(np.clip(-(h @ bad.T), -12, 12)))
+        back = (g @ good)[real] + d @ bad
+        _add(outer, np.concatenate([tokens[other[near]], drawn]), np.clip(np.concatenate([(g.transpose(0, 2, 1) @ wide)[near], d.T @ h]), -0.5, 0.5))
+        if whole:
+            _add(inner, part_rows[words], np.clip(back, -0.5, 0.5))
+        else:
+            change = np.zeros((len(known), size), np.float32)
+            _add(change, which, np.clip(back * share[which], -0.5, 0.5))
+            _add_shared(inner, rows, change, np.repeat(np.arange(len(known)), held))
+
+
+#: Rows of a matrix that travel together, and that the driver takes from all shards at once.
+BLOCK, SENT = 2048, 8_192
+
+
+def _learner(fixed, state, params: TrainParams, rate: float, epoch: int):
+    """What each shard changes in one pass, by blocks of the inner (``side`` 0) and the outer (1) matrix: the first row, which rows
+    are changed, by how much. Rows come ordered by shard."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (counts, rows), noise = fixed.value
+        before, after, now, rng = state.value, None, None, None
+
+        def changes() -> Iterator[pa.RecordBatch]:
+            for side, (old, new) in enumerate(zip(before, after)):
+                for k in range(0, len(old), BLOCK):
+                    delta = new[k : k + BLOCK] - old[k : k + BLOCK]
+                    touched = delta.any(1)
+                    if touched.any():
+                        yield pa.RecordBatch.from_pydict({"side": pa.array([side], pa.int32()), "k": pa.array([k], pa.int32()), "touched": pa.array([touched.tobytes()], pa.binary()), "delta": pa.array([delta.tobytes()], pa.binary())})
+
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                if shards[low] != now:
+                    if now is not None:
+                        yield from changes()
+                    now, after, rng = shards[low], [m.copy() for m in before], np.random.default_rng([params.seed, epoch, int(shards[low])])
+                words = batch.column("words").slice(low, high - low)
+                tokens, length = words.flatten().to_numpy().astype(np.int64), words.value_lengths().to_numpy().astype(np.int64)
+                if params.sg == 1:
+                    _skipgram(tokens, length, (counts, rows), *after, noise, params, rate, rng)
+                else:
+                    _shard(np.split(tokens, np.cumsum(length)[:-1]), np.split(rows, np.cumsum(counts)[:-1]), *after, noise, params, rate, rng)
+        if now is not None:
+            yield from changes()
 
     return learn
 
@@ -153,7 +254,8 @@ def train_subwords(corpus: DataFrame, params: TrainParams, words: DataFrame | No
     spark = corpus.sparkSession
     rows = corpus.select(F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("t")).where("size(t) > 0").withColumn("shard", F.pmod(F.xxhash64("t"), F.lit(params.partitions)).cast("int"))
     rows = materialize(rows, "tokens")
-    counts = rows.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_count).orderBy("word").collect()
+    counted = materialize(rows.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_count), "vocabulary")
+    counts = counted.orderBy("word").collect()
     schema = "word string, vec array<double>"
     if not counts:
         return spark.createDataFrame([], schema)
@@ -164,16 +266,38 @@ def train_subwords(corpus: DataFrame, params: TrainParams, words: DataFrame | No
     outer = np.zeros((len(vocabulary), params.vector_size), np.float32)
     weight = np.array([r["n"] for r in counts], float) ** 0.75
     noise = np.repeat(np.arange(len(counts)), np.maximum(1, np.round(weight / weight.sum() * 100_000)).astype(int))
+    del counts
+    each = [np.array([k, *_gram_rows(w, params, len(vocabulary))]) for w, k in vocabulary.items()]
+    fixed = spark.sparkContext.broadcast(((np.array([len(r) for r in each]), np.concatenate(each)), noise))
+    del each
+    named = spark.sparkContext.broadcast(vocabulary)
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = named.value
+        for df in frames:
+            yield pd.DataFrame({"shard": df["shard"], "place": df["place"], "words": [[known[w] for w in t if w in known] for t in df["t"]]})
+
+    coded = materialize(rows.withColumn("place", F.xxhash64("t")).mapInPandas(code, "shard int, place long, words array<int>"), "coded")
     for epoch in range(params.epochs):
-        state = spark.sparkContext.broadcast((vocabulary, inner, outer, noise))
+        state = spark.sparkContext.broadcast((inner, outer))
         rate = RATE * (1 - epoch / params.epochs)
-
         # ranges of a given number give each shard a task of its own; hashes would be merged into fewer
-        changes = rows.repartitionByRange(params.partitions, "shard").groupBy("shard").applyInPandas(_learner(state, params, rate, epoch), "side int, k int, delta array<double>")
-        mean = changes.groupBy("side", "k").agg(Summarizer.mean(array_to_vector("delta")).alias("d"))
-        for r in mean.toLocalIterator():
-            (outer if r["side"] else inner)[r["k"]] += r["d"].toArray()
-        state.unpersist()
+        ordered = coded.repartitionByRange(params.partitions, "shard").sortWithinPartitions("shard", "place")
+        with passing(ordered.mapInArrow(_learner(fixed, state, params, rate, epoch), "side int, k int, touched binary, delta binary"), "changes") as changes:
+            for side, matrix in enumerate((inner, outer)):
+                for first in range(0, len(matrix), SENT):
+                    part = matrix[first : first + SENT]
+                    total, times = np.zeros(part.shape), np.zeros((len(part), 1), np.int32)
+                    for r in changes.where((F.col("side") == side) & (F.col("k") >= first) & (F.col("k") < first + SENT)).collect():  # a few MB from each shard
+                        delta = np.frombuffer(r["delta"], np.float32).reshape(-1, params.vector_size)
+                        at = slice(r["k"] - first, r["k"] - first + len(delta))
+                        total[at] += delta
+                        times[at, 0] += np.frombuffer(r["touched"], bool)
+                    part += (total / np.maximum(times, 1)).astype(np.float32)
+        state.destroy()
+        spark.sparkContext._jvm.System.gc()  # else what the passes leave behind fills the driver's memory
+    fixed.destroy()
+    named.destroy()
     done = spark.sparkContext.broadcast((vocabulary, inner))
 
     def give(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,14 +310,14 @@ def train_subwords(corpus: DataFrame, params: TrainParams, words: DataFrame | No
                     out.append((w, matrix[at].mean(0).astype(float).tolist()))
             yield pd.DataFrame(out, columns=["word", "vec"])
 
-    asked = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    asked = counted.select("word")
     if words is not None:
         asked = asked.unionByName(words.select("word").where("word is not null")).distinct()
     return asked.mapInPandas(give, schema)
 
 
 def train(corpus: DataFrame, params: TrainParams, kind: str = "word2vec", words: DataFrame | None = None, tokens: str = "tokens") -> DataFrame:
-    """Vectors of the kind 'word2vec' (skip-gram by the engine's own trainer, else continuous bag of words) or 'fastText'."""
+    """Vectors of the kind 'word2vec' (skip-gram or continuous bag of words) or 'fastText'."""
     if kind not in ("word2vec", "fastText"):
         raise ValueError(f"unknown kind of vectors: {kind}")
     if kind == "word2vec" and params.sg == 1:

@@ -397,3 +397,51 @@ def test_a_pass_of_the_trainer_takes_no_row_by_row_additions():
     began = time.process_time()
     TR._shard(sentences, parts, inner, outer, np.arange(800), TR.TrainParams(window=15), 0.05, rng)
     assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("grams", [False, True])
+def test_a_skipgram_pass_of_whole_sentences_equals_its_definition(grams, monkeypatch):
+    rng = np.random.default_rng(5)
+    known = 4 * TR.STEP  # enough for one step: everything is read before anything is changed
+    parts = [np.array([k, *(known + rng.choice(30, rng.integers(1, 5) if grams else 0, replace=False))]) for k in range(known)]
+    inner, outer = rng.random((known + 30, 6), np.float32), rng.random((known, 6), np.float32)
+    length = np.array([0, 1, 2, 17, 40, 3])
+    tokens = rng.integers(0, 30, length.sum())
+    monkeypatch.setattr(TR, "PIECE", 16)  # so that sentences are cut, and no pair may be lost at a cut
+    got = inner.copy(), outer.copy()
+    params = TR.TrainParams(window=9, vector_size=6)
+    draw = np.random.default_rng(1)
+    reach = np.random.default_rng(1).integers(1, params.window + 1, len(tokens))
+    TR._skipgram(tokens, length, (np.array([len(p) for p in parts]), np.concatenate(parts)), *got, np.full(50, 7), params, 0.05, draw)  # one word is drawn, however often
+    want = inner.astype(float), outer.astype(float)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for low, n in zip(np.cumsum(length) - length, length):
+        for i in range(low, low + n):
+            rows = parts[tokens[i]]
+            h, back = inner[rows].mean(0), np.zeros(6)
+            told = [j for j in range(max(low, i - reach[i]), min(low + n, i + reach[i] + 1)) if j != i]
+            for j, step in [(tokens[j], 0.05 * (1 - sigmoid(h @ outer[tokens[j]]))) for j in told] + [(7, -0.05 * len(told) * sigmoid(h @ outer[7]))]:
+                back += step * outer[j]
+                if j != 7:
+                    want[1][j] += step * h
+            for r in rows:
+                want[0][r] += np.clip(back / len(rows), -0.5, 0.5)
+    others = np.arange(known) != 7  # the row of the drawn word is clipped
+    assert np.abs(got[0] - want[0]).max() < 1e-4 and np.abs(got[1] - want[1])[others].max() < 1e-4
+
+
+def test_rows_added_in_rounds_are_all_added():
+    rng = np.random.default_rng(3)
+    rows, which, values = rng.integers(0, 40, 900), rng.integers(0, 9, 900), rng.random((9, 4), np.float32)
+    got, want = np.zeros((50, 4), np.float32), np.zeros((50, 4))
+    TR._add_shared(got, rows, values, which)
+    np.add.at(want, rows, values[which])
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_vectors_do_not_depend_on_the_layout_of_the_corpus(spark):
+    rnd = random.Random(7)
+    rows = [([rnd.choice("абвгдежзик") for _ in range(rnd.randrange(1, 12))],) for _ in range(200)]
+    params = TR.TrainParams(window=3, epochs=2, min_count=2, vector_size=5, partitions=3)
+    one, two = ({r["word"]: r["vec"] for r in TR.train(spark.createDataFrame(x, "tokens array<string>").repartition(n), params).collect()} for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert one and set(one) == set(two) and all(one[w] == pytest.approx(two[w], abs=1e-6) for w in one)
