@@ -445,3 +445,15 @@ def test_vectors_do_not_depend_on_the_layout_of_the_corpus(spark):
     params = TR.TrainParams(window=3, epochs=2, min_count=2, vector_size=5, partitions=3)
     one, two = ({r["word"]: r["vec"] for r in TR.train(spark.createDataFrame(x, "tokens array<string>").repartition(n), params).collect()} for x, n in ((rows, 1), (rows[::-1], 5)))
     assert one and set(one) == set(two) and all(one[w] == pytest.approx(two[w], abs=1e-6) for w in one)
+
+
+def test_tables_written_side_by_side_give_the_setting_back(spark):
+    from pairforge import storage
+
+    before, one, two = spark.conf.get(storage.SHUFFLE_CLEANUP, None), storage._cleaning(spark), storage._cleaning(spark)
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(storage.SHUFFLE_CLEANUP) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(storage.SHUFFLE_CLEANUP, None) == before
